@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, token_store, toxicity
+from . import bpe, lm, packing, quality, simhash, substring_dedup, token_store, toxicity
 from .common import pick, read_table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,6 +23,16 @@ def held_out(of: int, part: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % of == part
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup.substring_dedup(documents(spark, sf_dir))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = simhash.near_duplicates(documents(spark, sf_dir))
+    return near.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.bpe_round_trip(documents(spark, sf_dir), BYTE_BPE)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -37,6 +47,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), WORD_BPE)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
@@ -48,7 +62,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe, op4_quality_rules, op5_packing, op7_toxicity, op10_token_files)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_simhash, op3_bpe, op4_quality_rules, op5_packing, op6_lm_scoring, op7_toxicity, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
