@@ -14,7 +14,8 @@ considers as many as could be in a result, smallest ids first.
 
 Cases: vectors that are null, zero, of another dimension than the sample's commonest, or hold
 null or non-finite components take no part; a null id takes no part; repeated rows are
-candidates each on their own, but rows with the query's own id are not; an empty table, or one
+candidates each on their own, but rows with the query's own id are not; a query id in several
+rows is asked with its least vector; an empty table, or one
 without queries, gives no rows.
 """
 
@@ -185,7 +186,8 @@ def search(df: DataFrame, k: int = 20, every: int = 20, s: Settings = Settings()
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     books = spark.sparkContext.broadcast(train(unit(x)[0], s))  # codebooks x entries x dimension numbers
     rows = stage(pack_blocks_with(vectors, dim, s, k, books), "ann-index")
-    asked = stage(pack_blocks(vectors.where(F.col("vec_id") % every == 0), dim, s.block_queries, None, None, 0), "ann-queries")
+    queries = vectors.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = stage(pack_blocks(queries, dim, s.block_queries, None, None, 0), "ann-queries")
     groups = max(1, rows.count())
     width = spark.sparkContext.defaultParallelism * 4
     groups = min(groups, max(width, groups // 4))

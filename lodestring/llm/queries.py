@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lm, packing, quality, simhash, substring_dedup, token_store, toxicity
+from . import ann, bpe, html_text, lm, packing, quality, simhash, substring_dedup, token_store, toxicity
 from .common import pick, read_table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,12 +57,21 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out(3, 1).alias("held_out"), "score", "predicted")
 
 
+def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings"))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = pick(read_table(spark, sf_dir, "pages"), "page_id", "html")
+    return html_text.extract_text(pages).select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_read(documents(spark, sf_dir), BYTE_BPE)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_simhash, op3_bpe, op4_quality_rules, op5_packing, op6_lm_scoring, op7_toxicity, op10_token_files)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_simhash, op3_bpe, op4_quality_rules, op5_packing, op6_lm_scoring, op7_toxicity, op8_nearest_vectors, op9_html_text, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
