@@ -234,7 +234,7 @@ def optquery_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select("g", F.size("ids").cast("long").alias("df"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
-@query(with_sql(PARTS, SUBS, MEMBERS, "by AS (SELECT state, count(*) AS n_substrings, min(length(g)) AS shortest FROM members GROUP BY state)", select="SELECT b.state, CAST(length(b.state) AS BIGINT) AS len, n_substrings, m.state AS link FROM by b LEFT JOIN members m ON m.g = right(b.state, shortest - 1)"))
+@query(with_sql(PARTS, SUBS, MEMBERS, "grouped AS (SELECT state, count(*) AS n_substrings, min(length(g)) AS shortest FROM members GROUP BY state)", select="SELECT b.state, CAST(length(b.state) AS BIGINT) AS len, n_substrings, m.state AS link FROM grouped b LEFT JOIN members m ON m.g = right(b.state, shortest - 1)"))
 def state_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states.states(part_corpus(spark, sf_dir))
 
