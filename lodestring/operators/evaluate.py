@@ -35,14 +35,14 @@ def timed(query: Callable[[], DataFrame], n_queries: int) -> tuple[list, float]:
 def clean_curve(points: list[tuple[float, float]], gain: float = 0.01, least: float = 0.1) -> list[tuple[float, float]]:
     """(recall, qps) points of a sweep, in its order, without those that show nothing.
 
-    A point goes if the next one is at least as fast, or if it gains no more recall than `gain`
-    over the one before; then those of recall `least` or less; sorted by recall.
+    A point takes the place of the last one kept if it is at least as fast, and goes if it gains
+    no more recall than `gain` over it. Then those of recall `least` or less go; sorted by recall.
     """
     kept: list[tuple[float, float]] = []
     for recall_, qps in points:
-        while kept and qps >= kept[-1][1]:
-            kept.pop()
-        if not kept or recall_ > kept[-1][0] + gain:
+        if kept and qps >= kept[-1][1]:
+            kept[-1] = (recall_, qps)
+        elif not kept or recall_ > kept[-1][0] + gain:
             kept.append((recall_, qps))
     return sorted(p for p in kept if p[0] > least)
 
