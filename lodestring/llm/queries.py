@@ -74,5 +74,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_substring_dedup, op2_simhash, op3_bpe, op4_quality_rules, op5_packing, op6_lm_scoring, op7_toxicity, op8_nearest_vectors, op9_html_text, op10_token_files)}
 
 
+WORDS_SQL = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+OP1_SQL = f"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL.format("coalesce(text, '')")} AS words FROM documents),
+windows AS (SELECT r, doc_id, i, sha256(array_to_string(words[i:i + 19], ' ')) AS g FROM (SELECT *, unnest(range(1, len(words) - 18)) AS i FROM w WHERE len(words) >= 20)),
+firsts AS (SELECT g, min((doc_id, i)) AS f FROM windows GROUP BY g),
+gone AS (SELECT DISTINCT r, i + k AS n FROM (SELECT r, i FROM windows JOIN firsts USING (g) WHERE (doc_id, i) > f), (SELECT unnest(range(20)) AS k)),
+lost AS (SELECT r, list(n) AS ns, count(*) AS n_removed FROM gone GROUP BY r)
+SELECT doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed,
+  sha256(array_to_string(CASE WHEN n_removed IS NULL THEN words ELSE [words[j] FOR j IN range(1, len(words) + 1) IF NOT list_contains(ns, j)] END, ' ')) AS kept_sha256
+FROM w LEFT JOIN lost USING (r)"""
+
+_R = quality.Rules()
+_LINE_FAILS = f"""(100 * length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) > {_R.max_symbols} * k OR 100 * (length(line) - length(replace(line, '|', ''))) > {_R.max_bars} * k
+  OR 100 * (length(line) - length(replace(line, '!', ''))) > {_R.max_bangs} * k OR (k >= {_R.long_line} AND NOT regexp_matches(line, '[.,;:!?]'))
+  OR {" OR ".join(f"contains(lower(line), '{p.decode()}')" for p in quality.BOILERPLATE)})"""
+OP4_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, {WORDS_SQL.format("t")} AS words FROM d),
+windows AS (SELECT r, i, array_to_string(words[i:i + 7], ' ') AS g FROM (SELECT r, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 9)),
+repeats AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM windows) WHERE c > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM repeats, (SELECT unnest(range(8)) AS k) GROUP BY r),
+lines AS (SELECT r, line, len({WORDS_SQL.format("line")}) AS k FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)),
+judged AS (SELECT r, count(*) - count(DISTINCT line) AS dup, CAST(sum(CASE WHEN {_LINE_FAILS} THEN k ELSE 0 END) AS BIGINT) AS lost FROM lines WHERE k > 0 GROUP BY r),
+base AS (SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(dup, 0) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(words) - coalesce(lost, 0) AS n_words_cleaned
+  FROM w LEFT JOIN covered USING (r) LEFT JOIN judged USING (r))
+SELECT *, n_words < {_R.min_words} OR 100 * n_repeat_words > {_R.max_repeat} * n_words AS base_failed,
+  NOT (n_words < {_R.min_words} OR 100 * n_repeat_words > {_R.max_repeat} * n_words) AND 100 * n_words_cleaned >= {_R.min_kept} * n_words AS kept FROM base"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can express the operator; the others are tested against plain versions."""
+    return {"op1_substring_dedup": OP1_SQL, "op4_quality_rules": OP4_SQL}
