@@ -51,7 +51,7 @@ SCALE = 256.0
 MAP_CELLS = 33
 CHUNK_BYTES = 1 << 17
 LEARN_BYTES = 1 << 15
-SHARD_ENTRIES = 1 << 21
+SHARD_WORDS = 1 << 23  # running words of the corpus a shard of the vocabulary
 RATE = 0.3
 
 
@@ -290,7 +290,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_w
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every text."""
     blocks = write_blocks(pick(df, id_col, text_col), id_col, text_col, block_words)
     total = blocks.agg(F.sum("n_words")).first()[0] or 0
-    shards = shard_count(total, SHARD_ENTRIES * 8)
+    shards = shard_count(total, SHARD_WORDS)
 
     def send(block: int, table: pa.Table) -> pa.RecordBatch:
         v = Vocabulary(table)
