@@ -41,16 +41,15 @@ def total_ids(postings: DataFrame) -> DataFrame:
     return postings.agg(F.count("*").alias("total_ids"))
 
 
-def rarest_grams(queries: DataFrame, frequencies: DataFrame, n_max: int) -> DataFrame:
-    """(qid, g, df): the key that finds the fewest rows for each pattern; none for absent or empty ones."""
+def pattern_keys(queries: DataFrame, n_max: int) -> DataFrame:
+    """(qid, g): the substrings under which rows with a pattern must stand; none for an empty one."""
     n = F.length("p")
     keys = F.when(n <= n_max, F.array("p")).otherwise(F.array_distinct(grams(F.col("p"), n_max)))
-    asked = queries.where(n > 0).select("qid", F.explode(keys).alias("g"))
-    counted = asked.join(frequencies, "g", "left").select("qid", "g", F.coalesce("df", F.lit(0)).alias("df"))
-    first = F.row_number().over(Window.partitionBy("qid").orderBy("df", "g"))
-    return counted.withColumn("r", first).where("r = 1 AND df > 0").drop("r")
+    return queries.where(n > 0).select("qid", F.explode(keys).alias("g"))
 
 
-def lookup(postings: DataFrame, keys: DataFrame) -> DataFrame:
-    """(qid, id) of the rows under each query's key."""
-    return postings.join(keys.select("qid", "g"), "g").select("qid", "id")
+def rarest(keys: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """(qid, g, df): of each query's keys the one in the fewest rows; none if one is in no row."""
+    counted = keys.join(frequencies, "g", "left").select("qid", "g", F.coalesce("df", F.lit(0)).alias("df"))
+    first = F.row_number().over(Window.partitionBy("qid").orderBy("df", "g"))
+    return counted.withColumn("r", first).where("r = 1 AND df > 0").drop("r")

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import l2
-from ..operators.postings import gram_frequencies, gram_rows, lookup, rarest_grams
+from ..operators.postings import gram_frequencies, gram_rows, pattern_keys, rarest
 from ..operators.search import bounded, exact_topk_batch, largest_k, matches, postfilter_topk, top_k
 from ..sources.files import check_dimension
+from .storage import checkpointed
 
 
 class GramIndex:
@@ -22,13 +23,6 @@ class GramIndex:
 
     def __init__(self, base: DataFrame, postings: DataFrame, n_max: int, dim: int):
         self.base, self.postings, self.n_max, self.dim = base, postings, n_max, dim
-        self._frequencies: DataFrame | None = None
-
-    @property
-    def frequencies(self) -> DataFrame:
-        if self._frequencies is None:
-            self._frequencies = gram_frequencies(self.postings)
-        return self._frequencies
 
     @staticmethod
     def build(base: DataFrame, n_max: int = 4) -> GramIndex:
@@ -74,12 +68,22 @@ class GramIndex:
         keys = self.postings.agg(F.countDistinct("g").alias("posting_keys"), F.count("*").alias("posting_rows"))
         return data.join(F.broadcast(keys))  # a row each
 
-    def by_postings(self, queries: DataFrame, keys: DataFrame | None = None) -> DataFrame:
-        """(qid, k, id, dist) of matching rows, found through posting rows."""
-        keys = rarest_grams(queries, self.frequencies, self.n_max) if keys is None else keys
-        found = lookup(self.postings, keys).join(self.base, "id").join(queries, "qid")
-        verified = found.where((F.length("p") <= self.n_max) | F.contains("s", "p"))
-        return verified.select("qid", "k", "id", l2(F.col("v"), F.col("qv")).alias("dist"))
+    def find(self, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(posting rows of all keys of the queries, (qid, g, df) with each query's rarest key).
+
+        The posting rows are read once and written, so that counting and lookup share them.
+        """
+        keys = pattern_keys(queries, self.n_max)
+        needed = keys.select("g").distinct()
+        needed = F.broadcast(needed) if bounded(queries) else needed
+        hits = checkpointed(self.base.sparkSession, self.postings.join(needed, "g").select("g", "id"))
+        return hits, rarest(keys, gram_frequencies(hits))
+
+    def verified(self, hits: DataFrame, keys: DataFrame, queries: DataFrame) -> DataFrame:
+        """(qid, k, id, dist) of the rows under each query's key that contain its pattern."""
+        found = hits.join(keys.select("qid", "g"), "g").select("qid", "id").join(self.base, "id").join(queries, "qid")
+        kept = found.where((F.length("p") <= self.n_max) | F.contains("s", "p"))
+        return kept.select("qid", "k", "id", l2(F.col("v"), F.col("qv")).alias("dist"))
 
     def search(self, queries: DataFrame, strategy: str = "auto", ef: int = 0, scan_share: float = 0.2) -> DataFrame:
         """(qid, rank, id, dist) by a strategy: auto, exact, prefilter or postfilter.
@@ -93,20 +97,18 @@ class GramIndex:
             return postfilter_topk(self.base, queries, ef)
         most = largest_k(queries)
         if strategy == "prefilter":
-            hits = self.by_postings(queries.where("p <> ''"))
+            found = self.verified(*self.find(queries), queries)
             empty = queries.where("p = ''")
             if not empty.isEmpty():
-                hits = hits.unionAll(matches(self.base, empty))
-            return top_k(hits, F.col("k"), most)
+                found = found.unionAll(matches(self.base, empty))
+            return top_k(found, F.col("k"), most)
         if strategy != "auto":
             raise ValueError(f"no strategy {strategy}")
-        from .storage import checkpointed
-
         n = self.base.count()
-        keys = checkpointed(self.base.sparkSession, rarest_grams(queries, self.frequencies, self.n_max))
-        rare = keys.where(F.col("df") <= scan_share * n)
-        wide = queries.join(keys.where(F.col("df") > scan_share * n), "qid", "left_semi").unionAll(queries.where("p = ''"))
-        by_key = top_k(self.by_postings(queries.join(rare, "qid", "left_semi"), rare), F.col("k"), most)
+        hits, keys = self.find(queries)
+        rare, common = keys.where(F.col("df") <= scan_share * n), keys.where(F.col("df") > scan_share * n)
+        wide = queries.join(common, "qid", "left_semi").unionAll(queries.where("p = ''"))
+        by_key = top_k(self.verified(hits, rare, queries), F.col("k"), most)
         if not bounded(wide):
             return by_key.unionAll(exact_topk_batch(self.base, wide))
         return by_key.unionAll(top_k(matches(self.base, wide), F.col("k"), most))
