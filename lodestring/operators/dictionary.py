@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import all_substrings, l2
-from .search import largest_k, top_k
+from .search import largest_k, matches, top_k
 
 
 def substrings(base: DataFrame, max_length: int = 512) -> DataFrame:
@@ -51,7 +51,5 @@ class SubstringDictionary:
         hits = keyed.join(self.base.select("id", "v"), "id").select("qid", "k", "id", l2(F.col("v"), F.col("qv")).alias("dist"))
         empty = queries.where("p = ''")
         if not empty.isEmpty():
-            from .search import matches
-
             hits = hits.unionAll(matches(self.base, empty))
         return top_k(hits, F.col("k"), largest_k(queries))

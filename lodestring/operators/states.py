@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import all_substrings, l2
-from .search import largest_k, top_k
+from ..plans.storage import checkpointed
+from .search import largest_k, matches, top_k
 
 
 def occurrences(base: DataFrame) -> DataFrame:
@@ -72,8 +73,8 @@ def choose_bases(edges: DataFrame, sizes: DataFrame, threshold: int) -> DataFram
     on rows of a few bytes.
     """
     spark = sizes.sparkSession
-    sizes = _written(spark, sizes.select("state", "n", F.length("state").alias("len")))
-    edges = _written(spark, edges.select("state", "target").distinct())
+    sizes = checkpointed(spark, sizes.select("state", "n", F.length("state").alias("len")))
+    edges = checkpointed(spark, edges.select("state", "target").distinct())
     lens = [r[0] for r in sizes.select("len").distinct().orderBy(F.desc("len")).collect()]
     done = None
     for length in lens:
@@ -90,21 +91,13 @@ def choose_bases(edges: DataFrame, sizes: DataFrame, threshold: int) -> DataFram
         whole = F.col("base").isNull() | (F.col("n") - F.col("base_n") > F.col("base_n"))
         local = F.when(whole, F.col("n")).otherwise(F.col("n") - F.col("base_n"))
         stored = chosen.select("state", F.when(~whole, F.col("base")).alias("base"), "n", local.alias("n_local"), (whole | (local >= threshold)).alias("has_graph"), F.when(whole, F.col("state")).otherwise(F.col("base")).alias("offer"), F.when(whole, F.col("n")).otherwise(F.col("base_n")).alias("offer_n"))
-        level_rows = small.unionAll(stored)
-        done = level_rows if done is None else done.unionAll(level_rows)
-        done = _written(spark, done)
+        written = checkpointed(spark, small.unionAll(stored))
+        done = written if done is None else done.unionAll(written)
     if done is None:
         return spark.createDataFrame([], "state string, base string, n long, n_local long, has_graph boolean")
     return done.select("state", "base", "n", "n_local", "has_graph")
 
 
-def _written(spark, df: DataFrame) -> DataFrame:
-    """df, computed once into the checkpoint folder."""
-    from ..plans.storage import checkpointed
-
-    return checkpointed(spark, df)
-
-
 class StateIndex:
     """States with their rows, stored whole (mode full) or as differences (mode delta)."""
 
@@ -139,8 +132,6 @@ class StateIndex:
         hits = self.rows_of(named).join(self.base.select("id", "v"), "id").select("qid", "k", "id", l2(F.col("v"), F.col("qv")).alias("dist"))
         empty = queries.where("p = ''")
         if not empty.isEmpty():
-            from .search import matches
-
             hits = hits.unionAll(matches(self.base, empty))
         return top_k(hits, F.col("k"), largest_k(queries))
 
