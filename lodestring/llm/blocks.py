@@ -189,12 +189,14 @@ def unsqueeze(packed: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def cut_shards(values: np.ndarray, shards: int, bits: int) -> np.ndarray:
-    """Bounds of each shard's share of ascending unsigned values of so many bits."""
+def shares(values: np.ndarray, shards: int, bits: int) -> list[tuple[int, int, int]]:
+    """(shard, start, end) of each shard that has some of these ascending unsigned values of so many bits."""
+    if not len(values):
+        return []
     if shards == 1:
-        return np.array([0, len(values)])
-    edges = np.arange(1, shards, dtype=np.uint64) << np.uint64(bits - (shards.bit_length() - 1))
-    return np.concatenate(([0], np.searchsorted(values, edges), [len(values)]))
+        return [(0, 0, len(values))]
+    own, start = np.unique(values >> np.uint64(bits - (shards.bit_length() - 1)), return_index=True)
+    return list(zip(own.tolist(), start.tolist(), [*start[1:].tolist(), len(values)]))
 
 
 def shard_count(entries: int, each: int) -> int:

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import MESSAGE, Words, cut_shards, message_batch, mix, per_block, per_shard, shard_count, squeeze, texts_of, unsqueeze, write_blocks
+from .blocks import MESSAGE, Words, message_batch, mix, per_block, per_shard, shard_count, shares, squeeze, texts_of, unsqueeze, write_blocks
 from .common import pick, stage
 from .simhash import LOWER
 
@@ -294,8 +294,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_w
 
     def send(block: int, table: pa.Table) -> pa.RecordBatch:
         v = Vocabulary(table)
-        bounds = cut_shards(v.hash, shards, 64)
-        return message_batch([(block, 0, s, pack_words(v.hash[a:b], v.count[a:b], v.text[a:b])) for s, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())) if b > a])
+        return message_batch([(block, 0, s, pack_words(v.hash[a:b], v.count[a:b], v.text[a:b])) for s, a, b in shares(v.hash, shards, 64)])
 
     messages = stage(per_block(blocks, send, MESSAGE), "words")
     model, tokens, distinct = fit(messages)
@@ -314,7 +313,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_w
 
     def sums(block: int, table: pa.Table, got: dict) -> pa.RecordBatch:
         v, docs = Vocabulary(table), table.num_rows
-        parts = [unsqueeze(got[0, s], "<i8", "<f4") for s in range(shards) if (0, s) in got]
+        parts = [unsqueeze(got[0, s], "<i8", "<f4") for s, _, _ in shares(v.hash, shards, 64)]
         count, cost = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
         base = np.log10((count + 0.1) / (tokens + 0.1 * (distinct + 1)))
         doc, w = v.words.doc, v.back

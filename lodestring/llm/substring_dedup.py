@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import MESSAGE, Words, cut_shards, ids_of, message_batch, mix, per_block, per_shard, shard_count, squeeze, texts_of, unsqueeze, write_blocks
+from .blocks import MESSAGE, Words, ids_of, message_batch, mix, per_block, per_shard, shard_count, shares, squeeze, texts_of, unsqueeze, write_blocks
 from .common import stage
 
 WINDOW = 20
@@ -62,11 +62,8 @@ class Sketch:
     def estimated_repeated(self, replies: dict, row: int, shards: int, bits: int) -> np.ndarray:
         """By window: whether this row counts two or more in its cell."""
         often = self.count > 1
-        bounds = cut_shards(self.cell, shards, bits)
-        for s in range(shards):
-            a, b = bounds[s], bounds[s + 1]
-            if b > a:
-                often[a:b] |= np.unpackbits(np.frombuffer(replies[row, s], np.uint8), count=b - a).astype(bool)
+        for s, a, b in shares(self.cell, shards, bits):
+            often[a:b] |= np.unpackbits(np.frombuffer(replies[row, s], np.uint8), count=b - a).astype(bool)
         return often[self.back]
 
 
@@ -142,12 +139,9 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         rows = []
         for row in range(ROWS):
             cell = np.unique(cells(high, row, bits))
-            bounds = cut_shards(cell, shards, bits)
-            for s in range(shards):
-                part = cell[bounds[s] : bounds[s + 1]]
-                if len(part):
-                    base = np.uint64(s << (bits - (shards.bit_length() - 1)))
-                    rows.append((block, row, s, squeeze(np.diff(part, prepend=base).astype("<u4"))))
+            for s, a, b in shares(cell, shards, bits):
+                base = np.uint64(s << (bits - (shards.bit_length() - 1)))
+                rows.append((block, row, s, squeeze(np.diff(cell[a:b], prepend=base).astype("<u4"))))
         return message_batch(rows)
 
     repeated_cells = stage(per_shard(per_block(blocks, sketch, MESSAGE), merge_cells), "cells")
@@ -155,12 +149,10 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def places(block: int, table: pa.Table, cell_replies: dict) -> pa.RecordBatch:
         c = Candidates(table, cell_replies, shards, bits)
         f = c.first
-        bounds = cut_shards(c.high[f], shards, 64)
         rows = []
-        for s in range(shards):
-            g = f[bounds[s] : bounds[s + 1]]
-            if len(g):
-                rows.append((block, 0, s, squeeze(c.high[g].astype("<u8"), c.low[g].astype("<u8"), c.doc_id[g].astype("<i8"), c.place[g].astype("<i4"))))
+        for s, a, b in shares(c.high[f], shards, 64):
+            g = f[a:b]
+            rows.append((block, 0, s, squeeze(c.high[g].astype("<u8"), c.low[g].astype("<u8"), c.doc_id[g].astype("<i8"), c.place[g].astype("<i4"))))
         return message_batch(rows)
 
     firsts = per_shard(per_block(blocks, places, MESSAGE, [repeated_cells]), merge_places)
@@ -173,11 +165,8 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         c = Candidates(table, cell_replies, shards, bits)
         f = c.first
         lead = np.ones(len(f), bool)
-        bounds = cut_shards(c.high[f], shards, 64)
-        for s in range(shards):
-            a, b = bounds[s], bounds[s + 1]
-            if b > a:
-                lead[a:b] = np.unpackbits(np.frombuffer(first_replies[0, s], np.uint8), count=b - a).astype(bool)
+        for s, a, b in shares(c.high[f], shards, 64):
+            lead[a:b] = np.unpackbits(np.frombuffer(first_replies[0, s], np.uint8), count=b - a).astype(bool)
         own = f[c.group]
         later = (c.doc_id > c.doc_id[own]) | (c.place > c.place[own])
         gone = c.at[later | ~lead[c.group]]

@@ -61,7 +61,8 @@ def corpus():
     return [*rows, (None, None), (7, ""), (8, "Zqé xw"), (8, "Zqé xw"), (200, "long" * 5000)]
 
 
-def test_lm_scores(spark):
+def test_lm_scores(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_WORDS", 4000)  # several shards
     rows = corpus()
     df = spark.createDataFrame([(d, t, 1.5) for d, t in rows], "doc_id long, text string, score double").repartition(3)
     got = lm.score(df, block_words=500).collect()

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+from lodestring.llm import substring_dedup as module
 from lodestring.llm.substring_dedup import WINDOW, substring_dedup
 
 SCHEMA = "doc_id long, text string, n_words string, KEPT_TEXT int, source string"
@@ -42,10 +43,11 @@ def cases():
     return rows
 
 
-def test_against_brute_force(spark):
+def test_against_brute_force(spark, monkeypatch):
     rows = cases()
     df = spark.createDataFrame([(d, t, "x", 1, None) for d, t in rows], SCHEMA).repartition(5)
-    for size in (50, 400_000):
+    for size, entries in ((50, 2000), (400_000, 1 << 21)):
+        monkeypatch.setattr(module, "SHARD_ENTRIES", entries)  # many shards, then one
         got = substring_dedup(df, block_words=size).collect()
         assert sorted(((x.doc_id, x.n_words, x.n_removed, hashlib.sha256(x.kept_text.encode()).hexdigest()) for x in got), key=str) == brute(rows)
         assert got[0].source is None
