@@ -36,7 +36,7 @@ class RankArrayBpe:
     words bounds the cache of whole words; emptying it never changes a result.
     """
 
-    def __init__(self, path: str, words: int = 700_000):
+    def __init__(self, path: str, words: int = 300_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
@@ -65,8 +65,8 @@ class RankArrayBpe:
         self.specials = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.find = regex.compile(BYTE_LEVEL_PATTERN).findall
         self.limit = words
-        self.words: dict[str, array] = {}
-        self.tails: dict[str, array] = {}
+        self.words: dict[str, bytes] = {}  # ids as 32-bit numbers
+        self.tails: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one piece."""
@@ -118,7 +118,7 @@ class RankArrayBpe:
                 out += self.pieces(part)
         return out
 
-    def learn(self, word: str) -> array | None:
+    def learn(self, word: str) -> bytes | None:
         """The ids of a space and the word; None if the word can't be cut out of its text."""
         if self.specials and "<" in word and self.specials.search(word):
             return None
@@ -126,16 +126,16 @@ class RankArrayBpe:
             tail = word.lstrip(ascii_letters)
             stem = word[: len(word) - len(tail)]
             if not stem:
-                return self.pieces(" " + word)
-            ids = tail and self.words.get(stem) or array("I", self.merge(b" " + stem.encode()))
+                return self.pieces(" " + word).tobytes()
+            ids = tail and self.words.get(stem) or array("I", self.merge(b" " + stem.encode())).tobytes()
             if tail:
                 if tail not in self.tails:
-                    self.tails[tail] = self.pieces(tail)
-                ids = ids + self.tails[tail]
+                    self.tails[tail] = self.pieces(tail).tobytes()
+                ids += self.tails[tail]
             return ids
         if not word or word[0].isspace() or word[-1].isspace() or self.specials and self.specials.search(word) or not (PLAIN.fullmatch(word) or word[0].isprintable() and word[-1].isprintable()):
             return None
-        return self.pieces(" " + word)
+        return self.pieces(" " + word).tobytes()
 
     def encode(self, text: str | None) -> array:
         if not text:
