@@ -20,7 +20,7 @@ a row each; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -191,17 +191,29 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(df: DataFrame, marked: DataFrame, roots: DataFrame, with_class: Callable[[DataFrame], DataFrame], id_col: str, text_col: str) -> DataFrame:
     """One row of each component, whole: that of the smallest id. Rows with a null id stay.
 
-    Of repeated rows with one id, the one with the smallest text stays.
+    marked has (doc_id, cls) of every row, roots (cls, root) of classes with neighbours;
+    with_class appends cls to rows with a text. Where ids are shared, the class tells which
+    row is meant; of repeated rows with one id and class, that with the smallest text stays.
     """
-    near = near_duplicates(df, id_col, text_col)
-    kept = near.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("copies"))
-    kept = kept.select(F.col("doc_id").alias("kept_id"), "copies")
+    classes = marked.groupBy("cls").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL")
+    rooted = classes.join(roots, "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
+    first = rooted.groupBy("root").agg(F.min(F.struct("rep", "cls")).alias("first")).select("first.*")
+    rows = marked.groupBy("doc_id").agg(F.count("*").alias("copies"))
+    kept = first.join(rows, first["rep"] == rows["doc_id"]).select(F.col("rep").alias("kept_id"), F.col("cls").alias("kept_cls"), "copies")
     names = df.columns
     joined = df.join(kept, df[id_col] == kept["kept_id"])
-    once = joined.where("copies = 1").select(*[df[n] for n in names])
-    rest = joined.where("copies > 1").select(*[df[n] for n in names])  # only rows that share an id
-    least = rest.groupBy(id_col).agg(F.min_by(F.struct(*[F.col(f"`{n}`") for n in names]), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("row"))
+    once = joined.where(kept["copies"] == 1).select(*[df[n] for n in names])
+    rest = joined.where(kept["copies"] > 1).select(kept["kept_id"], kept["kept_cls"], df[text_col].alias("text"), F.struct(*[df[n] for n in names]).alias("row"))  # only rows that share an id
+    rest = with_class(rest).where("cls = kept_cls")
+    least = rest.groupBy("kept_id", "kept_cls").agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row"))
     return once.unionAll(least.select("row.*")).unionAll(df.where(F.col(f"`{id_col}`").isNull()))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, whole: that of the smallest id. Rows with a null id stay."""
+    marked = stage(fingerprints(pick(df, id_col, text_col).toDF("doc_id", "text")).select("doc_id", F.col("fp").alias("cls")), "fingerprints")
+    roots = stage(components(near_links(marked.select(F.col("cls").alias("fp")).distinct())).select(F.col("node").alias("cls"), "root"), "roots")
+    return keep_first(df, marked, roots, lambda rows: fingerprints(rows, fp_col="cls"), id_col, text_col)
