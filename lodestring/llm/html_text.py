@@ -40,6 +40,8 @@ ENDS = {
     "option": ({"option"}, {"select"}),
     "body": ({"head"}, set()),
 }
+#: Other start tags, and text, end an open head.
+IN_HEAD = frozenset("html head base link meta noscript script style template title".split())
 SCOPE = frozenset("html table td th caption object template".split())
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(hidden|collapse)", re.I)
 SPACE = re.compile(r"[ \t\n\f\r]+")
@@ -79,7 +81,13 @@ class TreeBuilder(HTMLParser):
         if last is not None:
             self.pop_to(last)
 
+    def end_head(self) -> None:
+        if self.open[-1].tag == "head":
+            self.pop_to(len(self.open) - 1)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in IN_HEAD:
+            self.end_head()
         if tag in ENDS:
             self.end_implied(*ENDS[tag])
         if tag in BLOCK and tag not in ("html", "body") and self.count.get("p"):
@@ -97,6 +105,7 @@ class TreeBuilder(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
+            self.end_head()
             self.open[-1].children.append(Node("br", {}))
         if not self.count.get(tag):
             return
@@ -108,6 +117,8 @@ class TreeBuilder(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if SPACE.sub("", data):
+            self.end_head()
         self.open[-1].children.append(data)
 
 
