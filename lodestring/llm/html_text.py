@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from html import unescape
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
@@ -22,7 +23,16 @@ from .common import append_columns, field
 
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript iframe object embed svg math canvas audio video map datalist title meta link select textarea".split())
+UNSEEN = frozenset("head script style template noscript iframe object embed canvas audio video map datalist title meta link annotation annotation-xml".split())
+#: Of an svg, only text elements and embedded HTML are drawn, and nothing in these.
+FOREIGN = frozenset(("svg", "math"))
+DRAWN = frozenset(("text", "foreignobject"))
+UNDRAWN = frozenset("defs symbol desc metadata clippath mask pattern marker".split())
+#: HTML may stand in these inside svg and math; elsewhere there, a tag of BREAKOUT ends them.
+EMBEDS = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+IN_SELECT = frozenset("option optgroup hr".split())
+FIELDS = frozenset("input textarea select".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset form".split())
 BLOCK = SPACED | frozenset("html body address article aside details dialog dd div dt figcaption footer header hgroup hr legend li main menu nav section summary tr caption center optgroup option".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -57,6 +67,8 @@ class Node:
 class TreeBuilder(HTMLParser):
     """The tree of a page; node.children holds nodes and strings."""
 
+    CDATA_CONTENT_ELEMENTS = ("script", "style", "textarea")
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", {})
@@ -85,9 +97,30 @@ class TreeBuilder(HTMLParser):
         if self.open[-1].tag == "head":
             self.pop_to(len(self.open) - 1)
 
+    def close(self) -> None:
+        if self.cdata_elem == "textarea" and self.rawdata:  # not closed: the rest is its text
+            rest, self.rawdata = self.rawdata, ""
+            self.handle_data(rest)
+        super().close()
+
+    def foreign(self) -> int | None:
+        """The place of the outermost svg or math around what comes next, none inside embedded HTML."""
+        found = None
+        if any(self.count.get(t) for t in FOREIGN):
+            for i in range(len(self.open) - 1, 0, -1):
+                if self.open[i].tag in EMBEDS:
+                    break
+                if self.open[i].tag in FOREIGN:
+                    found = i
+        return found
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in IN_HEAD:
             self.end_head()
+        if tag in BREAKOUT and (at := self.foreign()) is not None:
+            self.pop_to(at)
+        if self.count.get("select") and (tag in FIELDS or tag in BLOCK and tag not in IN_SELECT):
+            self.end_implied({"select"}, SCOPE)
         if tag in ENDS:
             self.end_implied(*ENDS[tag])
         if tag in BLOCK and tag not in ("html", "body") and self.count.get("p"):
@@ -101,7 +134,10 @@ class TreeBuilder(HTMLParser):
             self.count[tag] = self.count.get(tag, 0) + 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)  # a slash closes nothing but void elements
+        closes = tag in FOREIGN or tag not in BREAKOUT and self.foreign() is not None
+        self.handle_starttag(tag, attrs)
+        if closes and self.open[-1].tag == tag and tag not in VOID:  # elsewhere a slash closes nothing but void elements
+            self.pop_to(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
@@ -119,6 +155,8 @@ class TreeBuilder(HTMLParser):
     def handle_data(self, data: str) -> None:
         if SPACE.sub("", data):
             self.end_head()
+        if self.open[-1].tag == "textarea":
+            data = unescape(data if self.open[-1].children else data.removeprefix("\n"))
         self.open[-1].children.append(data)
 
 
@@ -128,6 +166,27 @@ def visible(node: Node) -> bool:
     return not ((style := node.attrs.get("style")) and HIDING.search(style))
 
 
+def shown(select: Node) -> list[Node | str]:
+    """What a select shows: all of a list box, else the selected or first option."""
+    size = select.attrs.get("size") or ""
+    if "multiple" in select.attrs or re.fullmatch(r"\d+", size) and int(size) > 1:
+        return select.children
+    first = last = enabled = None
+    walk = [(c, False) for c in reversed(select.children)]
+    while walk:
+        node, off = walk.pop()
+        if isinstance(node, str) or not visible(node):
+            continue
+        off = off or "disabled" in node.attrs
+        if node.tag == "option":
+            first, enabled = first or node, enabled or (None if off else node)
+            last = node if "selected" in node.attrs else last
+        else:
+            walk.extend((c, off) for c in reversed(node.children))
+    option = last or enabled or first
+    return [] if option is None else [option.attrs["label"]] if option.attrs.get("label") else option.children
+
+
 def width(text: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text) if not text.isascii() else len(text)
 
@@ -202,12 +261,14 @@ def render(html: str | None) -> str:
     builder.feed(html.replace("\x00", "�"))
     builder.close()
     pages, tables, lists = [Page()], [], []
-    pre = 0
+    pre, drawn = 0, []  # drawn: for each open svg and text element in it, whether text shows
     walk: list[tuple[Node | str, bool]] = [(builder.root, False)]
     while walk:
         node, leaving = walk.pop()
         page = pages[-1]
         if isinstance(node, str):
+            if drawn and not drawn[-1]:
+                continue
             if tables and tables[-1][1] is page and not node.strip():
                 continue  # white space between rows and cells
             depth = sum(x[2] is page for x in lists)  # lines after an item's first stand under its text
@@ -215,7 +276,7 @@ def render(html: str | None) -> str:
             continue
         tag = node.tag
         if not leaving:
-            if not visible(node):
+            if not visible(node) or drawn and (tag in UNDRAWN or drawn[-1] is False and tag == "img"):
                 continue
             if tag == "br":
                 page.end_line(force=True)
@@ -245,11 +306,21 @@ def render(html: str | None) -> str:
                 if not tables[-1][0]:
                     tables[-1][0].append([])
                 pages.append(Page())
-            pre += tag == "pre"
+            if tag == "svg" or drawn and tag in DRAWN:
+                drawn.append(tag != "svg")
+            if tag in ("svg", "text", "foreignobject", "textarea", "select"):
+                page.space = True
+            if tag == "textarea" and page.line.strip():
+                page.put(" ", "")
+            pre += tag in ("pre", "textarea")
             walk.append((node, True))
-            walk.extend((c, False) for c in reversed(node.children))
+            walk.extend((c, False) for c in reversed(shown(node) if tag == "select" else node.children))
             continue
-        pre -= tag == "pre"
+        pre -= tag in ("pre", "textarea")
+        if tag == "svg" or drawn and tag in DRAWN:
+            drawn.pop()
+        if tag in ("svg", "text", "foreignobject", "textarea", "select"):
+            page.space = True
         if tag in ("ul", "ol", "menu"):
             lists.pop()
             page.marker = ""
