@@ -7,7 +7,8 @@ LONG_PIECE bytes would make that scan quadratic; they take a heap over a linked
 the same order of merges.
 
 Cases: a null or empty text has no ids and decodes to ""; every row is encoded on its own,
-so repeated rows give equal results; an empty table gives no rows.
+so repeated rows give equal results; texts of any length are encoded whole; input columns
+named like a new one are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,8 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import append_columns, field
-from .tokens import BYTE_LEVEL_PATTERN, PLAIN, byte_alphabet
+from .tokens import byte_alphabet
 
+#: Fixed value: the pattern by which the public byte-level files split text.
+BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters on whose class every Unicode version agrees.
+PLAIN = regex.compile(r"[!-~\u00C0-\u012F\u0131-\u017F]+")
 LONG_PIECE = 200
 NONE = 1 << 60
 _LOADED: dict[str, RankArrayBpe] = {}
@@ -43,12 +48,7 @@ class RankArrayBpe:
         if spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or model.get("dropout"):
             raise ValueError("a byte-level BPE file without normaliser and prefix space is needed")
         vocab = model["vocab"]
-        alphabet = byte_alphabet()
-        chars = {alphabet[c]: bytes([c]) for c in range(128)}
-        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        rest = iter(range(256, 512))
-        for b in range(256):
-            chars[chr(b) if b in plain else chr(next(rest))] = bytes([b])
+        chars = {c: bytes([b]) for b, c in enumerate(byte_alphabet())}
         self.token_bytes = {i: b"".join(chars[c] for c in t) for t, i in vocab.items()}
         self.byte_id = [0] * 256
         for c, b in chars.items():
@@ -158,8 +158,12 @@ class RankArrayBpe:
         return out
 
     def decode(self, ids: list[int] | None) -> str:
-        """The text of the ids, special tokens included; bytes that aren't UTF-8 become U+FFFD."""
-        return b"".join(map(self.token_bytes.__getitem__, ids or ())).decode("utf-8", "replace")
+        """The text of the ids, special tokens included; bytes that aren't UTF-8 become U+FFFD, and null or unknown ids add nothing."""
+        try:
+            found = b"".join(map(self.token_bytes.__getitem__, ids or ()))
+        except KeyError:
+            found = b"".join(self.token_bytes.get(i, b"") for i in ids)
+        return found.decode("utf-8", "replace")
 
 
 def loaded(path: str) -> RankArrayBpe:

@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,6 +77,19 @@ def append_columns(df: DataFrame, column: str, make: Callable[[], Callable[[list
     return carried.mapInArrow(run, schema)
 
 
+def slices_by_bytes(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about so many bytes of text in one column; a longer text stands alone."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).tolist()
+    start, held = 0, 0
+    for i, n in enumerate(sizes):
+        if held and held + n > most:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def arrow_type(kind: T.DataType) -> pa.DataType:
     simple = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.DoubleType(): pa.float64(), T.FloatType(): pa.float32(), T.StringType(): pa.string(), T.BinaryType(): pa.binary(), T.BooleanType(): pa.bool_()}
     return pa.list_(arrow_type(kind.elementType)) if isinstance(kind, T.ArrayType) else simple[kind]

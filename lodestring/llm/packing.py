@@ -7,22 +7,23 @@ Sequences of one length stand together: ids of sequences run through the bucket
 longest length first.
 
 Cases: a null or empty text has its end id alone; a null doc_id stays null; repeated rows are
-packed once each; an empty table gives no pieces.
+packed once each; a text of any length is cut whole; other columns aren't read; an empty
+table gives no pieces.
 """
 
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, stage
+from .common import pick, slices_by_bytes, stage
 from .tokens import encoder
 
 
@@ -43,15 +44,14 @@ def pack(df: DataFrame, path: str, longest: int = 4096, end_id: int = 2, id_col:
         raise ValueError("the longest sequence must be a power of two")
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, task int, nth long" + (", ids binary" if with_ids else "")
-    end = array("I", [end_id]).tobytes()
+    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, task, seen = encoder(path), TaskContext.get().partitionId(), Counter()
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for batch in slices_by_bytes(whole, 1):
                 rows, start, length, crc, total, nth, ids = [], [], [], [], [], [], []
-                for row, data in enumerate(enc.encode_all(batch.column(1).to_pylist())):
+                for row, data in enumerate(enc.packed(batch.column(1))):
                     data += end
                     s, n = 0, len(data) // 4
                     for size in binary_lengths(n, longest):

@@ -6,8 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from lodestring.llm import bpe
-from lodestring.llm.tokens import CachedEncoder, encoder
+from lodestring.llm import bpe, tokens
+from lodestring.llm.tokens import BatchEncoder, encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 WORD_PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -52,17 +52,27 @@ def test_scan_and_heap_agree(own):
 
 
 @pytest.mark.parametrize("path", [PATH, WORD_PATH])
-def test_cached_encoder_equals_the_library(path):
-    tok, enc = Tokenizer.from_file(path), CachedEncoder(path, words=300)
+def test_batch_encoder_equals_the_library(path, monkeypatch):
+    tok, enc = Tokenizer.from_file(path), BatchEncoder(path)
     assert enc.rule in ("prefix", "drop")
-    import numpy as np
-
-    cases = texts() + [None]
-    for start in range(0, len(cases), 100):
-        part = cases[start : start + 100]
-        for t, got in zip(part, enc.encode_all(part), strict=True):
-            assert np.frombuffer(got, "<u4").tolist() == tok.encode(t or "", add_special_tokens=False).ids, repr(t)
-    assert encoder(path) is encoder(path)
+    cases = texts() + [None, "don't we'll WE'LL I'm 're'd x'y 's", "a\n\n b \n", "\n\n", " \t x", "1234 5a6", "x" * 33 + " " + "y" * 400]
+    for most in (1 << 22, 300):  # the second cuts the longer texts, too
+        monkeypatch.setattr(tokens, "BATCH_BYTES", most)
+        for start in range(0, len(cases), 100):
+            part = cases[start : start + 100]
+            ids, ends = enc.encode(part)
+            assert ends[-1] == len(ids)
+            for t, a, z in zip(part, [0, *ends], ends):
+                assert ids[a:z].tolist() == tok.encode(t or "", add_special_tokens=False).ids, repr(t)
+    assert enc.encode([])[0].tolist() == [] and encoder(path) is encoder(path)
+
+
+@given(st.lists(st.text(st.characters(max_codepoint=0x2FF), max_size=40), max_size=5))
+@settings(max_examples=200, deadline=None)
+def test_batches_of_any_text(library, batch):
+    ids, ends = encoder(PATH).encode(batch)
+    want = [library.encode(t, add_special_tokens=False).ids for t in batch]
+    assert ids.tolist() == sum(want, []) and ends.tolist() == [sum(map(len, want[: i + 1])) for i in range(len(want))]
 
 
 def test_operators(spark, library):
@@ -73,3 +83,5 @@ def test_operators(spark, library):
     again = bpe.bpe_decode(bpe.bpe_encode(df, PATH), PATH).collect()
     assert sorted((str(r.doc_id), r.decoded) for r in again) == sorted((str(r.doc_id), r.decoded) for r in both)
     assert bpe.bpe_encode(df.limit(0), PATH).collect() == []
+    unknown = spark.createDataFrame([([464, None, 10**6, 262],), (None,), ([],)], "ids array<int>")
+    assert [r.decoded for r in bpe.bpe_decode(unknown, PATH).collect()] == ["The the", "", ""]
