@@ -9,7 +9,9 @@ document's offset in the block, so a block decodes by itself, vectorised by sele
 Rows stand in ascending doc_id: range partitions (shards) in order, blocks in order inside.
 
 Cases: null and empty texts hold the end id alone; a null doc_id comes before all others;
-rows with one doc_id stand in the order of their texts; an empty table gives no documents.
+rows with one doc_id stand in the order of a hash of their ids; a text of any length is
+encoded whole and stands in one block; other columns aren't read; an empty table gives no
+documents.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pick, shared_path
+from .common import pick, shared_path, slices_by_bytes, stage
 from .tokens import encoder
 
 PAYLOAD = 60
@@ -103,17 +105,39 @@ def decode_words(words: bytes, escapes: bytes) -> np.ndarray:
     return ids
 
 
+def encoded_ids(df: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, h, ids) of every text: its ids and end_id as bytes, in 16 bits each where all fit, and a hash of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        kind = "<u2" if enc.narrow and end_id < 1 << 16 else "<u4"
+        end = np.array([end_id], kind).tobytes()
+        for whole in batches:
+            for batch in slices_by_bytes(whole, 1):
+                ids, ends = enc.encode(batch.column(1))
+                data, cut = ids.astype(kind).tobytes(), (ends * int(kind[-1])).tolist()
+                rows = [data[a:z] + end for a, z in zip([0, *cut[:-1]], cut, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([int(kind[-1])] * len(rows), pa.int32()), pa.array(rows, pa.binary())], names=["doc_id", "width", "ids"])
+
+    docs = pick(df, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return docs.mapInArrow(run, "doc_id long, width int, ids binary").withColumn("h", F.xxhash64("ids"))
+
+
 def write_ids(df: DataFrame, path: str, folder: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes the ids of every text, each document followed by end_id, in ascending doc_id."""
-    end = np.array([end_id], "<u4").tobytes()
+    """Writes the ids of every text, each document followed by end_id, in ascending doc_id.
+
+    Texts are encoded where they stand; the ids are written once, so that finding the ranges
+    and sorting into them reads and shuffles ids alone. Rows with one doc_id are spread by a
+    hash of their ids.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, shard, block, first = encoder(path), TaskContext.get().partitionId(), 0, 0
+        shard, block, first = TaskContext.get().partitionId(), 0, 0
         data, doc_ids, doc_tokens, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             nonlocal block, first, held
-            words, escapes = encode_words(np.frombuffer(b"".join(data), "<u4"))
+            words, escapes = encode_words(np.concatenate(data))
             row = {"shard": shard, "block": block, "first": first, "n_ids": held, "words": words, "escapes": escapes, "doc_ids": doc_ids.copy(), "doc_tokens": doc_tokens.copy()}
             block, first, held = block + 1, first + held, 0
             for x in (data, doc_ids, doc_tokens):
@@ -121,21 +145,19 @@ def write_ids(df: DataFrame, path: str, folder: str, end_id: int = 0, id_col: st
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types, strict=True)], names=list(row))
 
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                for doc, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1).to_pylist()), strict=True):
-                    data.append(ids + end)
-                    doc_ids.append(doc)
-                    doc_tokens.append(len(ids) // 4 + 1)
-                    held += doc_tokens[-1]
-                    if held >= BLOCK_IDS:
-                        yield flush()
+        for batch in batches:
+            for doc, width, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                data.append(np.frombuffer(ids, f"<u{width}"))
+                doc_ids.append(doc)
+                doc_tokens.append(len(data[-1]))
+                held += doc_tokens[-1]
+                if held >= BLOCK_IDS:
+                    yield flush()
         if doc_ids:
             yield flush()
 
-    docs = pick(df, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ids = stage(encoded_ids(df, path, end_id, id_col, text_col), "ids")
+    ordered = ids.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "width", "ids")
     ordered.mapInArrow(run, FILE_SCHEMA).write.option("compression", "zstd").parquet(folder)
 
 

@@ -156,8 +156,6 @@ class BatchEncoder:
         data, ends = ids.astype("<u4").tobytes(), (4 * ends).tolist()
         return [data[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)]
 
-    encode_all = packed
-
     def parts(self, raw: list[bytes]) -> Iterator[tuple[list[bytes], list[int]]]:
         """The texts in groups of about BATCH_BYTES with their positions; longer texts in pieces that begin at single spaces between letters."""
         held, owner, size = [], [], 0
