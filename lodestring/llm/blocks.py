@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import encoded, shared_path
 
 BLOCK_SCHEMA = "block long, n_words long, docs binary"
+BLOCK_BYTES = 64
 #: ASCII white space, as a table by byte.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -68,9 +69,19 @@ class Words:
         return mix(h + (self.end - self.start).astype(np.uint64))
 
 
+def count_words(text: bytes) -> int:
+    """Words of a text, for closing blocks and for the sizes that follow from their number."""
+    if len(text) < 4096:
+        return len(text.split())
+    inside = ~IS_SPACE[np.frombuffer(text, np.uint8)]
+    return int(inside[0]) + int(np.count_nonzero(inside[1:] & ~inside[:-1]))
+
+
 def write_blocks(df: DataFrame, id_col: str, text_col: str, words: int = 400_000) -> DataFrame:
     """Writes df in blocks of about so many words, documents in order of id in each.
 
+    A block is also closed at BLOCK_BYTES of a document's columns for each word it may hold.
+
     The table is bucketed by block in the shared folder. Its rows hold all of df's columns;
     the id is the first and the text the second column of a block's batch.
     """
@@ -78,7 +89,7 @@ def write_blocks(df: DataFrame, id_col: str, text_col: str, words: int = 400_000
     kept = df.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`"), *[F.col(f"`{c}`") for c in df.columns if c not in (id_col, text_col)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
+        task, seq, held, size, weight = TaskContext.get().partitionId(), 0, [], 0, 0
 
         def flush() -> pa.RecordBatch:
             nonlocal seq, size
@@ -97,14 +108,16 @@ def write_blocks(df: DataFrame, id_col: str, text_col: str, words: int = 400_000
 
         for whole in batches:
             start, n = 0, 0
-            counts = [encoded(t).count(b" ") + 1 for t in whole.column(1).to_pylist()]  # about the words
-            for i, k in enumerate(counts):
-                n += k
-                if size + n >= words:
+            row_bytes = whole.nbytes // max(1, whole.num_rows)  # of columns that aren't the text, about
+            for i, t in enumerate(whole.column(1)):
+                text = encoded(t.as_py())
+                n += count_words(text)
+                weight += len(text) + row_bytes
+                if size + n >= words or weight >= BLOCK_BYTES * words:
                     held.append(whole.slice(start, i + 1 - start))
                     size += n
                     yield flush()
-                    start, n = i + 1, 0
+                    start, n, weight = i + 1, 0, 0
             if start < whole.num_rows:
                 held.append(whole.slice(start))
                 size += n
@@ -132,23 +145,33 @@ def texts_of(table: pa.Table) -> list[bytes]:
     return [encoded(t) for t in table.column(1).to_pylist()]
 
 
-def per_block(blocks: DataFrame, work: Callable[..., pa.RecordBatch | None], schema: str, replies: list[DataFrame] = ()) -> DataFrame:
-    """work(block, table, *replies) for every block; a reply is a dict from (kind, shard) to bytes."""
+def with_replies(blocks: DataFrame, replies: list[DataFrame] = ()) -> DataFrame:
+    """The blocks, each with its replies as one list a DataFrame of replies."""
     joined = blocks
     for i, r in enumerate(replies):
         mine = r.groupBy("block").agg(F.collect_list(F.struct("kind", "shard", "packed")).alias(f"reply{i}"))  # one a shard and kind
         joined = joined.join(mine.hint("shuffle_hash"), "block", "left")
-    n = len(replies)
+    return joined.select("block", "n_words", "docs", *[f"reply{i}" for i in range(len(replies))])
+
+
+def each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(block, table, *replies) of the rows of with_replies(); a reply is a dict from (kind, shard) to bytes."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            got = [{(x["kind"], x["shard"]): x["packed"] for x in batch.column(k)[i].as_py() or ()} for k in range(3, batch.num_columns)]
+            yield batch.column(0)[i].as_py(), open_block(batch.column(2)[i].as_py()), *got
+
+
+def per_block(blocks: DataFrame, work: Callable[..., pa.RecordBatch | None], schema: str, replies: list[DataFrame] = ()) -> DataFrame:
+    """work(block, table, *replies) for every block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                got = [{(x["kind"], x["shard"]): x["packed"] for x in batch.column(3 + k)[i].as_py() or ()} for k in range(n)]
-                made = work(batch.column(0)[i].as_py(), open_block(batch.column(2)[i].as_py()), *got)
-                if made is not None:
-                    yield from made if isinstance(made, list) else [made]
-
-    return joined.select("block", "n_words", "docs", *[f"reply{i}" for i in range(n)]).mapInArrow(run, schema)
+        for block in each_block(batches):
+            made = work(*block)
+            if made is not None:
+                yield from made if isinstance(made, list) else [made]
+
+    return with_replies(blocks, replies).mapInArrow(run, schema)
 
 
 MESSAGE = "block long, kind int, shard int, packed binary"

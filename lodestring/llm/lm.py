@@ -1,331 +1,740 @@
 """Language-model scores by logistic context mixing over bits.
 
-A text is its words (A–Z lower-cased), each written as its bytes and a space, and one end.
-Every bit of these bytes is predicted from counts in hashed tables under several contexts:
-the last one, two, three, four and six bytes. A gate (the longest context that has been
-seen, how often, and the bit's place in its byte) selects the weights that mix the
-predictions in the logistic domain; an adaptive probability map by last byte refines the
-mixed probability. Contexts stop at the start of a word, so a word costs the same wherever
-it stands: its bits are computed once for the whole corpus. The last mixture is by word: a
-dictionary of exact counts against the spelling by bits, which has the share of the tokens
-that are expected to be new words.
-
-What is learnt covers all training texts. Blocks send their distinct words with counts to
-shards of the vocabulary. A shard counts the bits of its distinct words in its own tables, and
-then runs online through them, predicting each bit without that word's own count (leave one
-out), and correcting weights and map. Counts and map cells add up over shards; weights are
-averaged by use. Spelling learns from distinct words, as it has new words to predict. The
-model has a fixed size (TABLE_BITS), whatever the corpus.
+A text is its words (A–Z lower-cased) and one end. Every word is a few binary decisions, and
+each decision is predicted under several contexts from counts in hashed tables. A gate (the
+kind of decision, the longest context seen, how often) selects the weights that mix the
+predictions in the logistic domain, and an adaptive map refines the mixed probability.
+
+1. Repeat. Where the three words before have stood elsewhere in the training texts, their
+   commonest next word is predicted; one bit says whether it came.
+2. Symbol. Otherwise the bits of a Huffman code, under the contexts: none, the last two
+   common words, the word before, the two words before. Frequent words are symbols of
+   their own; others share one by the magnitude of their count, and are then told apart by
+   their exact share of that magnitude's tokens; unseen words share the last symbol.
+3. Spelling. An unseen word is then written as its bytes and a space, each bit under the
+   last one, two, three and five bytes.
+
+All training texts are counted, and nothing is sampled. Blocks send their distinct words and
+three-word contexts to shards, which answer exact counts and predictions, so this memory
+grows with the corpus; the bit tables have a fixed size (TABLE_BITS) and are added up in a
+tree. Weights and map are learned online in a further pass over all training texts, against
+the tables of the whole corpus and without the own count of each event (a word met once counts
+as unseen there, and is what spelling learns from); they are averaged by use. Held-out texts
+are then scored as they are; a training text's own words never predict their own repeat.
 
 Cases: null and empty texts are one end; a null id is the empty text for crc32, so held out;
-repeated rows are scored, and count in training, one by one; without any training text all
-counts are 0 and every bit of a text costs about one bit; an empty table gives no rows.
+repeated rows are scored, and count in training, one by one; texts of any length are read whole
+and in chunks; other columns aren't read; without any training text all counts are 0 and every
+bit costs about one bit; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import MESSAGE, Words, message_batch, mix, per_block, per_shard, shard_count, shares, squeeze, texts_of, unsqueeze, write_blocks
+from .blocks import MESSAGE, Words, each_block, message_batch, mix, per_block, per_shard, shard_count, shares, squeeze, texts_of, unsqueeze, with_replies, write_blocks
 from .common import pick, stage
 from .simhash import LOWER
 
 TABLE_BITS = 21
-ORDERS = (1, 2, 3, 4, 6)
-PREDICTORS = len(ORDERS)
+ORDERS = (1, 2, 3, 5)  # bytes of the contexts of spelling
+PREDICTORS = 4
 LEVELS = 8  # of confidence: log2 of how often a context was seen
-GATES = (PREDICTORS + 1) * LEVELS * 8
+PLACES = 16  # kinds of decisions
+GATES = PLACES * (PREDICTORS + 1) * LEVELS
 PAD = b"\x00\x00\x00\x00\x00 "
-END = b"\n"
-END_HASH = mix(np.array([0xE4D], np.uint64))
+END_HASH = mix(np.array([0xE4D], np.uint64))[0]
 ADD = 0.4
-SCALE = 256.0
+SCALE = 160
 MAP_CELLS = 33
-CHUNK_BYTES = 1 << 17
-LEARN_BYTES = 1 << 15
-SHARD_WORDS = 1 << 23  # running words of the corpus a shard of the vocabulary
+MAPS = 256
+CHUNK = 1 << 14  # words or bytes whose decisions are taken together
+LEARN_CHUNK = 1 << 13  # the same between two steps of the weights
+SHARD_WORDS = 1 << 23  # running words of the corpus a shard
+TASK_WORDS = 1 << 23  # running words that a task counts before it gives its tables away
+FREQUENT = 17  # a frequent word is one of 2 ** FREQUENT tokens at least: so many words at most
+COMMON = 64  # the words that the second context looks at
+BEFORE = 3  # words of the context of a repeat
+CLASSES = 64
 RATE = 0.3
+SLICES = 8
+STEP = "part int, slice int, source long, packed binary"
 
 
 def in_training(ids: list) -> np.ndarray:
     return np.array([zlib.crc32(b"" if d is None else str(d).encode()) % 10 != 0 for d in ids], bool)
 
 
-class Vocabulary:
-    """The distinct words of a block in order of hash, the end among them, with training counts."""
-
-    def __init__(self, table: pa.Table):
-        texts = [t.translate(LOWER) for t in texts_of(table)]
-        self.words = w = Words(texts)
-        self.train = in_training(table.column(0).to_pylist())
-        h = w.hashes()
-        self.hash, index, self.back = np.unique(np.concatenate((h, END_HASH)), return_index=True, return_inverse=True)
-        self.end = int(self.back[-1])
-        self.back = self.back[:-1]
-        self.count = np.bincount(self.back, weights=self.train[w.doc], minlength=len(self.hash)).astype(np.int64)
-        self.count[self.end] += int(self.train.sum())
-        data, start, stop = w.data, w.start.tolist(), w.end.tolist()
-        self.text = [data[start[i] : stop[i]] if i < len(start) else END for i in index.tolist()]
+def before(word: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """The hash of the token k places before in the same text, or 0."""
+    h = np.zeros(len(word), np.uint64)
+    h[k:] = word[:-k]
+    h[place < k] = 0
+    return h
 
 
-def pack_words(h: np.ndarray, count: np.ndarray, text: list[bytes]) -> bytes:
-    numbers = squeeze(h.astype("<u8"), count.astype("<i8"), np.array([len(t) for t in text], "<u4"))
-    return len(numbers).to_bytes(4, "little") + numbers + zstandard.ZstdCompressor(level=3).compress(b"".join(text))
-
-
-def unpack_words(packed: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    n = int.from_bytes(packed[:4], "little")
-    h, count, size = unsqueeze(packed[4 : 4 + n], "<u8", "<i8", "<u4")
-    data, ends = zstandard.ZstdDecompressor().decompress(packed[4 + n :]), np.cumsum(size).tolist()
-    return h, count, [data[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+class Tokens:
+    """The tokens of a block's texts: the words of each, then its end."""
 
+    def __init__(self, table: pa.Table):
+        self.words = w = Words([t.translate(LOWER) for t in texts_of(table)])
+        self.docs, self.ids = table.num_rows, table.column(0).combine_chunks()
+        self.ids = self.ids.combine_chunks() if isinstance(self.ids, pa.ChunkedArray) else self.ids
+        self.train = in_training(table.column(0).to_pylist())
+        size = np.diff(w.first) + 1
+        self.end = np.cumsum(size) - 1
+        self.size, self.doc = size, np.repeat(np.arange(self.docs), size)
+        self.place = np.arange(len(self.doc)) - np.repeat(self.end - size + 1, size)
+        is_word = np.ones(len(self.doc), bool)
+        is_word[self.end] = False
+        self.hash = np.full(len(self.doc), END_HASH, np.uint64)
+        self.hash[is_word] = w.hashes()
+        self.word = np.cumsum(is_word) - 1  # of the text's words, for tokens that are one
+        self.is_word, self.trains = is_word, self.train[self.doc]
+        self.distinct, self.first, self.back = np.unique(self.hash, return_index=True, return_inverse=True)
+
+    def text(self, token: np.ndarray) -> list[bytes]:
+        w = self.word[token]
+        return [self.words.data[a:b] for a, b in zip(self.words.start[w].tolist(), self.words.end[w].tolist())]
+
+    def answers(self, replies: dict, shards: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """(training count, predicted repeat) of each token; a training text's own words don't predict it."""
+        parts = [unsqueeze(replies[0, s], "<i8")[0] for s, _, _ in shares(self.distinct, shards, 64)]
+        count = np.concatenate(parts)[self.back] if parts else np.zeros(0, np.int64)
+        answer = np.zeros(len(count), np.uint8)
+        at, key, back = self.repeats(bits)
+        if len(key):
+            found = np.concatenate([unsqueeze(replies[1, s], "u1")[0] for s, _, _ in shares(key, shards, bits + 16)])[back]
+            answer[at] = np.where(self.trains[at], found >> 4, found & 15)
+        return count, answer
+
+    def some(self, docs: np.ndarray, lexicon: Lexicon, count: np.ndarray, answer: np.ndarray, less: int) -> tuple[Text, np.ndarray]:
+        """The Text of some documents, and their tokens' places here; less is taken off every count."""
+        at = np.nonzero(docs[self.doc])[0]
+        return Text(lexicon, self.size[docs], self.hash[at], count[at] - less, answer[at]), at
+
+    def repeats(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(token, key of each distinct (context, next word), which of them each token is): 16 low bits of a key are the next word's."""
+        at = np.nonzero(self.place >= BEFORE)[0]
+        c = np.zeros(len(at), np.uint64)
+        for k in range(1, BEFORE + 1):
+            c = mix(c ^ self.hash[at - k], k)
+        cell = c >> np.uint64(64 - bits)
+        key, back = np.unique(cell << np.uint64(16) | self.hash[at] >> np.uint64(48), return_inverse=True)
+        return at, key, back
+
+
+def strength(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """How sure a prediction is, 0 to 7, by the counts of the commonest next word and of the one after it."""
+    size = np.minimum(np.frexp(first.astype(np.float32))[1], 4)
+    return np.where(first <= 0, 0, np.where(second <= 0, size, 4 + np.minimum(size, 3))).astype(np.int64)
+
+
+def predict(kind: int, shard: int, blocks: list[int], packed: list[bytes]) -> list[tuple]:
+    """A shard of the contexts: a byte for each (context, next word) of a block.
+
+    Low half: whether the word is the one predicted, and how sure the prediction is; high half:
+    the same without one count of the word itself, as a training text sees it.
+    """
+    parts = [unsqueeze(p, "<u4", "<u2", "<u2") for p in packed]
+    cell = np.concatenate([np.cumsum(p[0].astype(np.uint64)) for p in parts])
+    key = cell << np.uint64(16) | np.concatenate([p[1] for p in parts])
+    pair, back = np.unique(key, return_inverse=True)
+    total = np.bincount(back, weights=np.concatenate([p[2] for p in parts]), minlength=len(pair)).astype(np.int64)
+    own = pair >> np.uint64(16)
+    order = np.lexsort((pair, -total, own))
+    new = np.ones(len(order), bool)
+    new[1:] = own[order][1:] != own[order][:-1]
+    start = np.nonzero(new)[0]
+    size = np.diff(np.append(start, len(order)))
+    # the counts of the three commonest next words of each context, and each pair's own place
+    top = [np.where(size > k, total[order[np.minimum(start + k, len(order) - 1)]], 0) for k in range(3)]
+    group, place = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    place[order] = np.arange(len(order)) - np.repeat(start, size)
+    one, two, three = (t[group] for t in top)
+    plain = (place == 0).astype(np.int64) << 3 | strength(one, two)
+    left = one - 1
+    stays = left >= two
+    without_first = np.where(stays, 8 | strength(left, two), strength(two, np.maximum(left, three)))
+    without_second = strength(one, np.maximum(two - 1, three))
+    alone = np.where(place == 0, without_first, np.where(place == 1, without_second, strength(one, two)))
+    reply = ((alone << 4) | plain).astype(np.uint8)[back]
+    rows, at = [], 0
+    for block, p in zip(blocks, parts, strict=True):
+        rows.append((block, kind, shard, squeeze(reply[at : at + len(p[0])])))
+        at += len(p[0])
+    return rows
+
+
+def count_words(kind: int, shard: int, blocks: list[int], packed: list[bytes], frequent: int) -> list[tuple]:
+    """A shard of the vocabulary: the exact training count of each word of a block, and what the code is made from."""
+    parts = [unsqueeze(p, "<u8", "<i4") for p in packed]
+    word, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    total = np.bincount(back, weights=np.concatenate([p[1] for p in parts]), minlength=len(word)).astype(np.int64)
+    rows, at = [], 0
+    for block, p in zip(blocks, parts, strict=True):
+        rows.append((block, kind, shard, squeeze(total[back[at : at + len(p[0])]].astype("<i8"))))
+        at += len(p[0])
+    seen, often = total > 0, total >= frequent
+    rare = total[seen & ~often]
+    tokens = np.bincount(magnitude(rare), weights=rare, minlength=CLASSES)
+    facts = np.concatenate(([total.sum(), seen.sum()], tokens)).astype("<f8")
+    return [*rows, (-1, 2, shard, facts.tobytes()), (-1, 3, shard, squeeze(word[often].astype("<u8"), total[often].astype("<i8")))]
+
+
+def magnitude(count: np.ndarray) -> np.ndarray:
+    return np.maximum(np.frexp(count.astype(np.float64))[1] - 1, 0)
+
+
+def code_lengths(weight: list[int]) -> list[int]:
+    """Huffman's: bits of each symbol."""
+    if len(weight) < 2:
+        return [0] * len(weight)
+    heap, parent = [(w, i) for i, w in enumerate(weight)], [0] * (2 * len(weight) - 1)
+    heapq.heapify(heap)
+    for node in range(len(weight), 2 * len(weight) - 1):
+        (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
+        parent[i] = parent[j] = node
+        heapq.heappush(heap, (a + b, node))
+    depth = [0] * len(parent)
+    for node in range(len(parent) - 2, -1, -1):
+        depth[node] = depth[parent[node]] + 1
+    return depth[: len(weight)]
+
+
+class Lexicon:
+    """The symbols of words and their code. Frequent words come first, by count; then the magnitudes, then the unseen."""
+
+    def __init__(self, word: np.ndarray, count: np.ndarray, mass: np.ndarray, tokens: int, distinct: int):
+        order = np.lexsort((word, -count))
+        self.tokens, self.distinct, self.mass = tokens, distinct, mass
+        self.frequent = len(word)
+        by_hash = np.argsort(word[order])
+        self.word, self.rank = word[order][by_hash], by_hash
+        weight = [*count[order].tolist(), *(mass + 1).astype(np.int64).tolist(), int(mass[0]) + 1]
+        length = np.array(code_lengths(weight), np.int64)
+        at = np.lexsort((np.arange(len(length)), length))
+        code, last = np.zeros(len(length), np.int64), 0
+        for i, s in enumerate(at.tolist()):  # canonical: shorter codes first
+            if i:
+                code[s] = (code[at[i - 1]] + 1) << (length[s] - last)
+            last = int(length[s])
+        self.length, self.code = length, code
+        self.unseen = len(length) - 1
+
+    def symbols(self, word: np.ndarray, count: np.ndarray) -> np.ndarray:
+        s = np.where(count > 0, self.frequent + magnitude(count), self.unseen)
+        if self.frequent:
+            at = np.minimum(np.searchsorted(self.word, word), self.frequent - 1)
+            s = np.where(self.word[at] == word, self.rank[at], s)
+        return s
 
-class Shard:
-    """The words of a shard of the vocabulary, each once, with their training counts."""
 
-    def __init__(self, packed: list[bytes]):
-        parts = [unpack_words(p) for p in packed]
-        self.sizes = [len(p[0]) for p in parts]
-        flat = np.concatenate([p[0] for p in parts])
-        self.hash, index, self.back = np.unique(flat, return_index=True, return_inverse=True)
-        self.count = np.bincount(self.back, weights=np.concatenate([p[1] for p in parts]), minlength=len(self.hash)).astype(np.int64)
-        starts = np.cumsum([0, *self.sizes])
-        part = np.searchsorted(starts, index, side="right") - 1
-        self.text = [parts[p][2][i] for p, i in zip(part.tolist(), (index - starts[part]).tolist())]
+@dataclass
+class Decisions:
+    """Binary decisions taken at once: the item each belongs to, its outcome, place, map and slot under every context."""
+
+    item: np.ndarray
+    bit: np.ndarray
+    place: np.ndarray
+    map: np.ndarray
+    slots: list[np.ndarray]
+
+
+def slots_of(context: list[np.ndarray], node: np.ndarray) -> list[np.ndarray]:
+    n = node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return [((c ^ n) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - TABLE_BITS)).view(np.int64) for c in context]
+
+
+class Text:
+    """Tokens of some texts with their symbols, contexts and predicted repeats.
+
+    size is the number of tokens of each text; seen the training count of each token, and
+    answer the byte half that predict() has for it (0: nothing is predicted).
+    """
+
+    def __init__(self, lexicon: Lexicon, size: np.ndarray, word: np.ndarray, seen: np.ndarray, answer: np.ndarray):
+        self.lexicon, self.size, self.hash, self.seen = lexicon, size, word, seen
+        idx = np.arange(len(word))
+        self.doc = np.repeat(np.arange(len(size)), size)
+        place = idx - np.repeat(np.cumsum(size) - size, size)
+        self.symbol = lexicon.symbols(word, seen)
+        self.level, self.match = answer.astype(np.int64) & 7, (answer & 8 > 0) & (answer & 7 > 0)
+        missed = np.maximum.accumulate(np.where(self.match, -1, idx))
+        run = np.zeros(len(idx), np.int64)
+        run[1:] = idx[:-1] - missed[:-1]
+        run = np.minimum(run, 7)
+        one, two = before(word, place, 1), before(word, place, 2)
+        common = np.nonzero(self.symbol < min(COMMON, lexicon.frequent))[0]
+        near = np.zeros((2, len(idx)), np.uint64)
+        if len(common):
+            j = np.searchsorted(common, idx)
+            for k in (1, 2):
+                p = np.maximum(j - k, 0)
+                ok = (j >= k) & (self.doc[common[p]] == self.doc)
+                near[k - 1] = np.where(ok, self.symbol[common[p]].astype(np.uint64) + np.uint64(1), 0)
+        self.context = [mix(x, 11 + i) for i, x in enumerate((np.zeros(len(idx), np.uint64), near[0] << np.uint64(8) | near[1], one, mix(two, 3) ^ one))]
+        level, ran = self.level.astype(np.uint64), run.astype(np.uint64)
+        self.flag = [mix(x, 21 + i) for i, x in enumerate((level, level << np.uint64(4) | ran, level << np.uint64(8) | near[0], mix(one, 5) ^ level))]
+
+    def unseen(self) -> np.ndarray:
+        """Which tokens are words that have to be spelled."""
+        return np.nonzero((self.symbol == self.lexicon.unseen) & ~self.match & (self.hash != END_HASH))[0]
+
+    def decisions(self, start: int, end: int) -> Iterator[Decisions]:
+        """Those of the tokens from start to end, step by step."""
+        live = np.arange(start, end)
+        asked = live[self.level[start:end] > 0]
+        if len(asked):
+            zero = np.zeros(len(asked), np.int64)
+            yield Decisions(asked, self.match[asked].astype(np.int64), zero + PLACES - 1, zero + PLACES - 1, slots_of([c[asked] for c in self.flag], zero + 1))
+        live = live[~self.match[start:end]]
+        size = self.lexicon.length[self.symbol[live]]
+        order = np.argsort(-size, kind="stable")  # longer codes first: those still at work are always in front
+        live, size = live[order], size[order]
+        code, context = self.lexicon.code[self.symbol[live]], [c[live] for c in self.context]
+        for step in range(int(size[0]) if len(size) else 0):
+            n = int(np.searchsorted(-size, -step))  # code lengths over step
+            rest = size[:n] - step
+            node = code[:n] >> rest | 1 << step
+            place = np.full(n, min(step, PLACES - 2))
+            yield Decisions(live[:n], code[:n] >> (rest - 1) & 1, place, place, slots_of([c[:n] for c in context], node))
+
+    def fixed_bits(self) -> np.ndarray:
+        """What telling words of one magnitude apart costs each token."""
+        k = self.symbol - self.lexicon.frequent
+        rare = (k >= 0) & (self.symbol != self.lexicon.unseen) & ~self.match
+        cost = np.zeros(len(k))
+        cost[rare] = np.log2(np.maximum(self.lexicon.mass[k[rare]] / self.seen[rare], 1))  # without its own count a word may stand in an empty magnitude
+        return cost
 
 
-class Events:
-    """The bytes of some words with the hash of every context at each."""
+class Spelling:
+    """The bytes of some words, each with a space after it, with the hash of every context at each."""
 
     def __init__(self, words: list[bytes]):
-        flat = np.frombuffer(b"".join([PAD + w + (b"" if w == END else b" ") for w in words]), np.uint8)
-        size = np.array([len(w) + (w != END) for w in words], np.int64)
+        flat = np.frombuffer(b"".join([PAD + w + b" " for w in words]), np.uint8)
+        size = np.array([len(w) + 1 for w in words], np.int64)
         start = np.cumsum(size + len(PAD)) - size
         self.word = np.repeat(np.arange(len(words)), size)
-        place = np.arange(len(self.word)) - np.repeat(np.cumsum(size) - size, size)
-        at = np.repeat(start, size) + place
+        at = np.repeat(start, size) + np.arange(len(self.word)) - np.repeat(np.cumsum(size) - size, size)
         self.byte, self.before = flat[at].astype(np.int64), flat[at - 1].astype(np.int64)
-        context, acc = [], np.zeros(len(at), np.uint64)
+        self.context, acc = [], np.zeros(len(at), np.uint64)
         for k in range(1, max(ORDERS) + 1):
             acc = acc * np.uint64(0x100000001B3) + flat[at - k] + np.uint64(1)
             if k in ORDERS:
-                context.append(mix(acc, 0x77 * k))
-        self.context = context
+                self.context.append(mix(acc, 0x77 * k))
 
-    def __len__(self) -> int:
-        return len(self.byte)
-
-    def bit(self, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The k-th bit of every byte from the top, and its slot under every context."""
-        node = (1 << k | self.byte >> (8 - k)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return self.byte >> (7 - k) & 1, [((c ^ node) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - TABLE_BITS)).astype(np.int64) for c in self.context]
+    def decisions(self, start: int, end: int) -> Iterator[Decisions]:
+        item, byte, context = np.arange(start, end), self.byte[start:end], [c[start:end] for c in self.context]
+        for k in range(8):
+            yield Decisions(item, byte >> (7 - k) & 1, np.full(len(item), k), self.before[start:end], slots_of(context, 1 << k | byte >> (8 - k)))
 
 
-def chunks(words: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    a, size = 0, 0
-    for i, w in enumerate(words):
-        size += len(w) + 1
-        if size >= most:
-            yield a, i + 1
-            a, size = i + 1, 0
-    if a < len(words):
-        yield a, len(words)
+def chunks(n: int, most: int) -> Iterator[tuple[int, int]]:
+    for a in range(0, n, most):
+        yield a, min(n, a + most)
 
 
 def squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -20, 20)))
+    return 1 / (1 + np.exp(-np.clip(x, -20, 20)))  # in the precision of x
 
 
-def confidence(n: np.ndarray) -> np.ndarray:
-    return np.minimum(np.frexp(n)[1], LEVELS - 1) * (n > 0)
+def count_of(code: np.ndarray) -> np.ndarray:
+    """The count that an 8-bit code stands for: exact to 31, then an eighth of a doubling a step."""
+    return np.where(code < 32, code, np.rint(2.0 ** (5 + (code - 32) / 8)))
 
 
-def gate_of(level: list[np.ndarray], k: int) -> np.ndarray:
-    """By bit: the longest context that has been seen (0: none), how often, and the bit's place."""
-    longest = np.zeros(len(level[0]), np.int64)
-    for p, n in enumerate(level):
-        longest = np.where(n > 0, (p + 1) * LEVELS + n, longest)
-    return longest * 8 + k
+def code_of(count: np.ndarray) -> np.ndarray:
+    return np.where(count < 32, count, np.minimum(32 + np.rint(8 * (np.log2(np.maximum(count, 1)) - 5)), 255)).astype(np.uint16)
 
 
-def map_cell(before: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return before * MAP_CELLS + np.clip(np.rint(x * 2) + MAP_CELLS // 2, 0, MAP_CELLS - 1).astype(np.int64)
+def evidence() -> np.ndarray:
+    """By a slot's pair of codes, as it stands, without one zero and without one one: log odds times SCALE, and in three low bits how often it was seen."""
+    pair = np.arange(1 << 16)
+    n0, n1 = count_of(pair & 255), count_of(pair >> 8)
+    found = []
+    for a, b in ((n0, n1), (np.maximum(n0 - 1, 0), n1), (n0, np.maximum(n1 - 1, 0))):
+        level = np.minimum(np.frexp(a + b)[1], LEVELS - 1) * (a + b > 0)
+        found.append(np.rint(np.log((b + ADD) / (a + ADD)) * SCALE).astype(np.int16) << 3 | level.astype(np.int16))
+    return np.concatenate(found)
+
+
+EVIDENCE = evidence()
+
+
+def look(table: np.ndarray, d: Decisions, alone: bool) -> tuple[list[np.ndarray], np.ndarray]:
+    """(log odds under each context, gate) of some decisions; alone: without the count of the event itself.
+
+    The gate is the place with the longest context that has been seen (0: none), and how often.
+    """
+    x, longest = [], np.zeros(len(d.bit), np.int16)
+    which = (d.bit + 1) << 16 if alone else 0
+    for p, s in enumerate(d.slots):
+        found = EVIDENCE[table[p][s] + which]
+        x.append((found >> 3) * np.float32(1 / SCALE))
+        seen = found & np.int16(LEVELS - 1)
+        longest = np.where(seen > 0, seen + np.int16((p + 1) * LEVELS), longest)
+    return x, d.place * ((PREDICTORS + 1) * LEVELS) + longest
+
+
+def map_cell(which: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return which * MAP_CELLS + np.clip(np.rint(x * 2) + MAP_CELLS // 2, 0, MAP_CELLS - 1).astype(np.int64)
 
 
 def start_weights() -> np.ndarray:
-    w = np.zeros((GATES, PREDICTORS))
+    w = np.zeros((PREDICTORS, GATES), np.float32)
     for g in range(GATES):
-        w[g, max(0, g // (8 * LEVELS) - 1)] = 1.0
+        w[max(0, g // LEVELS % (PREDICTORS + 1) - 1), g] = 1.0
     return w
 
 
-def learn(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of distinct words: bit counts, weights, how often each gate was used, and the map's cells (ones, all)."""
-    table = np.zeros((PREDICTORS, 2 << TABLE_BITS), np.float32)
-    for a, b in chunks(words):
-        e = Events(words[a:b])
-        for k in range(8):
-            bit, slots = e.bit(k)
-            for p in range(PREDICTORS):
-                np.add.at(table[p], slots[p] * 2 + bit, np.float32(1))
-    weights, used, cells = start_weights(), np.zeros(GATES), np.zeros((2, 256 * MAP_CELLS))
-    squares = np.full((GATES, PREDICTORS), 1e-3)
-    for a, b in chunks(words, LEARN_BYTES):
-        e = Events(words[a:b])
-        for k in range(8):
-            bit, slots = e.bit(k)
-            x, level = [], []
-            for p in range(PREDICTORS):
-                n0, n1 = table[p, 2 * slots[p]] - (1 - bit), table[p, 2 * slots[p] + 1] - bit
-                x.append(np.log((np.maximum(n1, 0) + ADD) / (np.maximum(n0, 0) + ADD)))
-                level.append(confidence(n0 + n1))
-            gate = gate_of(level, k)
-            mixed = sum(weights[gate, p] * x[p] for p in range(PREDICTORS))
-            err = bit - squash(mixed)
-            n = np.bincount(gate, minlength=GATES)
-            for p in range(PREDICTORS):  # one step of each gate's weights, in proportion to its error
-                g = np.bincount(gate, weights=err * x[p], minlength=GATES) / np.maximum(n, 1)
-                squares[:, p] += g * g
-                weights[:, p] += RATE * g / np.sqrt(squares[:, p])
-            used += n
-            at = map_cell(e.before, mixed)
-            cells[0] += np.bincount(at, weights=bit, minlength=cells.shape[1])
-            cells[1] += np.bincount(at, minlength=cells.shape[1])
-    return table, weights, used, cells
+def new_table() -> np.ndarray:
+    return np.zeros((PREDICTORS, 2 << TABLE_BITS), np.float32)
 
 
-@dataclass
-class Model:
-    stretch: np.ndarray  #: by predictor and slot, log odds, and in the three low bits how often it was seen
-    weights: np.ndarray
-    refined: np.ndarray  #: by cell of the map, the probability of a one
-    trust: np.ndarray  #: by cell, the share of the map in the final probability
-    tokens: int  #: of training
-    once: int  #: words seen once in training: their share of the tokens is expected to be new words
-
-    def bits(self, words: list[bytes]) -> np.ndarray:
-        """What each word costs, with the space after it."""
-        cost = np.zeros(len(words))
-        for a, b in chunks(words):
-            e = Events(words[a:b])
-            total = np.zeros(len(e))
-            for k in range(8):
-                bit, slots = e.bit(k)
-                raw = [self.stretch[p, slots[p]] for p in range(PREDICTORS)]
-                gate = gate_of([r & (LEVELS - 1) for r in raw], k)
-                mixed = sum(self.weights[gate, p] * (raw[p] >> 3) for p in range(PREDICTORS)) / SCALE
-                at = map_cell(e.before, mixed)
-                p1 = squash(mixed)
-                p1 = np.clip(p1 + self.trust[at] * (self.refined[at] - p1), 1e-6, 1 - 1e-6)
-                total -= np.log2(np.where(bit == 1, p1, 1 - p1))
-            cost[a:b] = np.bincount(e.word, weights=total, minlength=b - a)
-        return cost
+def add_counts(table: np.ndarray, decisions: Iterator[Decisions], most: int = 1 << 21) -> None:
+    """Counts decisions, about so many at a time."""
+    held, n = [[] for _ in range(PREDICTORS)], 0
+
+    def flush() -> None:
+        for p, parts in enumerate(held):
+            if parts:
+                table[p] += np.bincount(np.concatenate(parts), minlength=table.shape[1])
+                parts.clear()
+
+    for d in decisions:
+        for p, s in enumerate(d.slots):
+            held[p].append(s * 2 + d.bit)
+        n += len(d.bit)
+        if n >= most:
+            flush()
+            n = 0
+    flush()
+
+
+def bits_of(p1: np.ndarray, bit: np.ndarray, refined: np.ndarray, trust: np.ndarray) -> np.ndarray:
+    """What an outcome costs, given the mixed probability of a one and the map's."""
+    p1 = np.clip(p1 + trust * (refined - p1), 1e-6, 1 - 1e-6)
+    return -np.log2(np.where(bit == 1, p1, 1 - p1))
+
+
+def refinement(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    cells = cells.reshape(-1, 2)
+    level, n = (np.arange(MAPS * MAP_CELLS) % MAP_CELLS - MAP_CELLS // 2) / 2, cells.sum(1)
+    return ((cells[:, 1] + 8 * squash(level)) / (n + 8)).astype(np.float32), (0.5 * n / (n + 64)).astype(np.float32)
+
+
+class Learner:
+    """Weights and map, corrected step by step."""
 
-    def log10(self, words: list[bytes], count: np.ndarray) -> np.ndarray:
-        """The probability of each word: known words by count, mixed with what their bits cost."""
-        new = (self.once + 1) / (self.tokens + 2)
-        bits = self.bits(words)
-        known = (1 - new) * count / max(self.tokens, 1) + new * 2.0 ** -np.minimum(bits, 1000)
-        return np.where(count > 0, np.log10(np.maximum(known, 1e-300)), np.log10(new) - bits * np.log10(2))
+    def __init__(self):
+        self.weights, self.squares = start_weights(), np.full((PREDICTORS, GATES), 1e-3, np.float32)
+        self.used, self.cells = np.zeros(GATES), np.zeros(2 * MAPS * MAP_CELLS)
 
+    def map(self) -> tuple[np.ndarray, np.ndarray]:
+        """By cell, the refined probability of a one and its share in the final one."""
+        return refinement(self.cells)
 
-SLICES = 16  # of each table, for adding up shards in parallel
+    def chunk(self, table: np.ndarray, decisions: Iterator[Decisions], cost: np.ndarray | None) -> None:
+        """One step of each gate's weights for every kind of decision, in proportion to its error.
 
+        What the decisions cost before they were learned from is added to cost, by item.
+        """
+        met, (refined, trust) = [], self.map()
+        for d in decisions:
+            x, gate = look(table, d, alone=True)
+            mixed = sum(self.weights[p][gate] * x[p] for p in range(PREDICTORS))
+            at, p1 = map_cell(d.map, mixed), squash(mixed)
+            err = d.bit - p1
+            if cost is not None:
+                cost[d.item] += bits_of(p1, d.bit, refined[at], trust[at])
+            n = np.bincount(gate, minlength=GATES)
+            often = np.maximum(n, 1)
+            for p in range(PREDICTORS):
+                g = np.bincount(gate, weights=err * x[p], minlength=GATES) / often
+                self.squares[p] += g * g
+                self.weights[p] += RATE * g / np.sqrt(self.squares[p])
+            self.used += n
+            met.append(2 * at + d.bit)
+        if met:
+            self.cells += np.bincount(np.concatenate(met), minlength=len(self.cells))
+
+    def read(self, table: np.ndarray, source: Text | Spelling, items: int, cost: np.ndarray | None) -> None:
+        for a, b in chunks(items, LEARN_CHUNK):
+            self.chunk(table, source.decisions(a, b), cost)
+
+    def facts(self) -> np.ndarray:
+        return np.concatenate(((self.weights * self.used).ravel(), self.used, self.cells))
+
+
+class Mixer:
+    """Counts with the weights and map to use them."""
+
+    def __init__(self, table: np.ndarray, facts: np.ndarray | None = None):
+        self.table, a = table, GATES * PREDICTORS
+        facts = np.zeros(a + GATES + 2 * MAPS * MAP_CELLS) if facts is None else facts
+        used = facts[a : a + GATES]
+        self.weights = np.where(used > 0, facts[:a].reshape(PREDICTORS, GATES) / np.maximum(used, 1), start_weights()).astype(np.float32)
+        self.refined, self.trust = refinement(facts[a + GATES :])
+
+    def probability(self, d: Decisions) -> tuple[np.ndarray, np.ndarray]:
+        """(of a one as mixed, cell of the map) of each decision."""
+        x, gate = look(self.table, d, alone=False)
+        mixed = sum(self.weights[p][gate] * x[p] for p in range(PREDICTORS))
+        return squash(mixed), map_cell(d.map, mixed)
+
+    def cost(self, source: Text | Spelling, items: int) -> np.ndarray:
+        """Bits of each item."""
+        cost = np.zeros(items)
+        for a, b in chunks(items, CHUNK):
+            for d in source.decisions(a, b):
+                p1, at = self.probability(d)
+                cost[d.item] += bits_of(p1, d.bit, self.refined[at], self.trust[at])
+        return cost
 
-def fit(messages: DataFrame) -> tuple[Model, int, int]:
-    """The model, and the number of training tokens and of their distinct words."""
 
-    def study(table: pa.Table) -> pa.Table:
-        s = Shard(table.column("packed").to_pylist())
-        counts, weights, used, cells = learn([s.text[i] for i in np.nonzero(s.count > 0)[0].tolist()])
-        facts = np.concatenate(([s.count.sum(), (s.count > 0).sum(), (s.count == 1).sum()], (weights * used[:, None]).ravel(), used, cells.ravel())).astype("<f8")
-        rows = [(-1, 0, facts.tobytes())]
-        step = (2 << TABLE_BITS) // SLICES
-        if used.any():
-            rows += [(p, i, squeeze(counts[p, i * step : (i + 1) * step].astype("<f4"))) for p in range(PREDICTORS) for i in range(SLICES)]
-        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "slice": pa.array([r[1] for r in rows], pa.int32()), "packed": pa.array([r[2] for r in rows], pa.binary())})
+def narrow(table: np.ndarray) -> np.ndarray:
+    """The two counts of each slot in 16 bits."""
+    out = np.empty((len(table), 1 << TABLE_BITS), np.uint16)
+    for p, row in enumerate(table):
+        codes = code_of(row)
+        out[p] = codes[0::2] | codes[1::2] << 8
+    return out
+
+
+def tree_sum(parts: DataFrame, sources: int, fan: int = 16) -> dict[tuple[int, int], np.ndarray]:
+    """The sums of the arrays of each (part, slice), a few sources at a time; their number and size are fixed."""
 
     def add(table: pa.Table) -> pa.Table:
-        part, packed = table.column("part")[0].as_py(), table.column("packed")
-        total = None
-        for p in packed:
-            x = np.frombuffer(p.as_py(), "<f8") if part < 0 else unsqueeze(p.as_py(), "<f4")[0].astype(np.float64)
-            total = x.copy() if total is None else total + x
-        if part >= 0:
-            n0, n1 = total[0::2], total[1::2]
-            odds = np.log((n1 + ADD) / (n0 + ADD))
-            level = np.clip(np.rint(odds * SCALE), -4095, 4095).astype(np.int64) << 3 | confidence(n0 + n1)
-            out = squeeze(level.astype("<i2"))
-        else:
-            out = total.tobytes()
-        return pa.table({"part": table.column("part")[:1], "slice": table.column("slice")[:1], "packed": pa.array([out], pa.binary())})
-
-    parts = messages.groupBy("kind", "shard").applyInArrow(study, "part int, slice int, packed binary")
-    # of fixed size: the tables, 2 bytes a slot, and one row of facts
-    rows = {(r.part, r.slice): r.packed for r in parts.groupBy("part", "slice").applyInArrow(add, "part int, slice int, packed binary").collect()}
-    stretch = np.zeros((PREDICTORS, 1 << TABLE_BITS), np.int16)
-    step = (1 << TABLE_BITS) // SLICES
-    for (p, i), packed in rows.items():
-        if p >= 0:
-            stretch[p, i * step : (i + 1) * step] = unsqueeze(packed, "<i2")[0]
-    facts = np.frombuffer(rows[-1, 0], "<f8") if (-1, 0) in rows else np.zeros(3 + GATES * PREDICTORS + GATES + 2 * 256 * MAP_CELLS)
-    tokens, distinct, once = (int(x) for x in facts[:3])
-    a = 3 + GATES * PREDICTORS
-    used, cells = facts[a : a + GATES], facts[a + GATES :].reshape(2, -1)
-    weights = np.where(used[:, None] > 0, facts[3:a].reshape(GATES, PREDICTORS) / np.maximum(used[:, None], 1), start_weights())
-    level = (np.arange(256 * MAP_CELLS) % MAP_CELLS - MAP_CELLS // 2) / 2
-    refined = (cells[0] + 8 * squash(level)) / (cells[1] + 8)
-    return Model(stretch, weights, refined, 0.5 * cells[1] / (cells[1] + 64), tokens, once), tokens, distinct
+        total, names = None, ("part", "slice", "source")
+        for p in table.column("packed"):
+            x = unsqueeze(p.as_py(), "<f4")[0] if table.column("part")[0].as_py() >= 0 else np.frombuffer(p.as_py(), "<f8")
+            total = x if total is None else total + x
+        made = squeeze(total.astype("<f4")) if table.column("part")[0].as_py() >= 0 else total.tobytes()
+        return pa.table({**{n: table.column(n)[:1] for n in names}, "packed": pa.array([made], pa.binary())})
+
+    while True:
+        sources = -(-sources // fan)
+        parts = parts.withColumn("source", F.floor(F.col("source") / fan)).groupBy("part", "slice", "source").applyInArrow(add, STEP)
+        if sources <= 1:
+            break
+    return {(r.part, r.slice): unsqueeze(r.packed, "<f4")[0] if r.part >= 0 else np.frombuffer(r.packed, "<f8") for r in parts.collect()}
+
+
+def table_rows(tables: list[np.ndarray], source: int) -> Iterator[pa.RecordBatch]:
+    step = (2 << TABLE_BITS) // SLICES
+    for m, table in enumerate(tables):
+        for p in range(PREDICTORS):
+            for i in range(SLICES):
+                part = table[p, i * step : (i + 1) * step]
+                if part.any():
+                    yield step_batch(m * PREDICTORS + p, i, source, squeeze(part.astype("<f4")))
+
+
+def step_batch(part: int, i: int, source: int, packed: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([i], pa.int32()), pa.array([source], pa.int64()), pa.array([packed], pa.binary())], names=["part", "slice", "source", "packed"])
+
+
+class Plan:
+    """How the corpus is dealt, and what passes over it share."""
+
+    def __init__(self, blocks: DataFrame):
+        self.blocks, self.context = blocks, blocks.sparkSession.sparkContext
+        self.total = blocks.agg(F.sum("n_words")).first()[0] or 0
+        self.shards = shard_count(self.total, SHARD_WORDS)
+        self.bits = 32 + self.shards.bit_length() - 1
+        self.tasks = max(-(-max(1, self.total) // TASK_WORDS), min(8, self.total >> 18))  # a small corpus takes a few tasks, too
+        self.replies = self.lexicon = None
+
+    def exchange(self) -> None:
+        """Exact counts and predictions of repeats, from all training texts."""
+        shards, bits, frequent = self.shards, self.bits, max(2, self.total >> FREQUENT)
+
+        def send(block: int, table: pa.Table) -> pa.RecordBatch:
+            t = Tokens(table)
+            count = np.bincount(t.back, weights=t.trains, minlength=len(t.distinct)).astype("<i4")
+            rows = [(block, 0, s, squeeze(t.distinct[a:b].astype("<u8"), count[a:b])) for s, a, b in shares(t.distinct, shards, 64)]
+            at, key, back = t.repeats(bits)
+            n = np.minimum(np.bincount(back, weights=t.trains[at], minlength=len(key)), 65535).astype("<u2")
+            cell, word = key >> np.uint64(16), (key & np.uint64(0xFFFF)).astype("<u2")
+            for s, a, b in shares(key, shards, bits + 16):
+                rows.append((block, 1, s, squeeze(np.diff(cell[a:b], prepend=np.uint64(s << 32)).astype("<u4"), word[a:b], n[a:b])))
+            return message_batch(rows)
+
+        def answer(kind: int, shard: int, from_blocks: list[int], packed: list[bytes]) -> list[tuple]:
+            return predict(kind, shard, from_blocks, packed) if kind else count_words(kind, shard, from_blocks, packed, frequent)
+
+        rows = stage(per_shard(per_block(self.blocks, send, MESSAGE), answer), "words")
+        self.replies = rows.where("kind < 2")
+
+        def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(2 + CLASSES)
+            for batch in batches:
+                for x in batch.column(0):
+                    total = total + np.frombuffer(x.as_py(), "<f8")
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["i", "x"])
+
+        facts = np.zeros(2 + CLASSES)
+        for r in rows.where("kind = 2").select("packed").mapInArrow(add_up, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+            facts[r.i] = r.x
+        often = [unsqueeze(r.packed, "<u8", "<i8") for r in rows.where("kind = 3").select("packed").collect() if r.packed]  # 2 ** FREQUENT words at most
+        word, count = (np.concatenate([x[i] for x in often]) if often else np.zeros(0, np.uint64 if i == 0 else np.int64) for i in (0, 1))
+        self.lexicon = self.context.broadcast(Lexicon(word, count, facts[2:], int(facts[0]), int(facts[1])))
+
+    def in_few_tasks(self, make: Callable[[], tuple[Callable, Callable]], schema: str) -> DataFrame:
+        """A few large tasks: each gives all rows of visit(tokens, count, answer) for its blocks, then those of finish(task)."""
+        shards, bits = self.shards, self.bits
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            visit, finish = make()
+            for _, table, got in each_block(batches):
+                t = Tokens(table)
+                yield from visit(t, *t.answers(got, shards, bits))
+            yield from finish(TaskContext.get().partitionId())
+
+        return with_replies(self.blocks, [self.replies]).coalesce(self.tasks).mapInArrow(run, schema)
+
+    def count_bits(self) -> list[np.ndarray]:
+        """The tables of the code and of the spelling, from all training texts."""
+        lexicon = self.lexicon
+
+        def make():
+            tables = [new_table(), new_table()]
+
+            def visit(t: Tokens, count: np.ndarray, answer: np.ndarray) -> list:
+                text, at = t.some(t.train, lexicon.value, count, answer, 1)
+                add_counts(tables[0], (d for a, b in chunks(len(at), CHUNK) for d in text.decisions(a, b)))
+                spelling = Spelling(t.text(at[(text.seen == 0) & t.is_word[at]]))
+                add_counts(tables[1], (d for a, b in chunks(len(spelling.byte), CHUNK) for d in spelling.decisions(a, b)))
+                return []
+
+            return visit, lambda task: table_rows(tables, task)
+
+        out, step = [new_table(), new_table()], (2 << TABLE_BITS) // SLICES
+        for (part, i), x in tree_sum(self.in_few_tasks(make, STEP), self.tasks).items():
+            out[part // PREDICTORS][part % PREDICTORS, i * step : (i + 1) * step] = x
+        return [narrow(x) for x in out]
+
+    def learn(self, tables: list[np.ndarray]) -> tuple[DataFrame, DataFrame, list[Mixer]]:
+        """(rows of training texts, held-out texts in packed form, what is learned)."""
+        shipped, lexicon = self.context.broadcast(tables), self.lexicon  # TABLE_BITS bounds it: 2 bytes a slot
+
+        def make():
+            learners, warm = [Learner(), Learner()], False
+
+            def visit(t: Tokens, count: np.ndarray, answer: np.ndarray) -> Iterator[pa.RecordBatch]:
+                nonlocal warm
+                lex = lexicon.value
+                base = base_of(count, lex)
+                letters = np.bincount(t.words.doc, weights=t.words.end - t.words.start + 1, minlength=t.docs).astype(np.int64) + 1
+                if t.train.any():
+                    text, at = t.some(t.train, lex, count, answer, 1)
+                    once = np.nonzero((text.seen == 0) & t.is_word[at])[0]
+                    spelling = Spelling(t.text(at[once]))
+                    if not warm:  # the first texts of a task shouldn't cost more than the others
+                        learners[0].read(shipped.value[0], text, len(at), None)
+                        learners[1].read(shipped.value[1], spelling, len(spelling.byte), None)
+                        warm = True
+                    cost, spelled = np.zeros(len(at)), np.zeros(len(spelling.byte))
+                    learners[0].read(shipped.value[0], text, len(at), cost)
+                    learners[1].read(shipped.value[1], spelling, len(spelling.byte), spelled)
+                    by_word = np.bincount(spelling.word, weights=spelled, minlength=len(once))
+                    cost[once] += np.where(text.match[once], 0, by_word)
+                    yield doc_rows(t.ids.filter(pa.array(t.train)), text, cost + text.fixed_bits(), count[at], base[at], letters[t.train])
+                held = ~t.train
+                if held.any():
+                    text, at = t.some(held, lex, count, answer, 0)
+                    yield held_row(t.ids.filter(pa.array(held)), text, answer[at], letters[held], t.text(at[text.unseen()]))
+
+            return visit, lambda task: (learned_row(-1 - m, task, x.facts().tobytes()) for m, x in enumerate(learners))
+
+        rows = stage(self.in_few_tasks(make, PASS), "learned")
+        facts = tree_sum(rows.where("part < 0").select("part", "slice", "source", "packed"), self.tasks)
+        return rows.where("part = 1").select(*DOC), rows.where("part = 2").select("packed"), [Mixer(table, facts.get((-1 - m, 0))) for m, table in enumerate(tables)]
+
+
+def base_of(count: np.ndarray, lexicon: Lexicon) -> np.ndarray:
+    return np.log10((count + 0.1) / (lexicon.tokens + 0.1 * (lexicon.distinct + 1)))
+
+
+DOC = ("doc_id", "n_tokens", "n_known", "base_score", "score", "bits_per_byte")
+DOC_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+PASS = "part int, slice int, source long, packed binary, doc_id long, n_tokens long, n_known long, base_score double, score double, bits_per_byte double"
+
+
+def pass_batch(part: int, source: int | None, packed: bytes | None, docs: list[pa.Array] | None) -> pa.RecordBatch:
+    n = len(docs[0]) if docs else 1
+    head = [pa.array([part] * n, pa.int32()), pa.array([0] * n, pa.int32()), pa.array([source] * n, pa.int64()), pa.array([packed] * n, pa.binary())]
+    return pa.RecordBatch.from_arrays([*head, *(docs or [pa.nulls(1, t) for t in DOC_TYPES])], names=["part", "slice", "source", "packed", *DOC])
+
+
+def learned_row(part: int, task: int, packed: bytes) -> pa.RecordBatch:
+    return pass_batch(part, task, packed, None)
+
+
+def doc_columns(ids: pa.Array, text: Text, cost: np.ndarray, count: np.ndarray, base: np.ndarray, letters: np.ndarray) -> list[pa.Array]:
+    def by_doc(value: np.ndarray) -> np.ndarray:
+        return np.bincount(text.doc, weights=value, minlength=len(text.size))
+
+    total = by_doc(cost)
+    return [ids, pa.array(text.size), pa.array(by_doc(count > 0).astype(np.int64)), pa.array(by_doc(base)), pa.array(-total * np.log10(2)), pa.array(total / letters)]
+
+
+def doc_rows(ids: pa.Array, text: Text, cost: np.ndarray, count: np.ndarray, base: np.ndarray, letters: np.ndarray) -> pa.RecordBatch:
+    return pass_batch(1, None, None, doc_columns(ids, text, cost, count, base, letters))
+
+
+def held_row(ids: pa.Array, text: Text, answer: np.ndarray, letters: np.ndarray, unseen: list[bytes]) -> pa.RecordBatch:
+    """All that scoring needs of a block's held-out texts."""
+    table = pa.table({"ids": pa.array([ids.to_pylist()], pa.list_(pa.int64())), "docs": [squeeze(text.size.astype("<i8"), letters.astype("<i8"))], "tokens": [squeeze(text.hash, text.seen.astype("<i8"), answer)], "unseen": pa.array([unseen], pa.list_(pa.binary()))})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(table)
+    return pass_batch(2, None, sink.getvalue().to_pybytes(), None)
+
+
+def score_held(packed: bytes, lexicon: Lexicon, code: Mixer, letters: Mixer) -> list[pa.Array]:
+    """The columns of a block's held-out texts, by the finished model."""
+    row = pa.ipc.open_stream(packed).read_all().to_pylist()[0]
+    size, length = unsqueeze(row["docs"], "<i8", "<i8")
+    word, seen, answer = unsqueeze(row["tokens"], "<u8", "<i8", "u1")
+    text = Text(lexicon, size, word, seen, answer)
+    cost = code.cost(text, len(word)) + text.fixed_bits()
+    if row["unseen"]:
+        distinct = sorted(set(row["unseen"]))
+        spelling = Spelling(distinct)
+        bits = dict(zip(distinct, np.bincount(spelling.word, weights=letters.cost(spelling, len(spelling.byte)), minlength=len(distinct)).tolist()))
+        cost[text.unseen()] += [bits[w] for w in row["unseen"]]
+    return doc_columns(pa.array(row["ids"], pa.int64()), text, cost, seen, base_of(seen, lexicon), length)
 
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = 400_000) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every text."""
-    blocks = write_blocks(pick(df, id_col, text_col), id_col, text_col, block_words)
-    total = blocks.agg(F.sum("n_words")).first()[0] or 0
-    shards = shard_count(total, SHARD_WORDS)
-
-    def send(block: int, table: pa.Table) -> pa.RecordBatch:
-        v = Vocabulary(table)
-        return message_batch([(block, 0, s, pack_words(v.hash[a:b], v.count[a:b], v.text[a:b])) for s, a, b in shares(v.hash, shards, 64)])
-
-    messages = stage(per_block(blocks, send, MESSAGE), "words")
-    model, tokens, distinct = fit(messages)
-    shipped = df.sparkSession.sparkContext.broadcast(model)  # TABLE_BITS bounds it: 2 bytes a slot
-
-    def answer(kind: int, shard: int, from_blocks: list[int], packed: list[bytes]) -> list[tuple]:
-        s = Shard(packed)
-        cost = shipped.value.log10(s.text, s.count).astype("<f4")[s.back]
-        count, rows, at = s.count.astype("<i8")[s.back], [], 0
-        for block, n in zip(from_blocks, s.sizes, strict=True):
-            rows.append((block, kind, shard, squeeze(count[at : at + n], cost[at : at + n])))
-            at += n
-        return rows
-
-    replies = per_shard(messages, answer)
-
-    def sums(block: int, table: pa.Table, got: dict) -> pa.RecordBatch:
-        v, docs = Vocabulary(table), table.num_rows
-        parts = [unsqueeze(got[0, s], "<i8", "<f4") for s, _, _ in shares(v.hash, shards, 64)]
-        count, cost = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-        base = np.log10((count + 0.1) / (tokens + 0.1 * (distinct + 1)))
-        doc, w = v.words.doc, v.back
-
-        def by_doc(value: np.ndarray) -> np.ndarray:
-            return np.bincount(doc, weights=value[w], minlength=docs) + value[v.end]
-
-        score = by_doc(cost.astype(np.float64))
-        size = np.bincount(doc, weights=v.words.end - v.words.start + 1, minlength=docs) + 1
-        columns = [table.column(0).combine_chunks(), pa.array(~v.train), pa.array(np.bincount(doc, minlength=docs) + 1), pa.array(by_doc((count > 0).astype(np.float64)).astype(np.int64)), pa.array(np.full(docs, tokens, np.int64)), pa.array(by_doc(base)), pa.array(score), pa.array(-score / np.log10(2) / size)]
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
-        columns[0] = columns[0].combine_chunks() if isinstance(columns[0], pa.ChunkedArray) else columns[0]
-        return pa.RecordBatch.from_arrays(columns, names=names)
-
-    return per_block(blocks, sums, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double", [replies])
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every text.
+
+    A training text's score is what it cost when the learner came to it; held-out texts are
+    scored by the finished model.
+    """
+    plan = Plan(write_blocks(pick(df, id_col, text_col), id_col, text_col, block_words))
+    plan.exchange()
+    train, held, mixers = plan.learn(plan.count_bits())
+    shipped, lexicon = plan.context.broadcast(mixers), plan.lexicon
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed in batch.column(0):
+                yield pa.RecordBatch.from_arrays(score_held(packed.as_py(), lexicon.value, *shipped.value), names=list(DOC))
+
+    scored = held.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
+    both = train.withColumn("held_out", F.lit(False)).unionByName(scored.withColumn("held_out", F.lit(True)))
+    return both.withColumn("train_tokens", F.lit(plan.lexicon.value.tokens).cast("long")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")

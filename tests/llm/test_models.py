@@ -76,25 +76,120 @@ def test_lm_scores(spark, monkeypatch):
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
     assert next(r for r in got if r.doc_id is None).held_out
     held = [r for r in got if r.held_out and r.n_tokens > 20]
-    assert held and sum(r.score for r in held) > 1.1 * sum(r.base_score for r in held)
+    assert held and sum(r.score for r in held) > 1.1 * sum(r.base_score for r in held)  # words drawn one by one: nothing to gain on the base
     assert lm.score(df.limit(0)).collect() == []
-
-
-def test_lm_is_a_distribution_over_words():
-    words = [bytes([a, b]) for a in b"abc" for b in b"ab"]
-    table, weights, used, cells = lm.learn(words)
-    n0, n1 = table[:, 0::2], table[:, 1::2]
-    level = np.clip(np.rint(np.log((n1 + lm.ADD) / (n0 + lm.ADD)) * lm.SCALE), -4095, 4095).astype(np.int64) << 3 | lm.confidence(n0 + n1)
-    model = lm.Model(level.astype(np.int16), weights, np.full(cells.shape[1], 0.5), np.zeros(cells.shape[1]), 10, 3)
-    letters = [bytes([a]) for a in range(256)]
-    assert (model.bits(letters) > 0).all()
-    # bytes of one position: the probabilities of all 256 values add up to 1
-    e = lm.Events(letters)
-    total = np.zeros(len(e))
-    for k in range(8):
-        bit, slots = e.bit(k)
-        raw = [model.stretch[p, slots[p]] for p in range(lm.PREDICTORS)]
-        gate = lm.gate_of([r & (lm.LEVELS - 1) for r in raw], k)
-        p1 = np.clip(lm.squash(sum(model.weights[gate, p] * (raw[p] >> 3) for p in range(lm.PREDICTORS)) / lm.SCALE), 1e-6, 1 - 1e-6)
-        total += np.log(np.where(bit == 1, p1, 1 - p1))
-    assert abs(np.exp(total[np.unique(e.word, return_index=True)[1]]).sum() - 1) < 1e-9
+    untaught = [(d, t, 1.5) for d, t in rows if d is None or not lm.in_training([d])[0]]
+    alone = lm.score(spark.createDataFrame(untaught, "doc_id long, text string, score double")).collect()
+    assert len(alone) == len(untaught) and {(r.train_tokens, r.n_known) for r in alone} == {(0, 0)} and all(math.isfinite(r.score) and r.score < 0 for r in alone)
+
+
+def test_lm_beats_the_base_on_documents(spark, sf_dir):
+    got = lm.score(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()
+    for held in (True, False):
+        own = [r for r in got if r.held_out == held]
+        assert sum(r.score for r in own) > sum(r.base_score for r in own)
+    known = [r for r in got if r.held_out and r.n_known == r.n_tokens]
+    assert known and sum(r.score for r in known) > sum(r.base_score for r in known)
+
+
+def test_lm_tells_copies_from_the_rest(spark):
+    """Texts that stand twice are told by their bits a byte, whichever block and task reads them."""
+    r = random.Random(3)
+    vocab = ["".join(r.choice(["th", "er", "on", "an", "re", "he", "in", "ou"]) for _ in range(r.randint(1, 4))) for _ in range(900)]
+    rows = [(d, " ".join(r.choice(vocab) for _ in range(60))) for d in range(300)]
+    rows += [(1000 + d, t) for d, t in rows[:40]]
+    got = {x.doc_id: x.bits_per_byte for x in lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), block_words=2000).collect()}
+    train = [d for d in range(300) if lm.in_training([d])[0]]
+    twice = [got[d] for d in train if d < 40 and lm.in_training([1000 + d])[0]]
+    once = [got[d] for d in train if d >= 40]
+    assert max(twice) < 0.5 * min(once)
+
+
+def plain_cost(mixer, decisions):
+    """The cost of decisions one by one, with Python's numbers."""
+    total = []
+    for d in decisions:
+        for i in range(len(d.bit)):
+            x, longest = [], 0
+            for p in range(lm.PREDICTORS):
+                pair = int(mixer.table[p][d.slots[p][i]])
+                n0, n1 = (int(lm.count_of(np.array(c))) for c in (pair & 255, pair >> 8))
+                x.append(round(math.log((n1 + lm.ADD) / (n0 + lm.ADD)) * lm.SCALE) / lm.SCALE)
+                if n0 + n1:
+                    longest = (p + 1) * lm.LEVELS + min((n0 + n1).bit_length(), lm.LEVELS - 1)
+            gate = int(d.place[i]) * (lm.PREDICTORS + 1) * lm.LEVELS + longest
+            mixed = sum(float(mixer.weights[p][gate]) * x[p] for p in range(lm.PREDICTORS))
+            p1 = 1 / (1 + math.exp(-max(-20, min(20, mixed))))
+            at = int(d.map[i]) * lm.MAP_CELLS + max(0, min(lm.MAP_CELLS - 1, round(2 * mixed) + lm.MAP_CELLS // 2))
+            p1 += float(mixer.trust[at]) * (float(mixer.refined[at]) - p1)
+            p1 = max(1e-6, min(1 - 1e-6, p1))
+            total.append((int(d.item[i]), -math.log2(p1 if d.bit[i] else 1 - p1)))
+    return total
+
+
+def test_lm_costs_equal_a_plain_version():
+    words = [bytes(w, "ascii") for w in ("anan", "tion", "er", "ananer", "x")]
+    spelling, table = lm.Spelling(words), lm.new_table()
+    lm.add_counts(table, spelling.decisions(0, len(spelling.byte)))
+    plain = Counter()
+    for d in spelling.decisions(0, len(spelling.byte)):
+        for p, s in enumerate(d.slots):
+            plain.update((p, int(2 * a + b)) for a, b in zip(s, d.bit))
+    assert {(p, i): int(table[p, i]) for p, i in zip(*np.nonzero(table))} == plain
+    learner = lm.Learner()
+    learner.read(lm.narrow(table), spelling, len(spelling.byte), None)
+    mixer = lm.Mixer(lm.narrow(table), learner.facts())
+    new = lm.Spelling([b"tier", b"on", b"anan"])
+    want = np.zeros(len(new.byte))
+    for item, bits in plain_cost(mixer, new.decisions(0, len(new.byte))):
+        want[item] += bits
+    assert np.allclose(mixer.cost(new, len(new.byte)), want, rtol=1e-3, atol=1e-4)
+    # the 256 values of one byte share a probability of 1
+    letters = lm.Spelling([bytes([a]) for a in range(256)])
+    first = mixer.cost(letters, len(letters.byte))[np.unique(letters.word, return_index=True)[1]]
+    assert abs((2.0 ** -first).sum() - 1) < 1e-4
+
+
+def test_lm_code_and_counts():
+    r = random.Random(8)
+    for n in (0, 1, 2, 3, 70):
+        weight = [r.randint(1, 1000) for _ in range(n)]
+        length = lm.code_lengths(weight)
+        assert n < 2 or sum(2.0**-x for x in length) == 1
+        assert all(length[i] <= length[j] for i in range(n) for j in range(n) if weight[i] > weight[j])
+    word, count = np.array([5, 9, 2], np.uint64), np.array([50, 7, 9])
+    lex = lm.Lexicon(word, count, np.zeros(lm.CLASSES), 66, 3)
+    codes = [format(c, f"0{n}b") for c, n in zip(lex.code.tolist(), lex.length.tolist())]
+    assert not any(a != b and b.startswith(a) for a in codes for b in codes)
+    assert lex.symbols(np.array([5, 2, 9, 1, 1], np.uint64), np.array([50, 9, 7, 6, 0])).tolist() == [0, 1, 2, 3 + 2, lex.unseen]
+    codes = np.arange(256)
+    assert (lm.code_of(lm.count_of(codes)) == codes).all() and lm.count_of(codes[:32]).tolist() == list(range(32))
+
+
+def test_lm_predictions_equal_a_plain_version():
+    r = random.Random(6)
+    blocks = [Counter((r.randint(0, 6), r.randint(0, 3)) for _ in range(r.randint(1, 12))) for _ in range(5)]
+    taught = [{k: r.randint(0, n) for k, n in b.items()} for b in blocks]
+    packed = []
+    for b in taught:
+        keys = sorted(b)
+        packed.append(lm.squeeze(np.diff([c for c, _ in keys], prepend=0).astype("<u4"), np.array([x for _, x in keys], "<u2"), np.array([b[k] for k in keys], "<u2")))
+    total = Counter()
+    for b in taught:
+        total.update(b)
+
+    def best(context, without=None):
+        """(the predicted word, how often, how often the next one) among a context's words."""
+        n = {x: c - (without == (k, x)) for (k, x), c in total.items() if k == context}
+        order = sorted(n, key=lambda x: (-n[x], without != (context, x), x))
+        return order[0], n[order[0]], n[order[1]] if len(order) > 1 else 0
+
+    got = lm.predict(1, 0, list(range(5)), packed)
+    for (_, _, _, reply), b in zip(got, taught):
+        for (context, x), byte in zip(sorted(b), lm.unsqueeze(reply, "u1")[0].tolist()):
+            word, one, two = best(context)
+            assert byte & 7 == lm.strength(np.array([one]), np.array([two]))[0] and (byte >> 3 & 1) == (word == x)
+            if b[context, x]:
+                word, one, two = best(context, (context, x))
+                assert byte >> 4 & 7 == lm.strength(np.array([one]), np.array([two]))[0]
+                assert not one or byte >> 7 == (word == x) or one == two
