@@ -1,12 +1,12 @@
 """Quality rules, line first.
 
 Each \\n-separated line with a word is judged by itself: rules on punctuation, navigation
-and boilerplate. Failing lines go; a document that loses too large a share of its words goes
+(separators, menu words) and boilerplate in four languages. Failing lines go; a document that loses too large a share of its words goes
 with them, as do documents that fail the base rules (too short, too much repeated text).
 
 Cases: a null text has no words, fails the base and has the empty cleaned text; lines without
 a word are kept and judge nothing; repeated rows are judged one by one; an empty table gives
-no rows; texts of any length are read whole.
+no rows; texts of any length are read whole; input columns named like a new one are replaced.
 """
 
 from __future__ import annotations
@@ -23,8 +23,19 @@ from .common import append_columns, encoded, field
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
-#: Phrases (lower case) of licence, legal and web page boilerplate.
-BOILERPLATE = [b"all rights reserved", b"licensed under", b"released under the", b"cookie policy", b"privacy policy", b"terms of use", b"terms of service", b"enable javascript", b"click here", b"sign in to", b"subscribe to our", b"powered by"]
+#: Phrases (A-Z in lower case) of licence, legal and web page boilerplate in English, Spanish, French and German.
+BOILERPLATE = [
+    "all rights reserved", "licensed under", "released under the", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "click here", "sign in to", "subscribe to our", "powered by",
+    "todos los derechos reservados", "de privacidad", "de cookies", "aviso legal", "haga clic", "habilite javascript",
+    "tous droits réservés", "de confidentialité", "mentions légales", "cliquez ici", "activez javascript",
+    "alle rechte vorbehalten", "datenschutzerklärung", "cookie-richtlinie", "klicken sie hier", "aktivieren sie javascript",
+]
+#: Separators of menus.
+SEPARATORS = "|›»→•·"
+#: Words (A-Z in lower case) of menus.
+MENU = ["home", "menu", "login", "logout", "register", "contact", "about", "help", "search", "next", "previous", "sitemap", "inicio", "contacto", "ayuda", "buscar", "accueil", "connexion", "aide", "rechercher", "startseite", "anmelden", "kontakt", "hilfe", "suche", "impressum"]
+_BOILERPLATE, _SEPARATORS, _MENU = [p.encode() for p in BOILERPLATE], [c.encode() for c in SEPARATORS], {w.encode() for w in MENU}
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 @dataclass(frozen=True)
@@ -34,7 +45,8 @@ class Rules:
     min_words: int = 20
     max_repeat: int = 30
     max_symbols: int = 50
-    max_bars: int = 25
+    max_bars: int = 25  #: separators
+    max_menu: int = 50
     max_bangs: int = 50
     long_line: int = 40
     min_kept: int = 60
@@ -44,12 +56,14 @@ def failing(line: bytes, words: int, rules: Rules) -> bool:
     """Whether a line with that many words fails."""
     if 100 * (len(line) - len(line.translate(None, SYMBOLS))) > rules.max_symbols * words:
         return True
-    if 100 * line.count(b"|") > rules.max_bars * words or 100 * line.count(b"!") > rules.max_bangs * words:
+    if 100 * sum(map(line.count, _SEPARATORS)) > rules.max_bars * words or 100 * line.count(b"!") > rules.max_bangs * words:
         return True
     if words >= rules.long_line and len(line) == len(line.translate(None, b".,;:!?")):
         return True
-    low = line.lower()
-    return any(phrase in low for phrase in BOILERPLATE)
+    low = line.translate(LOWER)
+    if 100 * sum(w in _MENU for w in low.split()) > rules.max_menu * words:
+        return True
+    return any(phrase in low for phrase in _BOILERPLATE)
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -97,8 +111,8 @@ def judge(text: str | None, rules: Rules) -> dict:
     return {"n_words": n, "word_chars": len(joined), "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeat, "base_failed": base_failed, "kept": kept, "n_words_cleaned": n - lost, "cleaned": clean}
 
 
-LONGS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_words_cleaned"]
-FIELDS = [*[field(n, T.LongType()) for n in LONGS], field("base_failed", T.BooleanType()), field("kept", T.BooleanType()), field("cleaned", T.StringType())]
+LONGS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+FIELDS = [*[field(n, T.LongType()) for n in LONGS], field("base_failed", T.BooleanType()), field("kept", T.BooleanType()), field("n_words_cleaned", T.LongType()), field("cleaned", T.StringType())]
 
 
 def judge_quality(df: DataFrame, text_col: str = "text", rules: Rules = Rules(), with_text: bool = True) -> DataFrame:

@@ -87,9 +87,12 @@ SELECT doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed,
 FROM w LEFT JOIN lost USING (r)"""
 
 _R = quality.Rules()
-_LINE_FAILS = f"""(100 * length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) > {_R.max_symbols} * k OR 100 * (length(line) - length(replace(line, '|', ''))) > {_R.max_bars} * k
+_LOW = "translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SEPARATED = " + ".join(f"length(line) - length(replace(line, '{c}', ''))" for c in quality.SEPARATORS)
+_LINE_FAILS = f"""(100 * length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) > {_R.max_symbols} * k OR 100 * ({_SEPARATED}) > {_R.max_bars} * k
   OR 100 * (length(line) - length(replace(line, '!', ''))) > {_R.max_bangs} * k OR (k >= {_R.long_line} AND NOT regexp_matches(line, '[.,;:!?]'))
-  OR {" OR ".join(f"contains(lower(line), '{p.decode()}')" for p in quality.BOILERPLATE)})"""
+  OR 100 * len(list_filter({WORDS_SQL.format(_LOW)}, lambda w: list_contains({quality.MENU}, w))) > {_R.max_menu} * k
+  OR {" OR ".join(f"contains({_LOW}, '{p}')" for p in quality.BOILERPLATE)})"""
 OP4_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, {WORDS_SQL.format("t")} AS words FROM d),
@@ -101,8 +104,8 @@ judged AS (SELECT r, count(*) - count(DISTINCT line) AS dup, CAST(sum(CASE WHEN
 base AS (SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
   coalesce(dup, 0) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(words) - coalesce(lost, 0) AS n_words_cleaned
   FROM w LEFT JOIN covered USING (r) LEFT JOIN judged USING (r))
-SELECT *, n_words < {_R.min_words} OR 100 * n_repeat_words > {_R.max_repeat} * n_words AS base_failed,
-  NOT (n_words < {_R.min_words} OR 100 * n_repeat_words > {_R.max_repeat} * n_words) AND 100 * n_words_cleaned >= {_R.min_kept} * n_words AS kept FROM base"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {_R.min_words} OR 100 * n_repeat_words > {_R.max_repeat} * n_words AS base_failed,
+  NOT (n_words < {_R.min_words} OR 100 * n_repeat_words > {_R.max_repeat} * n_words) AND 100 * n_words_cleaned >= {_R.min_kept} * n_words AS kept, n_words_cleaned FROM base"""
 
 
 def oracle_sql() -> dict[str, str]:

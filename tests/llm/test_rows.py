@@ -43,6 +43,10 @@ def test_quality_statistics(spark):
 def test_quality_verdicts(spark):
     good = "A plain sentence with some words in it, and a few more words for good measure here.\nIt goes on a little."
     nav = good + "\nAll rights reserved."
+    lines = ["Aviso legal del sitio.", "TOUS DROITS RéSERVéS", "Datenschutzerklärung lesen.", "Home » Help", "home about CONTACT login us", "a · b"]
+    for x in lines:
+        assert quality.failing(x.encode(), len(x.split()), quality.Rules()), x
+    assert not quality.failing("He went home to search for help, about noon — « bien ».".encode(), 12, quality.Rules())
     bad = {"symbols": " ".join(f"word{i}***" for i in range(60)), "bars": " | ".join(f"word{i}" for i in range(60)), "shout": " ".join(f"WORD{i}!!" for i in range(60)), "salad": " ".join(f"word{i}" for i in range(60))}
     df = spark.createDataFrame([(0, good, 1, "x"), (1, nav, 1, None), *[(i + 2, t, 1, k) for i, (k, t) in enumerate(bad.items())]], "doc_id long, text string, n_chars long, lang string")
     kept = {r.doc_id: r for r in quality.clean_documents(df).collect()}
