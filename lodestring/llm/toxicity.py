@@ -3,14 +3,18 @@
 A text's features are the distinct hashed n-grams of its lower-cased, space-normalised bytes.
 Each has the ratio r = log(share among toxic texts / share among others), smoothed in
 proportion to the classes, so that unseen and rare n-grams have r near 0. Logistic regression
-on features scaled by r gives the weights. The classifier is fitted on at most
-Settings.sample labelled rows, chosen by the smallest hashes of their ids; scoring reads
+on features scaled by r gives the weights. The penalty is the one of Settings.penalties whose
+predictions for left-out folds fit best, and those predictions, on rows that neither ratios
+nor weights were learned from, also give the line that turns sums of weights into
+probabilities, so that the threshold means what it says. The classifier is fitted on at most
+Settings.sample labelled documents, chosen by the smallest hashes of their ids; scoring reads
 every text whole.
 
 Cases: null and empty texts have no features and get the score of the intercept; labels that
 are null, or whose document is missing, teach nothing; of several labels of one document the
-largest counts; repeated rows are scored one by one; without any usable label every score is
-0.5; an empty table gives no rows.
+largest counts, and of several texts under one id the smallest teaches; repeated rows are
+scored one by one; texts of any length are read whole; input columns named like a new one are
+replaced; without labels of both kinds every score is 0.5; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,13 +34,14 @@ from .common import append_columns, encoded, field, pick, stage
 
 @dataclass(frozen=True)
 class Settings:
-    sample: int = 10_000  #: labelled rows that the classifier is fitted on, at most
+    sample: int = 10_000  #: labelled documents that the classifier is fitted on, at most
     sizes: tuple[int, ...] = (4, 5, 6)
     bits: int = 18
-    features: int = 1 << 14  #: features with the strongest ratios that are kept
+    features: int = 1 << 12  #: features with the strongest ratios that are kept
     smoothing: float = 20.0
-    penalty: float = 2e-4
-    steps: int = 80
+    penalties: tuple[float, ...] = (2e-3, 5e-3, 1e-2, 2e-2)
+    folds: int = 3  #: exact copies of a text are in one fold
+    steps: int = 40
 
 
 @dataclass
@@ -80,7 +85,63 @@ def ratios(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, s: Settings
     return np.log((pos + a) / (n_pos + a)) - np.log((neg + b) / (n_neg + b))
 
 
-def regress(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, s: Settings) -> Model:
+def strongest(by: np.ndarray, n: np.ndarray, s: Settings) -> np.ndarray:
+    """The ratios of the features that count most, 0 for the others; by and n are counts by label."""
+    ratio = ratios(by[1], by[0], int(n[1]), int(n[0]), s)
+    # strength: the ratio times the root of the number of texts that show it, so that frequent evidence is kept first
+    ratio[np.argsort(-np.abs(ratio) * np.sqrt(by.sum(0)), kind="stable")[s.features :]] = 0.0
+    return ratio
+
+
+def line(z: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """(slope, shift) for probabilities of sums z: logistic regression near slope 1 and shift 0, by damped Newton steps."""
+    n1, n0 = labels.sum(), (1 - labels).sum()
+    target = np.where(labels == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    x, start = np.stack((z, np.ones(len(z))), 1), np.array([1.0, 0.0])
+    hold = np.diag([1.0, 0.1])
+
+    def loss(c: np.ndarray) -> float:
+        m = x @ c
+        return float(np.sum(np.logaddexp(0, m) - target * m) + 0.5 * (c - start) @ hold @ (c - start))
+
+    c = start
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + hold, x.T @ (p - target) + hold @ (c - start))
+        size = 1.0
+        while size > 1e-4 and loss(c - size * step) > loss(c):
+            size /= 2
+        if size <= 1e-4:
+            break
+        c = c - size * step
+    return float(c[0]), float(c[1])
+
+
+def cross_fitted(rows: list[np.ndarray], labels: np.ndarray, fold: np.ndarray, by: np.ndarray, n: np.ndarray, s: Settings) -> Model:
+    """The model of all rows, its penalty and its line found on left-out folds; by and n are counts by fold and label."""
+    best = None
+    parts = [f for f in range(s.folds) if (n.sum(0) - n[f] > 0).all() and (fold == f).any()]
+    ratio = {f: strongest(by.sum(0) - by[f], n.sum(0) - n[f], s) for f in parts}
+    for penalty in s.penalties if parts else s.penalties[:1]:
+        z = np.full(len(rows), np.nan)
+        for f in parts:
+            rest = [i for i in range(len(rows)) if fold[i] != f]
+            model = regress([r[ratio[f][r] != 0] for r in (rows[i] for i in rest)], labels[rest], ratio[f], s, penalty)
+            for i in np.nonzero(fold == f)[0].tolist():
+                z[i] = model.intercept + model.weights[rows[i]].sum()
+        seen = np.isfinite(z)
+        slope, shift = line(z[seen], labels[seen]) if seen.any() else (1.0, 0.0)
+        m = slope * z[seen] + shift
+        loss = float(np.mean(np.logaddexp(0, m) - labels[seen] * m)) if seen.any() else 0.0
+        if best is None or loss < best[0]:
+            best = (loss, penalty, slope, shift)
+    _, penalty, slope, shift = best
+    whole = strongest(by.sum(0), n.sum(0), s)
+    model = regress([r[whole[r] != 0] for r in rows], labels, whole, s, penalty)
+    return Model(slope * model.weights, slope * model.intercept + shift)
+
+
+def regress(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, s: Settings, penalty: float) -> Model:
     """Logistic regression with ridge penalty on ratio-scaled binary features; full-batch Adam."""
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -91,7 +152,7 @@ def regress(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, s: Se
     for t in range(1, s.steps + 1):
         z = np.bincount(doc, weights=(w * scale)[at], minlength=len(rows)) + b
         err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / len(rows)
-        g = np.append(np.bincount(at, weights=err[doc], minlength=len(used)) * scale + s.penalty * w, err.sum())
+        g = np.append(np.bincount(at, weights=err[doc], minlength=len(used)) * scale + penalty * w, err.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
@@ -111,42 +172,46 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: st
     teach = teach.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
     teach = teach.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample)  # this bound makes the broadcast safe
     joined = pick(docs, id_col, text_col).toDF("doc_id", "text").join(F.broadcast(teach), "doc_id")
-    rows = stage(joined.select("text", (F.col("y") > 0).cast("int").alias("y")), "taught").repartition(8)
+    one = joined.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("y").alias("y"))
+    fold = F.pmod(F.xxhash64("text"), F.lit(s.folds)).cast("int")
+    rows = stage(one.select("text", (F.col("y") > 0).cast("int").alias("y"), fold.alias("fold")), "taught").repartition(2)  # at most s.sample rows
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distinct, by, n = Distinct(1 << s.bits), np.zeros((2, 1 << s.bits), np.int32), [0, 0]
+        distinct, by, n = Distinct(1 << s.bits), np.zeros((s.folds, 2, 1 << s.bits), np.int32), np.zeros((s.folds, 2), np.int64)
         for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by[y][distinct(ngrams(text, s))] += 1
-                n[y] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in by] + [pa.array([x], pa.int64()) for x in n], names=["neg", "pos", "n_neg", "n_pos"])
-
-    parts = rows.mapInArrow(count, "neg binary, pos binary, n_neg long, n_pos long").collect()  # eight rows
-    pos, neg = (sum((np.frombuffer(getattr(p, k), np.int32).astype(np.int64) for p in parts), np.zeros(1 << s.bits, np.int64)) for k in ("pos", "neg"))
-    n_pos, n_neg = sum(p.n_pos for p in parts), sum(p.n_neg for p in parts)
-    if not n_pos or not n_neg:
+            for text, y, f in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                by[f, y][distinct(ngrams(text, s))] += 1
+                n[f, y] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([by.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["by", "n"])
+
+    parts = rows.mapInArrow(count, "by binary, n binary").collect()  # two rows of a fixed size
+    by = sum((np.frombuffer(p.by, np.int32).reshape(s.folds, 2, -1).astype(np.int64) for p in parts), np.zeros((s.folds, 2, 1 << s.bits), np.int64))
+    n = sum((np.frombuffer(p.n, np.int64).reshape(s.folds, 2) for p in parts), np.zeros((s.folds, 2), np.int64))
+    if not n.sum(0).all():
         return Model(np.zeros(1 << s.bits), 0.0)
-    ratio = ratios(pos, neg, n_pos, n_neg, s)
-    # strength: the ratio times the number of texts that show it, so that frequent evidence is kept first
-    strength = np.abs(ratio) * np.sqrt(pos + neg)
-    ratio[np.argsort(-strength, kind="stable")[s.features :]] = 0.0
+    needed = strongest(by.sum(0), n.sum(0), s) != 0
+    for f in range(s.folds):
+        if (n.sum(0) - n[f] > 0).all():
+            needed |= strongest(by.sum(0) - by[f], n.sum(0) - n[f], s) != 0
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distinct = Distinct(1 << s.bits)
         for batch in batches:
-            found = [distinct(f[ratio[f] != 0]).astype(np.int32).tobytes() for f in (ngrams(t, s) for t in batch.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], names=["features", "y"])
+            found = [distinct(f[needed[f]]).astype(np.int32).tobytes() for f in (ngrams(t, s) for t in batch.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1), batch.column(2)], names=["features", "y", "fold"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, y = [], []
+        features, y, folds = [], [], []
         for batch in batches:
             features += [np.frombuffer(x, np.int32).astype(np.int64) for x in batch.column(0).to_pylist()]
             y += batch.column(1).to_pylist()
-        model = regress(features, np.array(y, np.float64), ratio, s)
+            folds += batch.column(2).to_pylist()
+        model = cross_fitted(features, np.array(y, np.float64), np.array(folds), by, n, s)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.intercept])], names=["weights", "intercept"])
 
-    one = rows.mapInArrow(chosen, "features binary, y int").repartition(1).mapInArrow(train, "weights binary, intercept double").first()  # at most s.sample rows
-    return Model(np.frombuffer(one.weights, np.float64), one.intercept)
+    # one task for at most s.sample rows; order, which sums depend on, is fixed
+    found = rows.mapInArrow(chosen, "features binary, y int, fold int").repartition(1).sortWithinPartitions("features", "y").mapInArrow(train, "weights binary, intercept double").first()
+    return Model(np.frombuffer(found.weights, np.float64), found.intercept)
 
 
 def scorer(model: Model, s: Settings):

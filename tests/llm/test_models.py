@@ -53,6 +53,53 @@ def test_held_out_rows_and_missing_labels_teach_nothing(spark):
     assert {r.score for r in toxicity.score(df, none, SMALL).collect()} == {0.5}
 
 
+def test_toxicity_line_is_the_least_loss():
+    r = np.random.default_rng(3)
+    y = (r.random(300) < 0.2).astype(float)
+    z = 3 * y + r.normal(size=300) - 4
+    t = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+
+    def loss(a, b):
+        m = a * z + b
+        return float(np.sum(np.logaddexp(0, m) - t * m) + 0.5 * ((a - 1) ** 2 + 0.1 * b * b))
+
+    a, b = toxicity.line(z, y)
+    assert all(loss(a, b) <= loss(a + da, b + db) + 1e-9 for da in (-0.01, 0, 0.01) for db in (-0.01, 0, 0.01))
+    assert all(math.isfinite(x) for x in toxicity.line(np.where(y == 1, 50.0, -50.0), y))  # apart by any line
+
+
+def test_toxicity_ratios_and_scores_equal_a_plain_version():
+    s = toxicity.Settings(bits=10, sizes=(2, 3), features=1 << 10)
+    texts = ["ab ab c", "", "B a", "cab"]
+    distinct = toxicity.Distinct(1 << s.bits)
+    for t in texts:
+        padded = b" " + b" ".join(t.lower().encode().split()) + b" " if t else b""
+        want = set()
+        for n in s.sizes:
+            for i in range(len(padded) - n + 1):
+                acc = 0
+                for c in padded[i : i + n]:
+                    acc = (acc * 0x100000001B3 + c) % 2**64
+                want.add((acc + n) * 0x9E3779B97F4A7C15 % 2**64 >> 64 - s.bits)
+        assert set(distinct(toxicity.ngrams(t, s)).tolist()) == want
+    pos, neg = np.array([3, 0, 5]), np.array([1, 2, 5])
+    a, b = s.smoothing * 6 / 16, s.smoothing * 10 / 16
+    for got, p, n in zip(toxicity.ratios(pos, neg, 6, 10, s), pos, neg):
+        assert abs(got - (math.log((p + a) / (6 + a)) - math.log((n + b) / (10 + b)))) < 1e-12
+    model = toxicity.Model(np.linspace(-1, 1, 1 << s.bits), -0.3)
+    for t, got in zip(texts, toxicity.scorer(model, s)(texts)):
+        z = -0.3 + sum(model.weights[f] for f in set(toxicity.ngrams(t, s).tolist()))
+        assert abs(got - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_toxicity_takes_one_text_an_id(spark):
+    docs, labels = labelled(120)
+    many = docs + [docs[0]] * 500
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    once, often = (toxicity.fit(spark.createDataFrame(d, "doc_id long, text string, x string"), lab, SMALL) for d in (docs, many))
+    assert np.array_equal(once.weights, often.weights) and once.intercept == often.intercept
+
+
 def corpus():
     r = random.Random(9)
     weights = [1 / (i + 1) for i in range(800)]
