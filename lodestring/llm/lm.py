@@ -45,7 +45,7 @@ from .blocks import MESSAGE, Words, each_block, message_batch, mix, per_block, p
 from .common import pick, stage
 from .simhash import LOWER
 
-TABLE_BITS = 21
+TABLE_BITS = 20
 ORDERS = (1, 2, 3, 5)  # bytes of the contexts of spelling
 PREDICTORS = 4
 LEVELS = 8  # of confidence: log2 of how often a context was seen
@@ -58,7 +58,7 @@ SCALE = 160
 MAP_CELLS = 33
 MAPS = 256
 CHUNK = 1 << 14  # words or bytes whose decisions are taken together
-LEARN_CHUNK = 1 << 13  # the same between two steps of the weights
+LEARN_CHUNK = 1 << 14  # the same between two steps of the weights
 SHARD_WORDS = 1 << 23  # running words of the corpus a shard
 TASK_WORDS = 1 << 23  # running words that a task counts before it gives its tables away
 FREQUENT = 17  # a frequent word is one of 2 ** FREQUENT tokens at least: so many words at most
@@ -67,6 +67,7 @@ BEFORE = 3  # words of the context of a repeat
 CLASSES = 64
 RATE = 0.3
 SLICES = 8
+AT_ONCE = 1 << 20  # entries of a shard that are compared together
 STEP = "part int, slice int, source long, packed binary"
 
 
@@ -146,10 +147,27 @@ def predict(kind: int, shard: int, blocks: list[int], packed: list[bytes]) -> li
     the same without one count of the word itself, as a training text sees it.
     """
     parts = [unsqueeze(p, "<u4", "<u2", "<u2") for p in packed]
-    cell = np.concatenate([np.cumsum(p[0].astype(np.uint64)) for p in parts])
-    key = cell << np.uint64(16) | np.concatenate([p[1] for p in parts])
+    cells = [np.cumsum(p[0], dtype=np.uint32) for p in parts]
+    replies = [np.zeros(len(c), np.uint8) for c in cells]
+    entries = sum(len(c) for c in cells)
+    ranges = max(1, -(-entries // AT_ONCE))
+    for k in range(ranges):  # a range of contexts at a time
+        low, high = (np.uint64(x * (1 << 32) // ranges) for x in (k, k + 1))
+        cut = [(int(np.searchsorted(c, low)), int(np.searchsorted(c, high))) for c in cells]
+        key = np.concatenate([c[a:b].astype(np.uint64) << np.uint64(16) | p[1][a:b] for c, p, (a, b) in zip(cells, parts, cut)])
+        if len(key):
+            found = predicted(key, np.concatenate([p[2][a:b] for p, (a, b) in zip(parts, cut)]))
+            at = 0
+            for r, (a, b) in zip(replies, cut):
+                r[a:b] = found[at : at + b - a]
+                at += b - a
+    return [(block, kind, shard, squeeze(r)) for block, r in zip(blocks, replies, strict=True)]
+
+
+def predicted(key: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The byte of each (context, next word), all of a context's being there."""
     pair, back = np.unique(key, return_inverse=True)
-    total = np.bincount(back, weights=np.concatenate([p[2] for p in parts]), minlength=len(pair)).astype(np.int64)
+    total = np.bincount(back, weights=count, minlength=len(pair)).astype(np.int64)
     own = pair >> np.uint64(16)
     order = np.lexsort((pair, -total, own))
     new = np.ones(len(order), bool)
@@ -164,16 +182,10 @@ def predict(kind: int, shard: int, blocks: list[int], packed: list[bytes]) -> li
     one, two, three = (t[group] for t in top)
     plain = (place == 0).astype(np.int64) << 3 | strength(one, two)
     left = one - 1
-    stays = left >= two
-    without_first = np.where(stays, 8 | strength(left, two), strength(two, np.maximum(left, three)))
+    without_first = np.where(left >= two, 8 | strength(left, two), strength(two, np.maximum(left, three)))
     without_second = strength(one, np.maximum(two - 1, three))
     alone = np.where(place == 0, without_first, np.where(place == 1, without_second, strength(one, two)))
-    reply = ((alone << 4) | plain).astype(np.uint8)[back]
-    rows, at = [], 0
-    for block, p in zip(blocks, parts, strict=True):
-        rows.append((block, kind, shard, squeeze(reply[at : at + len(p[0])])))
-        at += len(p[0])
-    return rows
+    return ((alone << 4) | plain).astype(np.uint8)[back]
 
 
 def count_words(kind: int, shard: int, blocks: list[int], packed: list[bytes], frequent: int) -> list[tuple]:
@@ -403,7 +415,7 @@ def new_table() -> np.ndarray:
     return np.zeros((PREDICTORS, 2 << TABLE_BITS), np.float32)
 
 
-def add_counts(table: np.ndarray, decisions: Iterator[Decisions], most: int = 1 << 21) -> None:
+def add_counts(table: np.ndarray, decisions: Iterator[Decisions], most: int = 1 << 20) -> None:
     """Counts decisions, about so many at a time."""
     held, n = [[] for _ in range(PREDICTORS)], 0
 
@@ -660,6 +672,7 @@ class Plan:
             return visit, lambda task: (learned_row(-1 - m, task, x.facts().tobytes()) for m, x in enumerate(learners))
 
         rows = stage(self.in_few_tasks(make, PASS), "learned")
+        shipped.unpersist()
         facts = tree_sum(rows.where("part < 0").select("part", "slice", "source", "packed"), self.tasks)
         return rows.where("part = 1").select(*DOC), rows.where("part = 2").select("packed"), [Mixer(table, facts.get((-1 - m, 0))) for m, table in enumerate(tables)]
 
