@@ -65,7 +65,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
     index = open_index(spark, args, base)
     if args.save_index:
         index.save(args.save_index)
-    if args.insert_percentage and not args.load_index:
+    if args.insert_percentage:  # into a loaded index, too: it was built from the other rows
         index = index.append(inserts, args.mode, args.set_min_build_threshold) if isinstance(index, StateIndex) else index.append(inserts)
     points = []
     for ef in EFS if args.mode == "postfilter" else (0,):

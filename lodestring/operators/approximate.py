@@ -12,8 +12,17 @@ from ..functions import l2
 from .search import largest_k, top_k
 
 
-def lsh_topk(base: DataFrame, queries: DataFrame, bucket: float = 2.0, tables: int = 8, radius: float = 10.0, seed: int = 11) -> DataFrame:
-    """Rows that share a random-projection bucket with the query, filtered by the pattern."""
+def lsh_topk(base: DataFrame, queries: DataFrame, bucket: float | None = None, tables: int = 8, radius: float = float("inf"), seed: int = 11, sample: int = 1000) -> DataFrame:
+    """Rows that share a random-projection bucket with the query, filtered by the pattern.
+
+    bucket is the width of a bucket; by default a quarter of the mean norm of at most `sample`
+    vectors, so that a projection of a unit vector has about 8 buckets at any scale of the data.
+    """
+    if bucket is None:
+        zero = F.lit(0.0).cast("double")
+        norm = F.sqrt(F.aggregate("v", zero, lambda a, x: a + x.cast("double") * x.cast("double")))
+        some = base.where("v IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(sample)
+        bucket = 0.25 * (some.agg(F.avg(norm)).first()[0] or 4.0) or 1.0
     left = base.where("v IS NOT NULL").select("id", "s", array_to_vector("v").alias("x"))
     right = queries.select("qid", "p", "k", array_to_vector("qv").alias("x"))
     model = BucketedRandomProjectionLSH(inputCol="x", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(left)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import all_substrings, l2
-from .search import largest_k, matches, top_k
+from .search import exact_topk_batch, largest_k, top_k
 
 
 def substrings(base: DataFrame, max_length: int = 512) -> DataFrame:
@@ -24,15 +24,15 @@ def substrings(base: DataFrame, max_length: int = 512) -> DataFrame:
 class SubstringDictionary:
     """Exact-key lookup of whole patterns."""
 
-    def __init__(self, base: DataFrame, entries: DataFrame):
-        self.base, self.entries = base, entries
+    def __init__(self, base: DataFrame, entries: DataFrame, max_length: int = 512):
+        self.base, self.entries, self.max_length = base, entries, max_length
 
     @staticmethod
     def build(base: DataFrame, max_length: int = 512) -> SubstringDictionary:
-        return SubstringDictionary(base, substrings(base, max_length))
+        return SubstringDictionary(base, substrings(base, max_length), max_length)
 
     def append(self, rows: DataFrame) -> SubstringDictionary:
-        return SubstringDictionary(self.base.unionByName(rows), self.entries.unionByName(substrings(rows)))
+        return SubstringDictionary(self.base.unionByName(rows), self.entries.unionByName(substrings(rows, self.max_length)), self.max_length)
 
     def save(self, path: str) -> None:
         self.base.write.mode("overwrite").parquet(f"{path}/base")
@@ -49,7 +49,6 @@ class SubstringDictionary:
         """(qid, rank, id, dist); the empty pattern stands for all rows."""
         keyed = queries.where("p <> ''").join(self.entries.withColumnRenamed("g", "p"), "p")
         hits = keyed.join(self.base.select("id", "v"), "id").select("qid", "k", "id", l2(F.col("v"), F.col("qv")).alias("dist"))
+        found = top_k(hits, F.col("k"), largest_k(queries))
         empty = queries.where("p = ''")
-        if not empty.isEmpty():
-            hits = hits.unionAll(matches(self.base, empty))
-        return top_k(hits, F.col("k"), largest_k(queries))
+        return found if empty.isEmpty() else found.unionAll(exact_topk_batch(self.base, empty))

@@ -78,5 +78,5 @@ def split_inserts(base: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     held = n * percent // 100
     if not held:
         return base, base.limit(0)
-    edge = base.select("id").orderBy(F.desc("id")).limit(held).agg(F.min("id")).first()[0]
+    edge = numbered(base.select("id")).where(F.col("n") == n - held).first()["id"]  # by counts of ranges
     return base.where(F.col("id") < edge), base.where(F.col("id") >= edge)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import all_substrings, l2
 from ..plans.storage import checkpointed
-from .search import largest_k, matches, top_k
+from .search import exact_topk_batch, largest_k, top_k
 
 
 def occurrences(base: DataFrame) -> DataFrame:
@@ -23,10 +23,11 @@ def occurrences(base: DataFrame) -> DataFrame:
 
 def members(base: DataFrame) -> DataFrame:
     """(g, state): the class of every distinct substring; a state is its longest member."""
-    places = F.sort_array(F.collect_list(F.struct("id", "end")))
-    # two hashes and the count stand for the list of places
-    keyed = occurrences(base).groupBy("g").agg(places.alias("at")).select("g", F.xxhash64("at").alias("h1"), F.hash("at").alias("h2"), F.size("at").alias("n"))
-    longest = F.max_by("g", F.length("g")).over(Window.partitionBy("h1", "h2", "n"))
+    # places are distinct, so their number with two sums that don't depend on order stands for the set; all are added up before the shuffle
+    one, two = F.xxhash64("id", "end"), F.xxhash64("end", "id")
+    low = F.sum(two.bitwiseAND(F.lit((1 << 31) - 1)))
+    keyed = occurrences(base).groupBy("g").agg(F.bit_xor(one).alias("h1"), F.bit_xor(two).alias("h2"), low.alias("h3"), F.count("*").alias("n"))
+    longest = F.max_by("g", F.length("g")).over(Window.partitionBy("h1", "h2", "h3", "n"))
     return keyed.select("g", longest.alias("state"))
 
 
@@ -39,16 +40,16 @@ def states(base: DataFrame) -> DataFrame:
     return suffix.join(m.withColumnRenamed("state", "link"), "g", "left").select("state", "len", "n_substrings", "link")
 
 
-def transitions(base: DataFrame) -> DataFrame:
-    """(state, ch, target) of appending a letter."""
-    m = members(base)
+def transitions(base: DataFrame, m: DataFrame | None = None) -> DataFrame:
+    """(state, ch, target) of appending a letter; m are the members, if known."""
+    m = members(base) if m is None else m
     longer = m.select(F.expr("left(g, length(g) - 1)").alias("state"), F.expr("right(g, 1)").alias("ch"), F.col("state").alias("target"))
     return longer.where("state <> ''").join(m.select("state").distinct(), "state")
 
 
-def state_rows(base: DataFrame) -> DataFrame:
-    """(state, id): the rows that hold each state's substrings."""
-    named = members(base).select("state").distinct().withColumnRenamed("state", "g")
+def state_rows(base: DataFrame, m: DataFrame | None = None) -> DataFrame:
+    """(state, id): the rows that hold each state's substrings; m are the members, if known."""
+    named = (members(base) if m is None else m).select("state").distinct().withColumnRenamed("state", "g")
     return occurrences(base).select("g", "id").distinct().join(named, "g").select(F.col("g").alias("state"), "id")
 
 
@@ -106,16 +107,17 @@ class StateIndex:
 
     @staticmethod
     def build(base: DataFrame, mode: str = "delta", threshold: int = 200) -> StateIndex:
-        rows = state_rows(base)
+        m = checkpointed(base.sparkSession, members(base))
+        rows = checkpointed(base.sparkSession, state_rows(base, m))
         sizes = rows.groupBy("state").agg(F.count("*").alias("n"))
         if mode == "full":
             layout = sizes.select("state", F.lit(None).cast("string").alias("base"), "n", F.col("n").alias("n_local"), F.lit(True).alias("has_graph"))
-            return StateIndex(base, members(base), layout, rows)
+            return StateIndex(base, m, layout, rows)
         if mode != "delta":
             raise ValueError("mode is full or delta")
-        layout = choose_bases(transitions(base), sizes, threshold)
+        layout = choose_bases(transitions(base, m), sizes, threshold)
         of_base = layout.where("base IS NOT NULL").select("state", "base").join(rows.select(F.col("state").alias("base"), "id"), "base").select("state", "id")
-        return StateIndex(base, members(base), layout, rows.join(of_base, ["state", "id"], "left_anti"))
+        return StateIndex(base, m, layout, rows.join(of_base, ["state", "id"], "left_anti"))
 
     def append(self, new: DataFrame, mode: str = "delta", threshold: int = 200) -> StateIndex:
         """The index of all rows, equal to a rebuild."""
@@ -130,10 +132,14 @@ class StateIndex:
     def search(self, queries: DataFrame) -> DataFrame:
         named = queries.where("p <> ''").join(self.substates.withColumnRenamed("g", "p"), "p").select("qid", "qv", "k", "state")
         hits = self.rows_of(named).join(self.base.select("id", "v"), "id").select("qid", "k", "id", l2(F.col("v"), F.col("qv")).alias("dist"))
+        found = top_k(hits, F.col("k"), largest_k(queries))
         empty = queries.where("p = ''")
-        if not empty.isEmpty():
-            hits = hits.unionAll(matches(self.base, empty))
-        return top_k(hits, F.col("k"), largest_k(queries))
+        return found if empty.isEmpty() else found.unionAll(exact_topk_batch(self.base, empty))
+
+    def describe(self) -> DataFrame:
+        """(state, base, n, n_local, has_graph, ids): the index for people, ids of the local rows; for small corpora."""
+        ids = self.local.groupBy("state").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+        return self.layout.join(ids, "state", "left").orderBy("state")
 
     def vertex_count(self) -> DataFrame:
         return self.layout.where("has_graph").agg(F.coalesce(F.sum("n_local"), F.lit(0)).alias("vertices"))

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import l2
 from ..operators.postings import gram_frequencies, gram_rows, pattern_keys, rarest
-from ..operators.search import bounded, exact_topk_batch, largest_k, matches, postfilter_topk, top_k
+from ..operators.search import bounded, exact_topk_batch, largest_k, postfilter_topk, top_k
 from ..sources.files import check_dimension
-from .storage import checkpointed
+from .storage import checkpointed, remove, stored_bytes
 
 
 class GramIndex:
@@ -46,11 +46,16 @@ class GramIndex:
         self.base.sparkSession.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
     def save_append(self, path: str, rows: DataFrame) -> None:
-        """Adds rows to a saved index: new files alone, nothing is rewritten."""
+        """Adds rows to a saved index: new files alone, nothing is rewritten.
+
+        Postings go first: a row counts from when it stands in base, and then it has all its
+        postings. Rows of an append that died before that are added again by the next, and
+        searches take posting rows that stand twice once.
+        """
         rows = rows.where("s IS NOT NULL AND v IS NOT NULL").select("id", "s", "v")
         check_dimension(rows, expected=self.dim)
-        rows.write.mode("append").parquet(f"{path}/base")
         gram_rows(rows, self.n_max).repartitionByRange("g", "id").sortWithinPartitions("g", "id").write.mode("append").parquet(f"{path}/postings")
+        rows.write.mode("append").parquet(f"{path}/base")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> GramIndex:
@@ -58,14 +63,25 @@ class GramIndex:
         return GramIndex(spark.read.parquet(f"{path}/base"), spark.read.parquet(f"{path}/postings"), meta["n_max"], meta["dim"])
 
     def compact(self, path: str) -> GramIndex:
-        """A copy of a saved index at another path, its appended files merged and sorted."""
-        self.save(path)
+        """A copy of a saved index at another path, its appended files merged and sorted, posting rows once."""
+        GramIndex(self.base, self.postings.join(self.base.select("id"), "id", "left_semi").select("g", "id").distinct(), self.n_max, self.dim).save(path)
         return GramIndex.load(self.base.sparkSession, path)
 
+    @staticmethod
+    def clear(spark: SparkSession, path: str) -> None:
+        """Deletes a saved index."""
+        remove(spark, path)
+
+    @staticmethod
+    def byte_report(spark: SparkSession, path: str) -> DataFrame:
+        """(base_bytes, posting_bytes, ratio) of a saved index; ratio is all its bytes by those of the base."""
+        base, postings = (stored_bytes(spark, f"{path}/{x}") for x in ("base", "postings"))
+        return spark.createDataFrame([(base, postings, (base + postings) / base if base else None)], "base_bytes long, posting_bytes long, ratio double")
+
     def size_report(self) -> DataFrame:
         """(rows, string_chars, vector_values, posting_keys, posting_rows)"""
         data = self.base.agg(F.count("*").alias("rows"), F.sum(F.length("s")).alias("string_chars"), F.sum(F.size("v").cast("long")).alias("vector_values"))
-        keys = self.postings.agg(F.countDistinct("g").alias("posting_keys"), F.count("*").alias("posting_rows"))
+        keys = self.postings.distinct().groupBy("g").agg(F.count("*").alias("n")).agg(F.count("*").alias("posting_keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("posting_rows"))
         return data.join(F.broadcast(keys))  # a row each
 
     def find(self, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -76,7 +92,7 @@ class GramIndex:
         keys = pattern_keys(queries, self.n_max)
         needed = keys.select("g").distinct()
         needed = F.broadcast(needed) if bounded(queries) else needed
-        hits = checkpointed(self.base.sparkSession, self.postings.join(needed, "g").select("g", "id"))
+        hits = checkpointed(self.base.sparkSession, self.postings.join(needed, "g").select("g", "id").distinct())
         return hits, rarest(keys, gram_frequencies(hits))
 
     def verified(self, hits: DataFrame, keys: DataFrame, queries: DataFrame) -> DataFrame:
@@ -97,11 +113,9 @@ class GramIndex:
             return postfilter_topk(self.base, queries, ef)
         most = largest_k(queries)
         if strategy == "prefilter":
-            found = self.verified(*self.find(queries), queries)
+            found = top_k(self.verified(*self.find(queries), queries), F.col("k"), most)
             empty = queries.where("p = ''")
-            if not empty.isEmpty():
-                found = found.unionAll(matches(self.base, empty))
-            return top_k(found, F.col("k"), most)
+            return found if empty.isEmpty() else found.unionAll(exact_topk_batch(self.base, empty))
         if strategy != "auto":
             raise ValueError(f"no strategy {strategy}")
         n = self.base.count()
@@ -109,6 +123,4 @@ class GramIndex:
         rare, common = keys.where(F.col("df") <= scan_share * n), keys.where(F.col("df") > scan_share * n)
         wide = queries.join(common, "qid", "left_semi").unionAll(queries.where("p = ''"))
         by_key = top_k(self.verified(hits, rare, queries), F.col("k"), most)
-        if not bounded(wide):
-            return by_key.unionAll(exact_topk_batch(self.base, wide))
-        return by_key.unionAll(top_k(matches(self.base, wide), F.col("k"), most))
+        return by_key.unionAll(exact_topk_batch(self.base, wide))

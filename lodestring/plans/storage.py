@@ -10,10 +10,34 @@ from pyspark.sql import DataFrame, SparkSession
 
 def checkpointed(spark: SparkSession, df: DataFrame) -> DataFrame:
     """df written to the folder in spark.checkpoint.dir and read back: no lineage to recompute."""
+    path = f"{shared_dir(spark)}/lodestring/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where that is unset a local session gets one of this machine; a cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:  # tests
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="lodestring-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/lodestring/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return folder
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of a path, as Spark's readers see it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of a folder's files."""
+    files, at = hadoop_path(spark, path)
+    return int(files.getContentSummary(at).getLength())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, at = hadoop_path(spark, path)
+    files.delete(at, True)

@@ -13,9 +13,9 @@ from .operators import approximate, evaluate, generate, postings, search, states
 from .operators.dictionary import SubstringDictionary
 from .operators.states import StateIndex
 from .plans.index import GramIndex
-from .plans.storage import checkpointed
+from .plans.storage import checkpointed, shared_dir
 from .sources.sinks import result_lists
-from .sources.tables import corpus, default_queries, part_corpus, read
+from .sources.tables import corpus, default_queries, document_strings, part_corpus, part_strings, read
 from .streaming.ingest import append_stream
 
 EFS = [8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024]
@@ -25,6 +25,8 @@ EFS = [8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024]
 LETTERS = "lower(regexp_replace({}, '[^a-zA-Z]', '', 'g'))"
 BASE = f"base AS (SELECT doc_id AS id, {LETTERS.format('text')} AS s, embedding AS v FROM documents JOIN embeddings ON doc_id = vec_id WHERE {LETTERS.format('text')} <> '' AND embedding IS NOT NULL)"
 PARTS = f"base AS (SELECT p_partkey AS id, {LETTERS.format('p_name')} AS s, embedding AS v FROM part JOIN embeddings ON p_partkey = vec_id WHERE {LETTERS.format('p_name')} <> '' AND embedding IS NOT NULL)"
+STRINGS = f"base AS (SELECT doc_id AS id, {LETTERS.format('text')} AS s FROM documents WHERE {LETTERS.format('text')} <> '')"
+PART_STRINGS = f"base AS (SELECT p_partkey AS id, {LETTERS.format('p_name')} AS s FROM part WHERE {LETTERS.format('p_name')} <> '')"
 DIST = "sqrt(list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(1, len({0}) + 1), lambda i: ({0}[i]::DOUBLE - {1}[i]::DOUBLE) * ({0}[i]::DOUBLE - {1}[i]::DOUBLE))), lambda x, y: x + y))"
 
 
@@ -50,6 +52,14 @@ STATE_ROWS = "state_rows AS (SELECT DISTINCT g AS state, id FROM subs WHERE g IN
 EDGES = "edges AS (SELECT DISTINCT left(m.g, length(m.g) - 1) AS state, right(m.g, 1) AS ch, m.state AS target FROM members m WHERE left(m.g, length(m.g) - 1) IN (SELECT state FROM members))"
 
 Query = Callable[[SparkSession, str], DataFrame]
+
+
+def prepared(spark: SparkSession, sf_dir: str, make: Callable[[SparkSession, str], DataFrame] = corpus, **how) -> tuple[DataFrame, DataFrame]:
+    """The corpus and its queries, each written once: strategies read them several times."""
+    base = checkpointed(spark, make(spark, sf_dir))
+    return base, checkpointed(spark, default_queries(base, **how))
+
+
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
@@ -116,21 +126,19 @@ def exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(BATCH_SQL)
 def exact_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = corpus(spark, sf_dir)
-    return search.exact_topk_batch(base, default_queries(base))
+    return search.exact_topk_batch(*prepared(spark, sf_dir))
 
 
 @query(with_sql(BASE, asked_sql(k="id % 7"), topk_sql()))
 def variable_k_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = corpus(spark, sf_dir)
-    return search.exact_topk_batch(base, default_queries(base).withColumn("k", (F.col("qid") % 7).cast("int")))
+    base, asked = prepared(spark, sf_dir)
+    return search.exact_topk_batch(base, asked.withColumn("k", (F.col("qid") % 7).cast("int")))
 
 
 @query(with_sql(BASE, asked_sql(k="5").replace("substring(s, 5, 3)", "''"), topk_sql()))
 def empty_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = corpus(spark, sf_dir)
-    asked = default_queries(base, k=5).withColumn("p", F.lit(""))
-    return GramIndex.build(base, 2).search(asked, "prefilter")
+    base, asked = prepared(spark, sf_dir, k=5)
+    return GramIndex.build(base, 2).search(asked.withColumn("p", F.lit("")), "prefilter")
 
 
 @query(with_sql(BASE, asked_sql(), topk_sql(), select="SELECT qid, string_agg(id, ' ' ORDER BY rank) AS ids FROM topk GROUP BY qid"))
@@ -139,36 +147,43 @@ def ground_truth_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select("qid", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
+@query(with_sql(BASE, asked_sql(), topk_sql(), select="SELECT * FROM topk WHERE rank <= 6"))
+def capped_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filtered search with at most six candidates a query."""
+    base, asked = prepared(spark, sf_dir)
+    return search.filtered_topk(base, asked.withColumn("k", F.least("k", F.lit(6))), num_candidates=6)
+
+
 # --- postings ---------------------------------------------------------------------------
 
 
 @query(BATCH_SQL)
 def prefilter_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = corpus(spark, sf_dir)
-    return GramIndex.build(base, 3).search(default_queries(base), "prefilter")
+    base, asked = prepared(spark, sf_dir)
+    return GramIndex.build(base, 3).search(asked, "prefilter")
 
 
 @query(with_sql(BASE, asked_sql(length=7), topk_sql()))
 def long_pattern_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = corpus(spark, sf_dir)
-    return GramIndex.build(base, 3).search(default_queries(base, length=7), "prefilter")
+    base, asked = prepared(spark, sf_dir, length=7)
+    return GramIndex.build(base, 3).search(asked, "prefilter")
 
 
 @query(with_sql(BASE, asked_sql(length=2), topk_sql()))
 def planned_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = corpus(spark, sf_dir)
-    return GramIndex.build(base, 3).search(default_queries(base, length=2))
+    base, asked = prepared(spark, sf_dir, length=2)
+    return GramIndex.build(base, 3).search(asked)
 
 
-@query(with_sql(BASE, "rows AS (SELECT DISTINCT id, substring(s, i, 2) AS g FROM (SELECT id, s, unnest(range(1, length(s))) AS i FROM base))", select="SELECT g, count(*) AS df, string_agg(id, ',' ORDER BY id) AS ids FROM rows GROUP BY g"))
+@query(with_sql(STRINGS, "rows AS (SELECT DISTINCT id, substring(s, i, 2) AS g FROM (SELECT id, s, unnest(range(1, length(s))) AS i FROM base))", select="SELECT g, count(*) AS df, string_agg(id, ',' ORDER BY id) AS ids FROM rows GROUP BY g"))
 def postings_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = postings.posting_lists(postings.gram_rows(corpus(spark, sf_dir), 2, 2))
+    lists = postings.posting_lists(postings.gram_rows(document_strings(spark, sf_dir), 2, 2))
     return lists.select("g", F.size("ids").cast("long").alias("df"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
-@query(with_sql(BASE, "rows AS (SELECT DISTINCT id, n, substring(s, i, n) AS g FROM (SELECT id, s, n, unnest(range(1, length(s) - n + 2)) AS i FROM base, (SELECT unnest([1, 2, 3]) AS n))), dfs AS (SELECT n, g, count(*) AS df FROM rows GROUP BY n, g UNION ALL SELECT 0, '', count(*) FROM base)", select="SELECT CAST(n AS BIGINT) AS n, count(*) AS n_substrings, median(CAST(df AS DOUBLE)) AS median_df, avg(df) AS avg_df FROM dfs GROUP BY n"))
+@query(with_sql(STRINGS, "rows AS (SELECT DISTINCT id, n, substring(s, i, n) AS g FROM (SELECT id, s, n, unnest(range(1, length(s) - n + 2)) AS i FROM base, (SELECT unnest([1, 2, 3]) AS n))), dfs AS (SELECT n, g, count(*) AS df FROM rows GROUP BY n, g UNION ALL SELECT 0, '', count(*) FROM base)", select="SELECT CAST(n AS BIGINT) AS n, count(*) AS n_substrings, median(CAST(df AS DOUBLE)) AS median_df, avg(df) AS avg_df FROM dfs GROUP BY n"))
 def gram_df_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings.depth_statistics(corpus(spark, sf_dir), 3)
+    return postings.depth_statistics(document_strings(spark, sf_dir), 3)
 
 
 @query(with_sql(BASE, select="SELECT count(*) AS rows, CAST(sum(length(s)) AS BIGINT) AS string_chars, CAST(sum(len(v)) AS BIGINT) AS vector_values, (SELECT count(DISTINCT g) FROM grams) AS posting_keys, (SELECT count(*) FROM grams) AS posting_rows FROM base").replace(" SELECT count(*) AS rows", ", grams AS (SELECT DISTINCT id, substring(s, i, n) AS g FROM (SELECT id, s, n, unnest(range(1, length(s) - n + 2)) AS i FROM base, (SELECT unnest([1, 2]) AS n))) SELECT count(*) AS rows"))
@@ -181,8 +196,7 @@ def gram_index_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_sql(BASE, asked_sql(), NEAR, select="SELECT qid, rank, id, dist FROM (SELECT qid, k, id, dist, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM near WHERE near_rank <= 100 AND contains(s, p)) WHERE rank <= k"))
 def postfilter_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = corpus(spark, sf_dir)
-    return search.postfilter_topk(base, default_queries(base), ef=100)
+    return search.postfilter_topk(*prepared(spark, sf_dir), ef=100)
 
 
 SWEEP = f"points AS (SELECT unnest({EFS}) AS ef_search), found AS (SELECT * FROM (SELECT ef_search, qid, k, id, row_number() OVER (PARTITION BY ef_search, qid ORDER BY dist, id) AS rank FROM near JOIN points ON near_rank <= greatest(ef_search, k) WHERE contains(s, p)) WHERE rank <= k), sizes AS (SELECT qid, count(*) AS n FROM topk GROUP BY qid), sweep AS (SELECT ef_search, avg(coalesce(hit, 0) / n) AS recall FROM sizes CROSS JOIN points LEFT JOIN (SELECT f.ef_search, f.qid, count(*) AS hit FROM found f JOIN topk t ON f.qid = t.qid AND f.id = t.id GROUP BY ALL) USING (ef_search, qid) GROUP BY ef_search)"
@@ -190,8 +204,7 @@ SWEEP = f"points AS (SELECT unnest({EFS}) AS ef_search), found AS (SELECT * FROM
 
 @query(with_sql(BASE, asked_sql(), topk_sql(), NEAR, SWEEP, select="SELECT ef_search, round(recall, 9) AS recall FROM sweep"))
 def ef_sweep_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = checkpointed(spark, corpus(spark, sf_dir))
-    asked = default_queries(base)
+    base, asked = prepared(spark, sf_dir)
     truth = search.exact_topk_batch(base, asked)
     return search.ef_sweep(base, asked, truth, EFS).withColumn("recall", F.round("recall", 9))
 
@@ -205,16 +218,14 @@ def best_operating_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_sql(BASE, asked_sql(), topk_sql(), NEAR, "found AS (SELECT qid, id FROM (SELECT qid, k, id, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM near WHERE near_rank <= 64 AND contains(s, p)) WHERE rank <= k), sizes AS (SELECT qid, count(*) AS n FROM topk GROUP BY qid)", select="SELECT round(avg(coalesce(hit, 0) / n), 9) AS recall FROM sizes LEFT JOIN (SELECT qid, count(*) AS hit FROM found SEMI JOIN topk USING (qid, id) GROUP BY qid) USING (qid)"))
 def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = checkpointed(spark, corpus(spark, sf_dir))
-    asked = default_queries(base)
+    base, asked = prepared(spark, sf_dir)
     found = evaluate.recall(search.postfilter_topk(base, asked, ef=64), search.exact_topk_batch(base, asked))
     return found.select(F.round("recall", 9).alias("recall"))
 
 
 @query(BATCH_SQL)
 def merge_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = corpus(spark, sf_dir)
-    asked = default_queries(base)
+    base, asked = prepared(spark, sf_dir)
     halves = [search.exact_topk_batch(base.where(F.col("id") % 2 == i), asked) for i in (0, 1)]
     return search.merge_topk(halves, asked)
 
@@ -224,60 +235,60 @@ def merge_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(PART_BATCH_SQL)
 def optquery_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = part_corpus(spark, sf_dir)
-    return SubstringDictionary.build(base).search(default_queries(base, every=25, start=2))
+    base, asked = prepared(spark, sf_dir, part_corpus, every=25, start=2)
+    return SubstringDictionary.build(base).search(asked)
 
 
-@query(with_sql(PARTS, SUBS, select="SELECT g, count(DISTINCT id) AS df, string_agg(DISTINCT id, ',' ORDER BY id) AS ids FROM subs GROUP BY g"))
+@query(with_sql(PART_STRINGS, SUBS, select="SELECT g, count(DISTINCT id) AS df, string_agg(DISTINCT id, ',' ORDER BY id) AS ids FROM subs GROUP BY g"))
 def optquery_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = postings.posting_lists(SubstringDictionary.build(part_corpus(spark, sf_dir)).entries)
+    lists = postings.posting_lists(SubstringDictionary.build(part_strings(spark, sf_dir)).entries)
     return lists.select("g", F.size("ids").cast("long").alias("df"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
-@query(with_sql(PARTS, SUBS, MEMBERS, "grouped AS (SELECT state, count(*) AS n_substrings, min(length(g)) AS shortest FROM members GROUP BY state)", select="SELECT b.state, CAST(length(b.state) AS BIGINT) AS len, n_substrings, m.state AS link FROM grouped b LEFT JOIN members m ON m.g = right(b.state, shortest - 1)"))
+@query(with_sql(PART_STRINGS, SUBS, MEMBERS, "grouped AS (SELECT state, count(*) AS n_substrings, min(length(g)) AS shortest FROM members GROUP BY state)", select="SELECT b.state, CAST(length(b.state) AS BIGINT) AS len, n_substrings, m.state AS link FROM grouped b LEFT JOIN members m ON m.g = right(b.state, shortest - 1)"))
 def state_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return states.states(part_corpus(spark, sf_dir))
+    return states.states(part_strings(spark, sf_dir))
 
 
-@query(with_sql(PARTS, SUBS, MEMBERS, EDGES, select="SELECT target, count(*) AS n_edges, string_agg(DISTINCT state, ',' ORDER BY state) AS sources FROM edges GROUP BY target"))
+@query(with_sql(PART_STRINGS, SUBS, MEMBERS, EDGES, select="SELECT target, count(*) AS n_edges, string_agg(DISTINCT state, ',' ORDER BY state) AS sources FROM edges GROUP BY target"))
 def reverse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = states.reverse_edges(states.transitions(part_corpus(spark, sf_dir)))
+    edges = states.reverse_edges(states.transitions(part_strings(spark, sf_dir)))
     return edges.select("target", "n_edges", F.array_join("sources", ",").alias("sources"))
 
 
-@query(with_sql(PARTS, SUBS, MEMBERS, STATE_ROWS, EDGES, "sizes AS (SELECT state, count(*) AS n FROM state_rows GROUP BY state)", select="SELECT state, successor, n FROM (SELECT e.state, e.target AS successor, n, row_number() OVER (PARTITION BY e.state ORDER BY n DESC, e.target) AS r FROM edges e JOIN sizes s ON s.state = e.target) WHERE r = 1"))
+@query(with_sql(PART_STRINGS, SUBS, MEMBERS, STATE_ROWS, EDGES, "sizes AS (SELECT state, count(*) AS n FROM state_rows GROUP BY state)", select="SELECT state, successor, n FROM (SELECT e.state, e.target AS successor, n, row_number() OVER (PARTITION BY e.state ORDER BY n DESC, e.target) AS r FROM edges e JOIN sizes s ON s.state = e.target) WHERE r = 1"))
 def largest_successor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = checkpointed(spark, part_corpus(spark, sf_dir))
+    base = checkpointed(spark, part_strings(spark, sf_dir))
     sizes = states.state_rows(base).groupBy("state").agg(F.count("*").alias("n"))
     return states.largest_successor(states.transitions(base), sizes)
 
 
-@query(with_sql(PARTS, SUBS, MEMBERS, STATE_ROWS, select="SELECT count(*) AS total_ids FROM state_rows"))
+@query(with_sql(PART_STRINGS, SUBS, MEMBERS, STATE_ROWS, select="SELECT count(*) AS total_ids FROM state_rows"))
 def total_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings.total_ids(states.state_rows(part_corpus(spark, sf_dir)))
+    return postings.total_ids(states.state_rows(part_strings(spark, sf_dir)))
 
 
-@query(with_sql(PARTS, SUBS, MEMBERS, STATE_ROWS, select="SELECT count(DISTINCT state) AS states, count(*) AS ids_total, count(*) AS ids_stored, CAST(0 AS BIGINT) AS shared, count(DISTINCT state) AS graphs FROM state_rows"))
+@query(with_sql(PART_STRINGS, SUBS, MEMBERS, STATE_ROWS, select="SELECT count(DISTINCT state) AS states, count(*) AS ids_total, count(*) AS ids_stored, CAST(0 AS BIGINT) AS shared, count(DISTINCT state) AS graphs FROM state_rows"))
 def full_index_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return StateIndex.build(checkpointed(spark, part_corpus(spark, sf_dir)), "full").size_report()
+    return StateIndex.build(checkpointed(spark, part_strings(spark, sf_dir)), "full").size_report()
 
 
 @query()
 def smart_index_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How each state is stored; the choice runs by descending length, which SQL can't express plainly."""
-    return StateIndex.build(checkpointed(spark, part_corpus(spark, sf_dir)), threshold=20).layout
+    return StateIndex.build(checkpointed(spark, part_strings(spark, sf_dir)), threshold=20).layout
 
 
 @query(PART_BATCH_SQL)
 def delta_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = checkpointed(spark, part_corpus(spark, sf_dir))
-    return StateIndex.build(base, threshold=20).search(default_queries(base, every=25, start=2))
+    base, asked = prepared(spark, sf_dir, part_corpus, every=25, start=2)
+    return StateIndex.build(base, threshold=20).search(asked)
 
 
 @query(PART_BATCH_SQL)
 def full_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = checkpointed(spark, part_corpus(spark, sf_dir))
-    return StateIndex.build(base, "full").search(default_queries(base, every=25, start=2))
+    base, asked = prepared(spark, sf_dir, part_corpus, every=25, start=2)
+    return StateIndex.build(base, "full").search(asked)
 
 
 # --- inserts ----------------------------------------------------------------------------
@@ -285,46 +296,45 @@ def full_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_sql(BASE, "cut AS (SELECT count(*) * 30 // 100 AS held FROM base), numbered AS (SELECT row_number() OVER (ORDER BY id DESC) AS r FROM base)", select="SELECT count(*) FILTER (r > held) AS n_base, count(*) FILTER (r <= held) AS n_inserts FROM numbered, cut"))
 def insert_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old, new = generate.split_inserts(corpus(spark, sf_dir), 30)
+    old, new = generate.split_inserts(checkpointed(spark, corpus(spark, sf_dir)), 30)
     kind = old.select(F.lit(0).alias("new")).unionAll(new.select(F.lit(1).alias("new")))
     return kind.agg(F.sum(1 - F.col("new")).alias("n_base"), F.sum("new").alias("n_inserts"))
 
 
 @query(BATCH_SQL)
 def insert_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = corpus(spark, sf_dir)
+    base, asked = prepared(spark, sf_dir)
     old, new = generate.split_inserts(base, 30)
-    return GramIndex.build(old, 3).append(new).search(default_queries(base), "prefilter")
+    return GramIndex.build(old, 3).append(new).search(asked, "prefilter")
 
 
 @query(BATCH_SQL)
 def saved_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Build, save, append to the saved files, load, search."""
-    base = corpus(spark, sf_dir)
+    base, asked = prepared(spark, sf_dir)
     old, new = generate.split_inserts(base, 10)
     path = scratch(spark, "index")
     index = GramIndex.build(old, 3)
     index.save(path)
     index.save_append(path, new)
-    return GramIndex.load(spark, path).search(default_queries(base), "prefilter")
+    return GramIndex.load(spark, path).search(asked, "prefilter")
 
 
 @query(BATCH_SQL)
 def stream_append_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows arrive as a stream of files and are appended by micro-batches."""
-    base = corpus(spark, sf_dir)
+    base, asked = prepared(spark, sf_dir)
     old, new = generate.split_inserts(base, 30)
     path = scratch(spark, "stream")
     GramIndex.build(old, 3).save(f"{path}/index")
     new.select("id", "s", "v").write.parquet(f"{path}/arrivals")
     rows = spark.readStream.schema("id long, s string, v array<float>").parquet(f"{path}/arrivals")
     append_stream(rows, f"{path}/index", f"{path}/progress").awaitTermination()
-    return GramIndex.load(spark, f"{path}/index").search(default_queries(base), "prefilter")
+    return GramIndex.load(spark, f"{path}/index").search(asked, "prefilter")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    checkpointed(spark, spark.range(0))  # sets the folder where it is unset
-    return f"{spark.conf.get('spark.checkpoint.dir')}/lodestring/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/lodestring/{name}-{uuid.uuid4().hex}"
 
 
 # --- workloads --------------------------------------------------------------------------
@@ -356,11 +366,10 @@ def query_generator(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def lsh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = corpus(spark, sf_dir)
-    return approximate.lsh_topk(base, default_queries(base))
+    return approximate.lsh_topk(*prepared(spark, sf_dir))
 
 
 @query()
 def ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = checkpointed(spark, corpus(spark, sf_dir))
-    return approximate.InvertedFile.build(base).search(default_queries(base))
+    base, asked = prepared(spark, sf_dir)
+    return approximate.InvertedFile.build(base).search(asked)

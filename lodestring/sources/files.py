@@ -6,22 +6,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """rows of files with ids from 0, in order of path and place.
+
+    rows have the columns path and start of the split that each came from. A count for each
+    split gives the first id of the next, so nothing is sorted and no row leaves its task.
+    """
+    marked = rows.withColumn("at", F.monotonically_increasing_id())
+    splits = marked.groupBy("path", "start").agg(F.count("*").alias("n"), F.min("at").alias("first"))  # a row a split
+    earlier = Window.orderBy("path", "start").rowsBetween(Window.unboundedPreceding, -1)
+    base = splits.select("path", "start", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
+    return marked.join(base, ["path", "start"]).withColumn("id", F.col("at") + F.col("shift")).drop("at", "shift", "path", "start")
+
+
+def text_rows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(id, value) of every line, ids from 0 in order of the files and lines."""
-    rows = spark.read.text(path).rdd.map(lambda r: r[0]).zipWithIndex().map(lambda x: (x[1], x[0]))
-    return spark.createDataFrame(rows, "id long, value string")
+    return in_order(text_rows(spark, path)).select("id", "value")
 
 
 def read_strings(spark: SparkSession, path: str, tokens: bool = False) -> DataFrame:
     """(id, s): one string a line; with tokens, one a white-space token, blank lines skipped."""
     if not tokens:
         return read_lines(spark, path).select("id", F.rtrim("value").alias("s"))
-    words = spark.read.text(path).select(F.explode(F.split(F.trim("value"), r"\s+")).alias("s")).where("s <> ''")
-    return spark.createDataFrame(words.rdd.map(lambda r: r[0]).zipWithIndex().map(lambda x: (x[1], x[0])), "id long, s string")
+    words = text_rows(spark, path).select(F.explode(F.split(F.trim("value"), r"\s+")).alias("s"), "path", "start").where("s <> ''")
+    return in_order(words).select("id", "s")
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
@@ -61,11 +77,14 @@ def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fvecs(spark: SparkSession, path: str) -> DataFrame:
-    """(id, v) of binary records [int32 dimension][dimension x float32]; ids count through one file."""
+    """(id, v) of binary records [int32 dimension][dimension x float32]; ids count through the files in order of path.
+
+    A file is read by one task, and Spark reads binary files up to 2 GB: larger sets come in several files.
+    """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for content in batch["content"]:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
                 if not content:
                     raise ValueError("empty fvecs file")
                 dim = int(np.frombuffer(content, "<i4", 1)[0])
@@ -77,6 +96,11 @@ def read_fvecs(spark: SparkSession, path: str) -> DataFrame:
                 values = np.ascontiguousarray(rows[:, 1:]).view("<f4")
                 for start in range(0, len(values), 4096):
                     part = values[start : start + 4096]
-                    yield pd.DataFrame({"id": np.arange(start, start + len(part)), "v": list(part)})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "id long, v array<float>")
+                    yield pd.DataFrame({"path": path, "own": np.arange(start, start + len(part)), "v": list(part)})
+
+    files = spark.read.format("binaryFile").load(path)
+    rows = files.select("path", "content").mapInPandas(parse, "path string, own long, v array<float>")
+    sizes = rows.groupBy("path").agg(F.count("*").alias("n"))  # a row a file
+    earlier = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select("path", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
+    return rows.join(first, "path").select((F.col("own") + F.col("first")).alias("id"), "v")

@@ -40,6 +40,10 @@ def test_fvecs(spark, tmp_path):
     data = b"".join(struct.pack("<i3f", 3, *v) for v in ((1, 2, 3), (4, 5, 6)))
     (tmp_path / "x.fvecs").write_bytes(data)
     assert [(r.id, r.v) for r in sources.read_fvecs(spark, str(tmp_path / "x.fvecs")).orderBy("id").collect()] == [(0, [1, 2, 3]), (1, [4, 5, 6])]
+    (tmp_path / "many").mkdir()
+    for name in ("a", "b"):
+        (tmp_path / "many" / f"{name}.fvecs").write_bytes(data)
+    assert [(r.id, r.v[0]) for r in sources.read_fvecs(spark, str(tmp_path / "many")).orderBy("id").collect()] == [(0, 1), (1, 4), (2, 1), (3, 4)]
     (tmp_path / "y.fvecs").write_bytes(data[:-1])
     with pytest.raises(Exception, match="size"):
         sources.read_fvecs(spark, str(tmp_path / "y.fvecs")).collect()
@@ -89,3 +93,17 @@ def test_queries_match_sql(spark, sf_dir, name):
 def test_core_does_not_need_the_text_operators():
     code = "import sys; sys.modules['lodestring.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert 'exact_topk' in q and not any(n.startswith('op') and n[2].isdigit() for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=sys.path[0])
+
+
+def test_line_numbers_run_through_files_and_splits(spark, tmp_path):
+    lines = [f"line {i} " + "x" * (i % 50) for i in range(4000)]
+    (tmp_path / "many").mkdir()
+    for name, part in (("b", lines[100:]), ("a", lines[:100])):
+        (tmp_path / "many" / name).write_text("\n".join(part) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        got = sources.read_lines(spark, str(tmp_path / "many"))
+        assert got.rdd.getNumPartitions() > 1 and [(r.id, r.value) for r in got.orderBy("id").collect()] == list(enumerate(lines))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
