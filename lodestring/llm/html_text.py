@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from html import unescape
 from html.parser import HTMLParser
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -23,7 +25,7 @@ from .common import append_columns, field
 
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript iframe object embed canvas audio video map datalist title meta link annotation annotation-xml".split())
+UNSEEN = frozenset("head script style template iframe object embed canvas audio video map datalist title meta link annotation annotation-xml".split())
 #: Of an svg, only text elements and embedded HTML are drawn, and nothing in these.
 FOREIGN = frozenset(("svg", "math"))
 DRAWN = frozenset(("text", "foreignobject"))
@@ -53,7 +55,10 @@ ENDS = {
 #: Other start tags, and text, end an open head.
 IN_HEAD = frozenset("html head base link meta noscript script style template title".split())
 SCOPE = frozenset("html table td th caption object template".split())
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(hidden|collapse)", re.I)
+HIDING = re.compile(r"display\s*:\s*none", re.I)
+VEIL = re.compile(r"(?:^|;)\s*visibility\s*:\s*(\w+)", re.I)
+#: Fixed values of the HTML standard: the largest spans of a cell.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 SPACE = re.compile(r"[ \t\n\f\r]+")
 
 
@@ -187,6 +192,17 @@ def shown(select: Node) -> list[Node | str]:
     return [] if option is None else [option.attrs["label"]] if option.attrs.get("label") else option.children
 
 
+def veiled(node: Node) -> bool | None:
+    """Whether a node's style veils what is in it: such text takes no part, but a node in it may lift the veil; None: no word on it."""
+    found = VEIL.findall(node.attrs.get("style") or "")
+    return {"hidden": True, "collapse": True, "visible": False}.get(found[-1].lower()) if found else None
+
+
+def span(node: Node, name: str, least: int, most: int) -> int:
+    value = node.attrs.get(name) or ""
+    return max(least, min(int(value), most)) if re.fullmatch(r"\d{1,9}", value) else 1
+
+
 def width(text: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text) if not text.isascii() else len(text)
 
@@ -241,15 +257,36 @@ class Page:
         return self.lines
 
 
-def align(rows: list[list[list[str]]]) -> list[str]:
-    """Rows of cells of lines, with each column as wide as its widest line and two spaces between."""
-    cols = max((len(r) for r in rows), default=0)
-    size = [max((width(x) for r in rows if c < len(r) for x in r[c]), default=0) for c in range(cols)]
-    out = []
+def align(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Rows of cells (lines, columns, rows), with each column as wide as its widest line and two spaces between."""
+    held: dict[int, int] = {}  # columns that cells of rows above still cover, for so many rows
+    placed = []
     for r in rows:
-        for k in range(max((len(c) for c in r), default=0)):
-            line = "".join(x + " " * (size[c] - width(x) + 2) for c, x in enumerate(cell[k] if k < len(cell) else "" for cell in r))
-            out.append(line.rstrip())
+        at, line, new = 0, [], {}
+        for lines, columns, deep in r:
+            while held.get(at):
+                at += 1
+            line.append((at, at + columns, lines))
+            if deep != 1:
+                new.update(dict.fromkeys(range(at, at + columns), deep - 1 if deep else MOST_ROWS))
+            at += columns
+        held = {c: n - 1 for c, n in held.items() if n > 1} | new
+        placed.append(line)
+    starts = sorted({a for line in placed for a, _, _ in line})  # columns in which no cell begins take no room
+    size = [0] * len(starts)
+    cells = [(bisect_left(starts, a), bisect_left(starts, b), max(map(width, lines), default=0)) for line in placed for a, b, lines in line]
+    for a, b, n in sorted(cells, key=lambda x: x[1] - x[0]):
+        size[b - 1] += max(0, n - sum(size[a:b]) - 2 * (b - a - 1))
+    left = [0, *accumulate(n + 2 for n in size)]
+    out = []
+    for line in placed:
+        for k in range(max((len(x[2]) for x in line), default=0)):
+            text, end = "", 0
+            for a, _, lines in line:
+                if k < len(lines):
+                    text += " " * (left[bisect_left(starts, a)] - end) + lines[k]
+                    end = left[bisect_left(starts, a)] + width(lines[k])
+            out.append(text.rstrip())
     return [x for x in out if x]
 
 
@@ -261,13 +298,13 @@ def render(html: str | None) -> str:
     builder.feed(html.replace("\x00", "�"))
     builder.close()
     pages, tables, lists = [Page()], [], []
-    pre, drawn = 0, []  # drawn: for each open svg and text element in it, whether text shows
+    pre, veils, drawn = 0, [False], []  # drawn: for each open svg and text element in it, whether text shows
     walk: list[tuple[Node | str, bool]] = [(builder.root, False)]
     while walk:
         node, leaving = walk.pop()
         page = pages[-1]
         if isinstance(node, str):
-            if drawn and not drawn[-1]:
+            if drawn and not drawn[-1] or veils[-1]:
                 continue
             if tables and tables[-1][1] is page and not node.strip():
                 continue  # white space between rows and cells
@@ -282,7 +319,7 @@ def render(html: str | None) -> str:
                 page.end_line(force=True)
                 continue
             if tag == "img":
-                if alt := node.attrs.get("alt"):
+                if (alt := node.attrs.get("alt")) and not (veils[-1] if veiled(node) is None else veiled(node)):
                     page.text(alt, "", False)
                 continue
             if tag == "hr":
@@ -313,10 +350,13 @@ def render(html: str | None) -> str:
             if tag == "textarea" and page.line.strip():
                 page.put(" ", "")
             pre += tag in ("pre", "textarea")
+            veil = veiled(node)
+            veils.append(veils[-1] if veil is None else veil)
             walk.append((node, True))
             walk.extend((c, False) for c in reversed(shown(node) if tag == "select" else node.children))
             continue
         pre -= tag in ("pre", "textarea")
+        veils.pop()
         if tag == "svg" or drawn and tag in DRAWN:
             drawn.pop()
         if tag in ("svg", "text", "foreignobject", "textarea", "select"):
@@ -326,7 +366,7 @@ def render(html: str | None) -> str:
             page.marker = ""
         if tag in ("td", "th") and tables:
             pages.pop()
-            tables[-1][0][-1].append(page.done())
+            tables[-1][0][-1].append((page.done(), span(node, "colspan", 1, MOST_COLUMNS), span(node, "rowspan", 0, MOST_ROWS)))
             page = pages[-1]
         elif tag == "table":
             rows, _ = tables.pop()

@@ -23,3 +23,16 @@ def test_unclosed_ones_hide_nothing():
     assert render("<select><option>one<option>two<p>rest") == "one\n\nrest"
     assert render("a<textarea>rest <i>&amp;") == "a rest <i>&"
     assert render("<svg/>a<math/>b<svg><svg/><text>c</text></svg>") == "ab c"
+
+
+def test_a_veil_can_be_lifted():
+    assert render("<div style='visibility:hidden'>no <span style='color:red; visibility: visible'>yes</span> <img alt=no></div>out") == "yes\n\nout".replace("\n\n", "\n")
+    assert render("<p style='display:none'>no <b style='visibility:visible'>no</b></p>out") == "out"
+    assert render("<body><noscript><p>plain</p></noscript>x") == "plain\n\nx"
+
+
+def test_spans_keep_columns_aligned():
+    page = "<table><tr><th colspan=2>Name<th>Age<tr><td>Ann<td>Lee<td>30<tr><td rowspan=2>Bo<td>Ray<td>4<tr><td>Sue<td>51</table>"
+    assert render(page) == "Name      Age\nAnn  Lee  30\nBo   Ray  4\n     Sue  51"
+    assert render("<table><tr><td colspan=2>a very wide cell<td>x<tr><td>1<td>2<td>3</table>") == "a very wide cell  x\n1  2              3"
+    assert render("<table><tr><td rowspan=0>all<td colspan=999999999>a<td>b<tr><td>c</table>") == "all  a  b\n     c"
