@@ -4,13 +4,16 @@ A vector is its norm and a direction; a direction is coded as the sum of one ent
 of CODEBOOKS codebooks, all of full dimension. Codebooks are fitted one after another on what
 the ones before leave over, on a bounded sample; encoding keeps the BEAM best partial sums.
 A query makes a table of its products with all entries, so a stored vector's product is a sum
-of table lookups times the stored norm. The best RERANK of each block are computed exactly,
-in double precision, on the original vectors.
+of table lookups times the stored norm. The best share of each block is computed exactly, in
+double precision, on the original vectors.
 
-Every row is indexed. The stated queries meet all rows in blocks: blocks of rows are dealt
-into groups, blocks of queries are copied to every group, and each pair of blocks gives each
-query's best rows there; those are merged by query. Of many copies of one vector a block only
-considers as many as could be in a result, smallest ids first.
+Every row is indexed, in the cell of its code's first entry; a cell is kept in blocks. A query
+visits the cells whose entry has the largest product with it: as many as hold Settings.share of
+the true neighbours of sample vectors within the sample. Queries are copied to the cells that
+they visit, packed there, and each block of a cell gives each query's best rows; those are
+merged by query. Cells with more rows are dealt into more parts, so no task takes a hot cell.
+Of many copies of one vector a block only considers as many as could be in a result, smallest
+ids first. Settings(visits=entries, rerank=block_rows) is the exact way.
 
 Cases: vectors that are null, zero, of another dimension than the sample's commonest, or hold
 null or non-finite components take no part; a null id takes no part; repeated rows are
@@ -27,7 +30,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +43,10 @@ class Settings:
     entries: int = 256
     rounds: int = 6
     beam: int = 4
-    rerank: int = 200  #: per query and block of rows
-    block_rows: int = 16384
+    rerank: int = 100  #: rows of a block that are computed exactly for a query, at least; a sixteenth of larger blocks
+    share: float = 0.985  #: of true neighbours in the sample that must stand in visited cells
+    visits: int = 0  #: cells that a query visits; 0: found on the sample
+    block_rows: int = 8192
     block_queries: int = 512
 
 
@@ -124,7 +128,7 @@ def best_of_block(q: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, x: np.ndarr
         near += (book @ q.T.astype(np.float32))[codes[:, m]]
     near *= norm[:, None].astype(np.float32)
     near[ids[:, None] == q_ids[None, :]] = -np.inf
-    take = min(rerank, len(ids))
+    take = min(max(rerank, len(ids) // 16), len(ids))
     x64, q64 = x.astype(np.float64), q.astype(np.float64)
     for j in range(len(q)):
         top = np.argpartition(-near[:, j], take - 1)[:take]
@@ -135,41 +139,95 @@ def best_of_block(q: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, x: np.ndarr
             yield int(q_ids[j]), int(ids[top[i]]), float(exact[i])
 
 
-def pack_blocks(df: DataFrame, dim: int, rows: int, most: int | None, books: np.ndarray | None, beam: int) -> DataFrame:
-    """Blocks (block, n, ids, x and, with codebooks, codes and norms) of the rows that take part."""
+def cells_of(q: np.ndarray, book: np.ndarray, n: int) -> np.ndarray:
+    """The n entries of the largest product with each query, largest first."""
+    return np.argsort(-(q.astype(np.float32) @ book.T), axis=1, kind="stable")[:, :n]
+
+
+def visits_needed(x: np.ndarray, books: np.ndarray, k: int, s: Settings, queries: int = 256) -> int:
+    """How many cells hold s.share of the k nearest sample vectors of some sample vectors."""
+    cell = encode(unit(x)[0], books, s.beam)[:, 0]
+    asked = np.arange(0, len(x), max(1, len(x) // queries))
+    rank = np.argsort(cells_of(x[asked], books[0], len(books[0])), axis=1)
+    near = x[asked].astype(np.float64) @ x.T.astype(np.float64)
+    near[np.arange(len(asked)), asked] = -np.inf
+    most = min(k, len(x) - 1)
+    if most < 1:
+        return len(books[0])
+    top = np.argpartition(-near, most - 1, axis=1)[:, :most]
+    visited = np.take_along_axis(rank, cell[top], axis=1).ravel()
+    return int(np.sort(visited)[min(len(visited) - 1, int(np.ceil(s.share * len(visited))))]) + 1
+
+
+def coded_rows(df: DataFrame, dim: int, books, beam: int) -> DataFrame:
+    """(vec_id, cell, x, code, norm) of the rows that take part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, seq, held = TaskContext.get().partitionId(), 0, []
+        for batch in batches:
+            at, x = usable(batch.column(1).to_pylist(), dim)
+            u, norm = unit(x) if len(x) else (x, np.zeros(0))
+            code = encode(u, books.value, beam)
+            cell = code[:, 0].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(cell), pa.array([r.tobytes() for r in x.astype("<f4")], pa.binary()), pa.array([r.tobytes() for r in code], pa.binary()), pa.array(norm)], names=["vec_id", "cell", "x", "code", "norm"])
+
+    return df.mapInArrow(run, "vec_id long, cell int, x binary, code binary, norm double")
+
+
+def visiting_rows(df: DataFrame, dim: int, books, visits: int) -> DataFrame:
+    """(vec_id, cell, x) of the queries that take part, a row for each cell that they visit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                at, x = usable(part.column(1).to_pylist(), dim)
+                cell = cells_of(x, books.value[0], visits).astype(np.int32) if len(x) else np.zeros((0, visits), np.int32)
+                rows = np.repeat(np.arange(len(at)), cell.shape[1])
+                packed = pa.array([r.tobytes() for r in x.astype("<f4")], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at[rows])), pa.array(cell.ravel()), packed.take(pa.array(rows))], names=["vec_id", "cell", "x"])
+
+    return df.mapInArrow(run, "vec_id long, cell int, x binary")
+
+
+def packed_by_cell(df: DataFrame, rows: int, dim: int, most: int | None = None) -> DataFrame:
+    """Blocks of at most so many rows of one cell and part, which stand together in df; most: of copies of one vector."""
+    names = [c for c in df.columns if c not in ("cell", "part")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
 
         def flush() -> pa.RecordBatch:
-            nonlocal seq
-            ids, x = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            table = pa.Table.from_batches(held)
             held.clear()
+            ids = table.column("vec_id").to_numpy()
+            columns = {n: b"".join(table.column(n).to_pylist()) for n in names if n in ("x", "code")}
+            x = np.frombuffer(columns["x"], "<f4").reshape(len(ids), dim)
             at = np.argsort(ids, kind="stable") if most is None else few_copies(x, ids, most)
-            ids, x = ids[at], x[at]
-            codes, norm = (b"", b"")
-            if books is not None:
-                u, n = unit(x)
-                codes, norm = encode(u, books, beam).tobytes(), n.astype("<f8").tobytes()
-            seq += 1
-            return pa.RecordBatch.from_arrays([pa.array([task << 32 | seq]), pa.array([len(ids)]), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([x.astype("<f4").tobytes()], pa.binary()), pa.array([codes], pa.binary()), pa.array([norm], pa.binary())], names=["block", "n", "ids", "x", "codes", "norms"])
-
-        size = 0
+            out = {"ids": ids[at].astype("<i8").tobytes(), "x": x[at].tobytes()}
+            if "code" in names:
+                out["code"] = np.frombuffer(columns["code"], np.uint8).reshape(len(ids), -1)[at].tobytes()
+                out["norm"] = table.column("norm").to_numpy()[at].astype("<f8").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int64()), *[pa.array([v], pa.binary()) for v in out.values()]], names=["cell", "part", *out])
+
         for batch in batches:
-            at, x = usable(batch.column(1).to_pylist(), dim)
-            ids = np.array(batch.column(0).to_pylist(), np.int64)[at] if len(at) else np.zeros(0, np.int64)
-            while len(ids):
-                room = rows - size
-                held.append((ids[:room], x[:room]))
-                size += len(ids[:room])
-                ids, x = ids[room:], x[room:]
-                if size >= rows:
+            cell, part = batch.column("cell").to_numpy(), batch.column("part").to_numpy()
+            edge = np.nonzero((np.diff(cell) != 0) | (np.diff(part) != 0))[0] + 1
+            for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(cell)]):
+                own = (int(cell[a]), int(part[a]))
+                if held and own != key:
                     yield flush()
-                    size = 0
+                key = own
+                while a < b:
+                    room = rows - sum(h.num_rows for h in held)
+                    held.append(batch.slice(a, min(room, b - a)))
+                    a += min(room, b - a)
+                    if sum(h.num_rows for h in held) >= rows:
+                        yield flush()
         if held:
             yield flush()
 
-    return df.mapInArrow(run, "block long, n long, ids binary, x binary, codes binary, norms binary")
+    kinds = "ids binary, x binary" + (", code binary, norm binary" if "code" in names else "")
+    return df.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(run, f"cell int, part long, {kinds}")
 
 
 def search(df: DataFrame, k: int = 20, every: int = 20, s: Settings = Settings(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -181,35 +239,31 @@ def search(df: DataFrame, k: int = 20, every: int = 20, s: Settings = Settings()
     dim = max(sizes, key=lambda d: (sizes[d], d), default=0)
     _, x = usable(sample, dim) if dim else (None, np.zeros((0, 1), np.float32))
     spark = df.sparkSession
-    out = "query_id long, vec_id long, score double"
     if not len(x):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    books = spark.sparkContext.broadcast(train(unit(x)[0], s))  # codebooks x entries x dimension numbers
-    rows = stage(pack_blocks_with(vectors, dim, s, k, books), "ann-index")
-    queries = vectors.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = stage(pack_blocks(queries, dim, s.block_queries, None, None, 0), "ann-queries")
-    groups = max(1, rows.count())
-    width = spark.sparkContext.defaultParallelism * 4
-    groups = min(groups, max(width, groups // 4))
-    dealt = rows.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups)))
-    copied = asked.select(F.col("n").alias("qn"), F.col("ids").alias("q_ids"), F.col("x").alias("qx"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"))
+    trained = train(unit(x)[0], s)
+    visits = min(s.visits or visits_needed(x, trained, k, s), s.entries)
+    books = spark.sparkContext.broadcast(trained)  # codebooks x entries x dimension numbers
+    coded = stage(coded_rows(vectors, dim, books, s.beam), "ann-coded")
+    parts = coded.groupBy("cell").agg(F.ceil(F.count("*") / s.block_rows).alias("parts"))  # a row a cell
+    dealt = coded.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("vec_id", "x", F.spark_partition_id()), F.col("parts"))).drop("parts")
+    blocks = stage(packed_by_cell(dealt, s.block_rows, dim, k + 1), "ann-index")
+    asked = vectors.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    visiting = stage(visiting_rows(asked, dim, books, visits), "ann-visits")
+    spread = max(1, visiting.count() // (s.block_queries * s.entries))
+    packs = packed_by_cell(visiting.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(spread))), s.block_queries, dim)
+    copied = packs.drop("part").withColumnsRenamed({"ids": "q_ids", "x": "qx"}).join(F.broadcast(parts), "cell").select("cell", "q_ids", "qx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 get = lambda name, kind: np.frombuffer(batch.column(name)[r].as_py(), kind)  # noqa: B023, E731
                 ids, q_ids = get("ids", "<i8"), get("q_ids", "<i8")
-                found = list(best_of_block(get("qx", "<f4").reshape(-1, dim), q_ids, ids, get("x", "<f4").reshape(-1, dim), get("codes", "u1").reshape(len(ids), -1), get("norms", "<f8"), books.value, k, max(s.rerank, k + 1)))
+                found = list(best_of_block(get("qx", "<f4").reshape(-1, dim), q_ids, ids, get("x", "<f4").reshape(-1, dim), get("code", "u1").reshape(len(ids), -1), get("norm", "<f8"), books.value, k, max(s.rerank, k + 1)))
                 cols = list(zip(*found, strict=True)) if found else [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
-    pairs = dealt.join(copied, "g").select("ids", "x", "codes", "norms", "q_ids", "qx")
-    found = pairs.mapInArrow(run, out)
+    pairs = blocks.join(copied.hint("shuffle_hash"), ["cell", "part"]).select("ids", "x", "code", "norm", "q_ids", "qx")
+    found = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def pack_blocks_with(vectors: DataFrame, dim: int, s: Settings, k: int, books) -> DataFrame:
-    """The index: every row that takes part, coded, in blocks dealt evenly over the tasks."""
-    even = vectors.repartition(max(1, -(-vectors.count() // s.block_rows)))
-    return pack_blocks(even, dim, s.block_rows, k + 1, books.value, s.beam)

@@ -14,7 +14,7 @@ def table(spark, n=3000, dim=16):
 
 def test_recall_ranks_and_ties(spark):
     x, df = table(spark)
-    got = ann.search(df, k=20, s=ann.Settings(sample=2000, codebooks=8, rounds=3, block_rows=1000, block_queries=64)).collect()
+    got = ann.search(df, k=20, s=ann.Settings(sample=2000, codebooks=8, rounds=3, entries=32, block_rows=60, block_queries=16, rerank=30)).collect()
     x64, hits, ids = x.astype(np.float64), 0, list(range(0, len(x), 20))
     by = {}
     for r in got:
@@ -45,3 +45,22 @@ def test_beam_search_beats_greedy():
     books = ann.train(x, s)
     error = [np.square(x - sum(books[m][c[:, m]] for m in range(4))).sum() for c in (ann.encode(x, books, 1), ann.encode(x, books, 8))]
     assert error[1] < error[0]
+
+
+def test_recall_on_the_tables_and_the_exact_way(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.collect() if r.embedding is not None]
+    x = np.array([v for _, v in rows], np.float64)
+    ids = np.array([i for i, _ in rows])
+    want = {}
+    for q in np.nonzero(ids % 20 == 0)[0]:
+        exact = (x * x[q]).sum(1)
+        exact[ids == ids[q]] = -np.inf
+        want[int(ids[q])] = [int(ids[i]) for i in np.lexsort((ids, -exact))[:20]]
+    for s, least in ((ann.Settings(), 0.9), (ann.Settings(visits=256, rerank=8192), 1.0)):
+        got = {}
+        for r in ann.search(df, s=s).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        share = sum(len(set(got[q]) & set(w)) for q, w in want.items()) / sum(map(len, want.values()))
+        print("recall", share)
+        assert share >= least and all(len(got[q]) == len(w) for q, w in want.items())
