@@ -3,10 +3,11 @@
 A text's features are the distinct hashed n-grams of its lower-cased, space-normalised bytes.
 Each has the ratio r = log(share among toxic texts / share among others), smoothed in
 proportion to the classes, so that unseen and rare n-grams have r near 0. Logistic regression
-on features scaled by r gives the weights. The penalty is the one of Settings.penalties whose
-predictions for left-out folds fit best, and those predictions, on rows that neither ratios
-nor weights were learned from, also give the line that turns sums of weights into
-probabilities, so that the threshold means what it says. The classifier is fitted on at most
+on the n-grams that tell the classes apart best, scaled by r, gives the weights. Their number
+and the penalty are those of Settings.features and Settings.penalties whose predictions for
+left-out folds fit best, and those predictions, on rows that neither ratios nor weights were
+learned from, also give the line that turns sums of weights into probabilities, so that the
+threshold means what it says. The classifier is fitted on at most
 Settings.sample labelled documents, chosen by the smallest hashes of their ids; scoring reads
 every text whole.
 
@@ -37,7 +38,7 @@ class Settings:
     sample: int = 10_000  #: labelled documents that the classifier is fitted on, at most
     sizes: tuple[int, ...] = (4, 5, 6)
     bits: int = 18
-    features: int = 1 << 12  #: features with the strongest ratios that are kept
+    features: tuple[int, ...] = (1 << 6, 1 << 8, 1 << 10, 1 << 12)  #: numbers of features to choose from, ascending
     smoothing: float = 20.0
     penalties: tuple[float, ...] = (2e-3, 5e-3, 1e-2, 2e-2)
     folds: int = 3  #: exact copies of a text are in one fold
@@ -85,12 +86,21 @@ def ratios(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, s: Settings
     return np.log((pos + a) / (n_pos + a)) - np.log((neg + b) / (n_neg + b))
 
 
-def strongest(by: np.ndarray, n: np.ndarray, s: Settings) -> np.ndarray:
-    """The ratios of the features that count most, 0 for the others; by and n are counts by label."""
-    ratio = ratios(by[1], by[0], int(n[1]), int(n[0]), s)
-    # strength: the ratio times the root of the number of texts that show it, so that frequent evidence is kept first
-    ratio[np.argsort(-np.abs(ratio) * np.sqrt(by.sum(0)), kind="stable")[s.features :]] = 0.0
-    return ratio
+def evidence(by: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """By feature: the likelihood ratio (G) of its presence and the label; by and n are counts by label."""
+    total = 0.0
+    for seen, of in ((by, by.sum(0)), (n[:, None] - by, n.sum() - by.sum(0))):
+        for label in (0, 1):
+            expected = of * (n[label] / n.sum())
+            total = total + seen[label] * np.log(np.maximum(seen[label], 1) / np.where(seen[label] > 0, expected, 1))
+    return total
+
+
+def strongest(by: np.ndarray, n: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(ratios, ranks) of all features, rank 0 being that with the most evidence; by and n are counts by label."""
+    rank = np.empty(by.shape[1], np.int64)
+    rank[np.argsort(-evidence(by, n), kind="stable")] = np.arange(by.shape[1])
+    return ratios(by[1], by[0], int(n[1]), int(n[0]), s), rank
 
 
 def line(z: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
@@ -118,26 +128,28 @@ def line(z: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 
 def cross_fitted(rows: list[np.ndarray], labels: np.ndarray, fold: np.ndarray, by: np.ndarray, n: np.ndarray, s: Settings) -> Model:
-    """The model of all rows, its penalty and its line found on left-out folds; by and n are counts by fold and label."""
+    """The model of all rows, its size, penalty and line found on left-out folds; by and n are counts by fold and label."""
     best = None
     parts = [f for f in range(s.folds) if (n.sum(0) - n[f] > 0).all() and (fold == f).any()]
-    ratio = {f: strongest(by.sum(0) - by[f], n.sum(0) - n[f], s) for f in parts}
-    for penalty in s.penalties if parts else s.penalties[:1]:
-        z = np.full(len(rows), np.nan)
-        for f in parts:
-            rest = [i for i in range(len(rows)) if fold[i] != f]
-            model = regress([r[ratio[f][r] != 0] for r in (rows[i] for i in rest)], labels[rest], ratio[f], s, penalty)
-            for i in np.nonzero(fold == f)[0].tolist():
-                z[i] = model.intercept + model.weights[rows[i]].sum()
-        seen = np.isfinite(z)
-        slope, shift = line(z[seen], labels[seen]) if seen.any() else (1.0, 0.0)
-        m = slope * z[seen] + shift
-        loss = float(np.mean(np.logaddexp(0, m) - labels[seen] * m)) if seen.any() else 0.0
-        if best is None or loss < best[0]:
-            best = (loss, penalty, slope, shift)
-    _, penalty, slope, shift = best
-    whole = strongest(by.sum(0), n.sum(0), s)
-    model = regress([r[whole[r] != 0] for r in rows], labels, whole, s, penalty)
+    found = {f: strongest(by.sum(0) - by[f], n.sum(0) - n[f], s) for f in parts}
+    for size in s.features if parts else s.features[-1:]:
+        short = {f: [r[found[f][1][r] < size] for r in rows] for f in parts}
+        for penalty in s.penalties if parts else s.penalties[:1]:
+            z = np.full(len(rows), np.nan)
+            for f in parts:
+                rest = [i for i in range(len(rows)) if fold[i] != f]
+                model = regress([short[f][i] for i in rest], labels[rest], found[f][0], s, penalty)
+                for i in np.nonzero(fold == f)[0].tolist():
+                    z[i] = model.intercept + model.weights[short[f][i]].sum()
+            seen = np.isfinite(z)
+            slope, shift = line(z[seen], labels[seen]) if seen.any() else (1.0, 0.0)
+            m = slope * z[seen] + shift
+            loss = float(np.mean(np.logaddexp(0, m) - labels[seen] * m)) if seen.any() else 0.0
+            if best is None or loss < best[0]:
+                best = (loss, size, penalty, slope, shift)
+    _, size, penalty, slope, shift = best
+    ratio, rank = strongest(by.sum(0), n.sum(0), s)
+    model = regress([r[rank[r] < size] for r in rows], labels, ratio, s, penalty)
     return Model(slope * model.weights, slope * model.intercept + shift)
 
 
@@ -189,10 +201,10 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: st
     n = sum((np.frombuffer(p.n, np.int64).reshape(s.folds, 2) for p in parts), np.zeros((s.folds, 2), np.int64))
     if not n.sum(0).all():
         return Model(np.zeros(1 << s.bits), 0.0)
-    needed = strongest(by.sum(0), n.sum(0), s) != 0
+    needed = strongest(by.sum(0), n.sum(0), s)[1] < s.features[-1]
     for f in range(s.folds):
         if (n.sum(0) - n[f] > 0).all():
-            needed |= strongest(by.sum(0) - by[f], n.sum(0) - n[f], s) != 0
+            needed |= strongest(by.sum(0) - by[f], n.sum(0) - n[f], s)[1] < s.features[-1]
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distinct = Distinct(1 << s.bits)

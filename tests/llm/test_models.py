@@ -8,7 +8,7 @@ import numpy as np
 
 from lodestring.llm import lm, toxicity
 
-SMALL = toxicity.Settings(features=1 << 12, steps=60)
+SMALL = toxicity.Settings(features=(1 << 8, 1 << 12), steps=60)
 
 
 def labelled(n=400):
@@ -69,7 +69,7 @@ def test_toxicity_line_is_the_least_loss():
 
 
 def test_toxicity_ratios_and_scores_equal_a_plain_version():
-    s = toxicity.Settings(bits=10, sizes=(2, 3), features=1 << 10)
+    s = toxicity.Settings(bits=10, sizes=(2, 3), features=(1 << 10,))
     texts = ["ab ab c", "", "B a", "cab"]
     distinct = toxicity.Distinct(1 << s.bits)
     for t in texts:
@@ -241,3 +241,16 @@ def test_lm_predictions_equal_a_plain_version():
                 word, one, two = best(context, (context, x))
                 assert byte >> 4 & 7 == lm.strength(np.array([one]), np.array([two]))[0]
                 assert not one or byte >> 7 == (word == x) or one == two
+
+
+def test_toxicity_evidence_equals_a_plain_version():
+    n = np.array([9, 4])
+    by = np.array([[0, 9, 3, 1], [4, 4, 1, 0]])
+    for i in range(by.shape[1]):
+        want = 0.0
+        for label in (0, 1):
+            for seen in (by[:, i], n - by[:, i]):
+                if seen[label]:
+                    want += seen[label] * math.log(seen[label] * n.sum() / (seen.sum() * n[label]))
+        assert math.isclose(toxicity.evidence(by, n)[i], want, abs_tol=1e-12)
+    assert toxicity.strongest(by, n, SMALL)[1].tolist() == [0, 3, 2, 1]
