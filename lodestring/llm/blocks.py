@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoded, shared_path
+from .common import encoded, note_staged, shared_path
 
 BLOCK_SCHEMA = "block long, n_words long, docs binary"
 BLOCK_BYTES = 64
@@ -127,7 +127,9 @@ def write_blocks(df: DataFrame, id_col: str, text_col: str, words: int = 400_000
     name = f"blocks_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = kept.mapInArrow(run, BLOCK_SCHEMA)
-    rows.write.bucketBy(buckets, "block").option("path", shared_path(spark, name)).saveAsTable(name)
+    path = shared_path(spark, name)
+    note_staged(path, name)
+    rows.write.bucketBy(buckets, "block").option("path", path).saveAsTable(name)
     return spark.table(name)
 
 

@@ -6,9 +6,12 @@ their names, never clash. Staged tables go to the folder that all executors shar
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,18 +33,51 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="lodestring-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = own_folder(spark.sparkContext.applicationId)
     return folder
 
 
+@functools.cache
+def own_folder(application: str) -> str:
+    """This machine's folder for one local application; Spark lets no session set spark.checkpoint.dir later."""
+    return tempfile.mkdtemp(prefix="lodestring-")
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lodestring/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back; this cuts its lineage."""
+_open = threading.local()
+
+
+def note_staged(path: str, table: str | None = None) -> None:
+    """Leaves a staged folder, and its table in the catalog, to the innermost scratch() of this thread."""
+    if getattr(_open, "scratches", None):
+        _open.scratches[-1].append((path, table))
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what was staged inside; results that read it must be written by then."""
+    _open.scratches = [*getattr(_open, "scratches", ()), []]
+    try:
+        yield
+    finally:
+        for path, table in _open.scratches.pop():
+            if table:
+                spark.sql(f"DROP TABLE IF EXISTS `{table}`")
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stage(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it back; this cuts its lineage.
+
+    Inside scratch() the table is removed at its end, unless it is lasting.
+    """
     path = shared_path(df.sparkSession, name)
+    if not lasting:
+        note_staged(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

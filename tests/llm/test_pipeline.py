@@ -1,5 +1,5 @@
 import corpus_pipeline
-from lodestring.llm import quality, substring_dedup
+from lodestring.llm import common, quality, substring_dedup
 
 from test_near_copies import brute
 
@@ -37,3 +37,30 @@ def test_empty_documents(spark, sf_dir):
     for _, function in corpus_pipeline.STAGES:
         step = corpus_pipeline.stage(function(spark, step, sf_dir), "test")
     assert step.count() == 0
+
+
+def test_rows_with_nulls_repeats_and_clashing_columns(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    some = docs.limit(40)
+    empty = docs.limit(1).selectExpr("cast(null as long) doc_id", "cast(null as string) text", "lang", "source", "n_chars")
+    extra = ("kept", "score", "n_words", "component_id", "kept_text", "block", "length")
+    step = some.unionByName(some).unionByName(empty).unionByName(empty.selectExpr("-1L doc_id", "'' text", "lang", "source", "n_chars"))
+    step = step.selectExpr("*", *[f"'x' {c}" for c in extra])
+    names = step.columns
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        step = corpus_pipeline.stage(function(spark, step, sf_dir), "test")
+        assert step.columns == names
+        rows = step.collect()
+        assert all(r[c] == "x" for r in rows for c in extra)
+        if name == "SimHash near-dedup":  # a row and its repeat are one group
+            assert len({r.doc_id for r in rows}) == len(rows) > 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, step, sf_dir).collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in rows}
+
+
+def test_run_leaves_only_the_results_of_its_stages(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    tables = spark.sql("SHOW TABLES").count()
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    assert len(list((tmp_path / "lodestring").iterdir())) == len(corpus_pipeline.STAGES)
+    assert spark.sql("SHOW TABLES").count() == tables
