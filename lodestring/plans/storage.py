@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -21,11 +22,16 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="lodestring-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = own_folder(spark.sparkContext.applicationId)
     return folder
 
 
+@functools.cache
+def own_folder(application: str) -> str:
+    """This machine's folder for one local application; Spark lets no session set spark.checkpoint.dir later."""
+    return tempfile.mkdtemp(prefix="lodestring-")
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """(file system, path) of a path, as Spark's readers see it."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
