@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import l2
-from .search import largest_k, top_k
+from .search import largest_k, top_k, topk_in_blocks
 
 
 def lsh_topk(base: DataFrame, queries: DataFrame, bucket: float | None = None, tables: int = 8, radius: float = float("inf"), seed: int = 11, sample: int = 1000) -> DataFrame:
@@ -17,18 +17,20 @@ def lsh_topk(base: DataFrame, queries: DataFrame, bucket: float | None = None, t
 
     bucket is the width of a bucket; by default a quarter of the mean norm of at most `sample`
     vectors, so that a projection of a unit vector has about 8 buckets at any scale of the data.
+    Queries are shipped to the rows, in portions, and buckets are compared there: neither pairs
+    nor strings are shuffled, only each task's k nearest hits of a query.
     """
     if bucket is None:
         zero = F.lit(0.0).cast("double")
         norm = F.sqrt(F.aggregate("v", zero, lambda a, x: a + x.cast("double") * x.cast("double")))
         some = base.where("v IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(sample)
         bucket = 0.25 * (some.agg(F.avg(norm)).first()[0] or 4.0) or 1.0
-    left = base.where("v IS NOT NULL").select("id", "s", array_to_vector("v").alias("x"))
-    right = queries.select("qid", "p", "k", array_to_vector("qv").alias("x"))
+    left = base.where("v IS NOT NULL").select("id", "s", "v", array_to_vector("v").alias("x"))
+    right = queries.where("qv IS NOT NULL").select("qid", "p", "qv", "k", array_to_vector("qv").alias("x"))
     model = BucketedRandomProjectionLSH(inputCol="x", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(left)
-    near = model.approxSimilarityJoin(left, right, radius, "dist")
-    hits = near.select(F.col("datasetB.qid").alias("qid"), F.col("datasetB.p").alias("p"), F.col("datasetB.k").alias("k"), F.col("datasetA.id").alias("id"), F.col("datasetA.s").alias("s"), "dist")
-    return top_k(hits.where(F.contains("s", "p")), F.col("k"), largest_k(queries))
+    keys = F.array(*[vector_to_array(F.col("h")[i])[0] for i in range(tables)]).alias("keys")
+    filed = model.transform(left).select("id", "s", "v", keys)
+    return topk_in_blocks(filed, model.transform(right).select("qid", "p", "qv", "k", keys), radius, 8 * tables)
 
 
 class InvertedFile:

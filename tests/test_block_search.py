@@ -1,6 +1,6 @@
 import random
 
-from lodestring.operators import search
+from lodestring.operators import approximate, search
 
 SMALL = {"qid", "k", "id", "dist", "rank", "near_rank", "place", "n", "ef_search", "hit"}
 
@@ -56,3 +56,21 @@ def test_rank_then_filter_moves_no_strings(spark):
 def test_block_kernel_equals_the_join(spark):
     _, _, base, queries = frames(spark)
     assert in_order(search.topk_in_blocks(base, queries)) == in_order(search.exact_topk_batch(base, queries))
+
+
+def test_lsh_moves_no_strings_and_keeps_its_candidates(spark):
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    r = random.Random(4)
+    base = spark.createDataFrame([(i, r.choice(["an", "ab", "ban"]), [r.gauss(0, 1) for _ in range(8)]) for i in range(300)], "id long, s string, v array<float>").repartition(3)
+    queries = spark.createDataFrame([(q, r.choice(["a", "n", "b", "zz"]), [r.gauss(0, 1) for _ in range(8)], r.choice([0, 3, 400])) for q in range(20)], "qid long, p string, qv array<float>, k int")
+    for bucket, radius in ((0.5, float("inf")), (0.5, 2.5), (4.0, float("inf"))):
+        got = approximate.lsh_topk(base, queries, bucket, tables=2, radius=radius)
+        assert columns_between_tasks(got) <= SMALL
+        left, right = base.withColumn("x", array_to_vector("v")), queries.withColumn("x", array_to_vector("qv"))
+        model = BucketedRandomProjectionLSH(inputCol="x", outputCol="h", bucketLength=bucket, numHashTables=2, seed=11).fit(left)
+        near = model.approxSimilarityJoin(left, right, radius, "dist").selectExpr("datasetB.qid", "datasetB.p", "datasetB.k", "datasetA.id", "datasetA.s", "dist")
+        want = search.top_k(near.where(F.contains("s", "p")), F.col("k"), 400)
+        assert in_order(got) == in_order(want) and got.count() > 20
