@@ -1,5 +1,6 @@
 import random
 
+from lodestring import queries
 from lodestring.operators import approximate, search
 
 SMALL = {"qid", "k", "id", "dist", "rank", "near_rank", "place", "n", "ef_search", "hit"}
@@ -74,3 +75,8 @@ def test_lsh_moves_no_strings_and_keeps_its_candidates(spark):
         near = model.approxSimilarityJoin(left, right, radius, "dist").selectExpr("datasetB.qid", "datasetB.p", "datasetB.k", "datasetA.id", "datasetA.s", "dist")
         want = search.top_k(near.where(F.contains("s", "p")), F.col("k"), 400)
         assert in_order(got) == in_order(want) and got.count() > 20
+
+
+def test_registered_sweeps_move_no_strings(spark, sf_dir):
+    for run in (queries.ef_sweep_recall, queries.best_operating_point, queries.postfilter_topk):
+        assert columns_between_tasks(run(spark, sf_dir)) <= SMALL
