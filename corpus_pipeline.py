@@ -30,7 +30,10 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares four fifths of its five-word shingles: that of the smallest id."""
+    """One document of each group that shares four fifths of its five-word shingles: that of the smallest id.
+
+    Candidates come from SimHash and, where its bits are too far apart, MinHash; an exact check follows.
+    """
     return near_copies.keep_one(docs)
 
 

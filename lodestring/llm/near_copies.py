@@ -1,15 +1,19 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies by SimHash, with an exact check by the Jaccard similarity of word shingles.
 
 Two texts are near copies where their sets of SHINGLE words in a row (A–Z lower-cased) have a
 Jaccard similarity of SHARE or more; a text of fewer words has one shingle, all of it.
 Shingles are compared by 64-bit hashes. Texts with equal sets are one class.
 
-Candidates are found by MinHash: classes that agree in all ROWS values of one of BANDS bands
-meet under that band's key. A pair at similarity 0.8 meets under none with a probability of
-(1 - 0.8^6)^36, 2 in 100,000, and less above. Links of candidates are stars under each key;
-their components are found in the cluster. The shingle sets of a component of candidates then
-come together, once a class, and every pair not yet joined is compared exactly: a class leaves
-with the smallest class that it reaches over near copies.
+Candidates are found by SimHash, as simhash does: fingerprints at DISTANCE bits or fewer meet
+under keys of bands, and pivot distance tables discard pairs. Its 4 bits of 64 hold texts that
+are nearly equal, and few at a similarity of 0.8, so MinHash adds to them: classes that agree
+in all ROWS values of one of BANDS bands meet under that band's key. A pair at similarity 0.8
+meets under none with a probability of (1 - 0.8^6)^36, 2 in 100,000, and less above.
+
+Links of candidates are stars under each key; their components are found in the cluster. The
+shingle sets of a component of candidates then come together, once a class, and every pair not
+yet joined is compared exactly: a class leaves with the smallest class that it reaches over
+near copies.
 
 Cases are those of simhash: texts without words are one class; rows with a null id stay, and
 link others.
@@ -28,7 +32,7 @@ from pyspark.sql import types as T
 
 from .blocks import Words, mix
 from .common import append_columns, encoded, field, pick, stage
-from .simhash import LOWER, components, keep_first
+from .simhash import LOWER, components, fingerprints, keep_first, near_links
 
 SHINGLE = 5
 SHARE = (4, 5)  # as a fraction
@@ -72,7 +76,7 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def marks(df: DataFrame) -> DataFrame:
-    """(doc_id, cls, keys) of rows (doc_id, text)."""
+    """(doc_id, cls, keys, fp) of rows (doc_id, text): class, MinHash keys and SimHash fingerprint."""
 
     def work(texts: list) -> dict:
         sets = shingle_sets(texts)
@@ -82,7 +86,8 @@ def marks(df: DataFrame) -> DataFrame:
             keys[i] = k
         return {"cls": [class_of(s) for s in sets], "keys": keys}
 
-    return append_columns(df, "text", lambda: work, [field("cls", T.LongType()), field("keys", T.ArrayType(T.LongType()))], rows=64).select("doc_id", "cls", "keys")
+    marked = append_columns(fingerprints(df), "text", lambda: work, [field("cls", T.LongType()), field("keys", T.ArrayType(T.LongType()))], rows=64)
+    return marked.select("doc_id", "cls", "keys", "fp")
 
 
 def with_class(df: DataFrame) -> DataFrame:
@@ -90,11 +95,22 @@ def with_class(df: DataFrame) -> DataFrame:
     return append_columns(df, "text", lambda: lambda texts: {"cls": [class_of(s) for s in shingle_sets(texts)]}, [field("cls", T.LongType())], rows=64)
 
 
+def near_fingerprints(marked: DataFrame) -> DataFrame:
+    """Links (a, b) of classes whose SimHash fingerprints are equal or near; texts without words have none."""
+    pairs = stage(marked.where(F.size("keys") > 0).select("fp", "cls").distinct(), "fingerprints")
+    lows = pairs.groupBy("fp").agg(F.min("cls").alias("low"))
+    same = pairs.join(lows, "fp").where("cls <> low").select(F.col("cls").alias("a"), F.col("low").alias("b"))
+    links = stage(near_links(lows.select("fp")), "near")
+    one, two = lows.select(F.col("fp").alias("a"), F.col("low").alias("x")), lows.select(F.col("fp").alias("b"), F.col("low").alias("y"))
+    return same.unionAll(links.join(one, "a").join(two, "b").select("x", "y"))
+
+
 def candidates(marked: DataFrame) -> DataFrame:
-    """(cls, found): of each class that meets another, the smallest class of its candidates."""
+    """(cls, found): of each class that meets another by SimHash or MinHash, the smallest class of its candidates."""
     keyed = stage(marked.select(F.explode("keys").alias("key"), "cls").distinct(), "keys")
     met = keyed.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high")
-    roots = stage(components(keyed.join(met, "key").where("cls <> low").select(F.col("cls").alias("a"), F.col("low").alias("b"))), "candidates")
+    under = keyed.join(met, "key").where("cls <> low").select(F.col("cls").alias("a"), F.col("low").alias("b"))
+    roots = stage(components(near_fingerprints(marked).unionAll(under)), "candidates")
     return roots.select(F.col("node").alias("cls"), F.col("root").alias("found")).unionAll(roots.select("root", "root").distinct())
 
 
