@@ -153,6 +153,31 @@ def test_lm_tells_copies_from_the_rest(spark):
     assert max(twice) < 0.5 * min(once)
 
 
+def test_lm_takes_the_code_under_no_context_by_symbol():
+    rng = np.random.default_rng(5)
+    word = np.sort(rng.integers(0, 1 << 63, 300).astype(np.uint64))
+    count = (3000 // np.arange(1, 301)).astype(np.int64)
+    often = count >= 40
+    rare = count[~often]
+    mass = np.bincount(lm.magnitude(rare), weights=rare, minlength=lm.CLASSES)
+    lexicon = lm.Lexicon(word[often], count[often], mass, int(count.sum()), 300)
+    pick = rng.choice(300, 4000, p=count / count.sum())
+    text = lm.Text(lexicon, np.full(40, 100), word[pick], count[pick] - 1, rng.integers(0, 16, 4000).astype(np.uint8))
+    whole, short = lm.new_table(), lm.new_table()
+    lm.add_counts(whole, text.decisions(0, 4000))
+    lm.add_counts(short, text.decisions(0, 4000, whole=False))
+    met = np.bincount(text.symbol[~text.match], minlength=len(lexicon.length))
+    for symbol, slot, bit in lexicon.steps():
+        np.add.at(short[0], slot << 1 | bit, met[symbol].astype(np.int32))
+    assert np.array_equal(whole, short) and whole[0].sum() > 8000
+    table = lm.narrow(whole)
+    plain = lm.Plain(table[0], lexicon)
+    for a, b in zip(text.decisions(0, 4000), text.decisions(0, 4000, whole=False), strict=True):
+        (x, gate), (y, same) = lm.look(table, a, True), lm.look(table, b, True, plain)
+        assert np.array_equal(gate, same) and all(np.array_equal(u, v) for u, v in zip(x, y, strict=True))
+        assert (b.slots[0] is None) == (b.symbol is not None)
+
+
 def plain_cost(mixer, decisions):
     """The cost of decisions one by one, with Python's numbers."""
     total = []
