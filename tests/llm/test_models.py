@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 
-from lodestring.llm import lm, toxicity
+from lodestring.llm import blocks, lm, toxicity
 
 SMALL = toxicity.Settings(features=(1 << 8, 1 << 12), steps=60)
 
@@ -279,3 +279,68 @@ def test_toxicity_evidence_equals_a_plain_version():
                     want += seen[label] * math.log(seen[label] * n.sum() / (seen.sum() * n[label]))
         assert math.isclose(toxicity.evidence(by, n)[i], want, abs_tol=1e-12)
     assert toxicity.strongest(by, n, SMALL)[1].tolist() == [0, 3, 2, 1]
+
+
+def test_lm_spells_rare_bytes_in_fewer_decisions():
+    """A code by the bytes' weights takes under 6 decisions a byte here, where bytes as they are take 8."""
+    r = random.Random(2)
+    words = ["".join(r.choices("etaoinsrhldcu", range(13, 0, -1), k=r.randint(2, 9))).encode() for _ in range(400)]
+    weight = np.bincount(np.frombuffer(b" ".join([*words, b""]), np.uint8), minlength=256) + 1
+    code = lm.in_order(weight)
+    for letters, least, most in ((lm.LETTERS, 8, 8), (code, 1, 6)):
+        spelling = lm.Spelling(words, letters)
+        n = len(spelling.byte)
+        taken, written = 0, [""] * n
+        for d in spelling.decisions(0, n):
+            taken += len(d.bit)
+            for i, bit in zip(d.item.tolist(), d.bit.tolist()):
+                written[i] += str(bit)
+        assert least * n <= taken <= most * n
+        by_code = {format(c, f"0{size}b"): b for b, (c, size) in enumerate(zip(letters.code.tolist(), letters.length.tolist()))}
+        assert bytes(by_code[x] for x in written) == b"".join(w + b" " for w in words)
+    # whatever the code, the costs of all bytes are those of a distribution
+    table, learner = lm.new_table(), lm.Learner()
+    spelling = lm.Spelling(words, code)
+    lm.add_counts(table, spelling.decisions(0, len(spelling.byte)))
+    spent = np.zeros(len(spelling.byte))
+    learner.read(lm.without_own(lm.narrow(table)), spelling, len(spelling.byte), None)
+    learner.read(lm.narrow(table), spelling, len(spelling.byte), spent)
+    assert (spent > 0).all() and spent.sum() < 4.5 * len(spent)
+    mixer, single = lm.Mixer(lm.narrow(table), learner.facts()), lm.Spelling([bytes([a]) for a in range(256)], code)
+    first = mixer.cost(single, len(single.byte))[np.unique(single.word, return_index=True)[1]]
+    assert abs((2.0**-first).sum() - 1) < 1e-3
+    some = np.concatenate([plain_cost(mixer, [d]) for d in single.decisions(0, 40)])
+    assert np.allclose(np.bincount(some[:, 0].astype(int), weights=some[:, 1]), mixer.cost(single, len(single.byte))[:40], rtol=1e-3, atol=1e-4)
+
+
+def test_lm_keeps_near_steps_in_one_line():
+    """The nodes of four steps under one context have slots of their own among 16 neighbours, the next four elsewhere."""
+    code = lm.LETTERS
+    symbol = np.arange(256)
+    taken = [(n, bit, cells[0]) for n, bit, cells in code.steps(symbol, [np.full(256, 77, np.uint64)])]
+    assert [n for n, _, _ in taken] == [256] * 8
+    for a in (0, 4):
+        lines = np.array([cell >> 5 for _, _, cell in taken[a : a + 4]])
+        assert (lines == lines[0]).all() and len(np.unique(lines[0])) == (1 if a == 0 else len(np.unique(taken[3][2])))
+    slots = np.concatenate([np.unique(cell >> 1) for _, _, cell in taken[:4]])
+    assert len(slots) == len(set(slots.tolist())) == 15
+    assert all(np.array_equal(cell & 1, bit) and np.array_equal(bit, symbol >> (7 - k) & 1) for k, (_, bit, cell) in enumerate(taken))
+
+
+def test_lm_evidence_by_outcome_equals_the_table():
+    rng = np.random.default_rng(3)
+    table = rng.integers(0, 1 << 16, (lm.PREDICTORS, 1 << lm.TABLE_BITS)).astype(np.uint16)
+    spelling = lm.Spelling([b"anan", b"tion", b"er", b"xylo"])
+    for d in spelling.decisions(0, len(spelling.byte)):
+        (x, gate), (y, same) = lm.look(table, d, True), lm.look(lm.without_own(table), d, True)
+        assert np.array_equal(gate, same) and all(np.array_equal(u, v) for u, v in zip(x, y, strict=True))
+
+
+def test_order_of_and_distinct_equal_numpys():
+    rng = np.random.default_rng(4)
+    few = rng.integers(0, 50, 3000).astype(np.uint64)
+    cases = [np.zeros(0, np.uint64), np.array([7], np.uint64), few, few << np.uint64(58), few << np.uint64(40) | rng.integers(0, 3, 3000).astype(np.uint64), few << np.uint64(52) | rng.integers(0, 1 << 12, 3000).astype(np.uint64), rng.integers(0, 1 << 64, 3000, dtype=np.uint64), np.full(9, (1 << 64) - 1, np.uint64)]
+    for values in cases:
+        assert np.array_equal(blocks.order_of(values), np.argsort(values, kind="stable"))
+        for got, want in zip(blocks.distinct(values), np.unique(values, return_inverse=True), strict=True):
+            assert np.array_equal(got, want)
