@@ -22,3 +22,19 @@ def test_predictions_by_counts():
     found = lm.predicted(key, np.array([2, 3, 2, 1, 1], "<u2"))
     assert [bool(f & 8) for f in found.tolist()] == [True, False, True, False, True]
     assert found[0] == found[2]
+
+
+def test_hashes_equal_a_plain_version():
+    """Over stretches of 8,192 words, whose last one may be longer than all others, and of one."""
+    factor, m = 0xD6E8FEB86659FD93, 1 << 64
+    for texts in ([b"a bc  d"], [b"x yz " * 5000, b"", b"q" * 70_000], [b"a " * 8192], [b"a " * 8192 + b"bcd"]):
+        w = Words(texts)
+        words = [w.data[a:b] for a, b in zip(w.start.tolist(), w.end.tolist())]
+        assert words == [x for t in texts for x in t.split()]
+        plain = {}
+        for x in set(words):
+            h, power = len(x), 1
+            for c in x:
+                h, power = (h + int(BYTE_KEY[c]) * power) % m, power * factor % m
+            plain[x] = h
+        assert np.array_equal(w.hashes(), mix(np.array([plain[x] for x in words], np.uint64)))
