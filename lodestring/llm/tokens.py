@@ -27,7 +27,7 @@ MERGED_AT_ONCE = 1 << 14  # pieces, so that their matrix stays in the processor'
 NONE = np.int32(1 << 25)  # no rank
 LETTER, DIGIT, SIGN, SPACE, BREAK, OTHER = 1, 2, 3, 4, 5, 0
 
-_LOADED: dict[str, BatchEncoder] = {}
+_LOADED: dict[tuple[str, bool], BatchEncoder] = {}
 
 
 def byte_classes() -> np.ndarray:
@@ -110,15 +110,16 @@ class Merges:
 
 
 class BatchEncoder:
-    """encode(texts) gives all ids of some texts and where each text's ids end."""
+    """encode(texts) gives all ids of some texts and where each text's ids end; with plain, strings of special tokens are text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.library.encode_special_tokens = plain
         self.rule = cut_rule(spec)
         self.narrow = self.library.get_vocab_size() <= 1 << 16
         self.specials = [x["content"].encode() for x in spec.get("added_tokens", [])]
@@ -379,8 +380,8 @@ class BatchEncoder:
             rank[jr, right] = self.merges.of(sym[jr, right], sym[jr + 1, right])
 
 
-def encoder(path: str) -> BatchEncoder:
+def encoder(path: str, plain: bool = False) -> BatchEncoder:
     """One encoder a worker process and file: reading the vocabulary takes a moment."""
-    if path not in _LOADED:
-        _LOADED[path] = BatchEncoder(path)
-    return _LOADED[path]
+    if (path, plain) not in _LOADED:
+        _LOADED[path, plain] = BatchEncoder(path, plain)
+    return _LOADED[path, plain]
