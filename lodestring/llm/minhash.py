@@ -16,7 +16,10 @@ Links are found in two passes. In the first, every posting list has a centre, ch
 hash, and each class confirms one pair: with the centre that it agrees with most. That joins
 most of a large group of near copies without its pairs. The second takes the lists that still
 hold classes of different components, and counts every pair across components, so that no
-link is lost. A long list is cut into parts, and two parts at a time meet in a task.
+link is lost. A long list is cut into parts, and two parts at a time meet in a task. Signatures
+alone are counted at first; classes that have a partner under a list then meet under it once
+more with their sets, pairs are confirmed there, and a spanning forest leaves it: rows grow
+with the classes, never with the pairs.
 
 Cases: texts that are null or without words have no shingles and link with nothing; a null
 doc_id is no candidate for the smallest id, links others nevertheless, and is kept only in a
@@ -37,13 +40,14 @@ from pyspark.sql import functions as F
 from .blocks import mix
 from .common import encoded, pick, slices_by_bytes, stage
 from .near_copies import class_of, shingle_sets
-from .simhash import components
+from .simhash import components, find
 
 SHARE = 85  # in a hundred
 PLACES, NEED = 64, 40
 PREFIX = PLACES - NEED + 1
 STEP = 16
-PART = 1024  # classes of a posting list in one part
+PART, PART_SHINGLES = 1024, 1 << 21  # classes of a posting list in one part, and shingles of these
+BROADCAST_ROWS = 1 << 22  # numbers of rows that may be copied to every executor: 32 MB
 FACTOR = mix(np.arange(1, PLACES + 1, dtype=np.uint64), 0x12C) | np.uint64(1)
 FLIP = mix(np.arange(1, PLACES + 1, dtype=np.uint64), 0x12D)
 
@@ -77,17 +81,17 @@ def marked(df: DataFrame) -> DataFrame:
 
 
 def posted(classes: DataFrame) -> DataFrame:
-    """(key, place, cls): the prefix of every class."""
+    """(key, place, cls, size): the prefix of every class, and its number of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sig = matrix(b.column("sig"))[:, :PREFIX].astype(np.uint64)
             place = np.arange(PREFIX, dtype=np.uint64)
             key = mix((sig | place << np.uint64(32)).ravel(), 0x12E).view(np.int64)
-            cls = np.repeat(b.column("cls").to_numpy(), PREFIX)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.tile(place, b.num_rows).astype(np.int32)), pa.array(cls)], names=["key", "place", "cls"])
+            cls, size = (np.repeat(b.column(c).to_numpy(), PREFIX) for c in ("cls", "size"))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.tile(place, b.num_rows).astype(np.int32)), pa.array(cls), pa.array(size)], names=["key", "place", "cls", "size"])
 
-    return classes.select("cls", "sig").mapInArrow(run, "key long, place int, cls long")
+    return classes.select("cls", "size", "sig").mapInArrow(run, "key long, place int, cls long, size long")
 
 
 def matrix(sig: pa.Array) -> np.ndarray:
@@ -95,10 +99,11 @@ def matrix(sig: pa.Array) -> np.ndarray:
 
 
 def shared_lists(classes: DataFrame) -> DataFrame:
-    """(key, place, cls, n, centre) of the posting lists with more than one class."""
-    own = Window.partitionBy("key")
-    rows = posted(classes).withColumn("n", F.count("*").over(own)).where("n > 1")
-    return stage(rows.withColumn("centre", F.min_by("cls", F.xxhash64("cls", "key")).over(own)), "postings")
+    """(key, place, cls, parts, centre) of the posting lists with more than one class."""
+    rows = posted(classes)
+    parts = F.greatest(F.ceil(F.count("*") / PART), F.ceil(F.sum("size") / PART_SHINGLES)).cast("int")
+    keys = rows.groupBy("key").agg(F.count("*").alias("n"), parts.alias("parts"), F.min_by("cls", F.xxhash64("cls", "key")).alias("centre"))
+    return stage(rows.join(keys.where("n > 1").drop("n"), "key").drop("size"), "postings")
 
 
 def with_end(pairs: DataFrame, end: str, what: DataFrame, name: str) -> DataFrame:
@@ -126,19 +131,33 @@ def counted(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, part int, agree long")
 
 
-def confirmed(pairs: DataFrame, marks: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (a, b): the pairs (a, b, part) that hold on their full sets."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    rows = classes.join(ends, "cls", "left_semi").select("cls", "row")
-    sets = stage(marks.select("row", "shingles").join(rows, "row").select("cls", F.col("shingles").alias("value")), "sets")
+def sets_of(cls: DataFrame, marks: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, sig, shingles) of some classes (cls)."""
+    rows = stage(classes.join(cls.distinct(), "cls", "left_semi").select("cls", "row", "sig"), "rows")
+    wanted = marks.select("row", "shingles")
+    if rows.count() <= BROADCAST_ROWS:
+        wanted = wanted.join(F.broadcast(rows.select("row")), "row", "left_semi")  # so few rows of marks are shuffled
+    return stage(wanted.join(rows.hint("shuffle_merge"), "row").select("cls", "sig", "shingles"), "sets")
+
+
+def are_near(both, x, y):
+    return 100 * both >= SHARE * (x + y - both)
+
+
+def star_links(lists: DataFrame, marks: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links of each class with the centre that it agrees with most."""
+    met = lists.where("cls <> centre").groupBy(F.col("cls").alias("a"), F.col("centre").alias("b")).agg(F.max("parts").alias("parts"))
+    near = counted(met.select("a", "b", F.pmod(F.xxhash64("a", "b"), "parts").cast("int").alias("part")), classes)
+    best = near.groupBy("a").agg(F.max_by(F.struct("b", "part"), F.struct("agree", "b")).alias("c")).select("a", "c.*")
+    pairs = stage(best, "pairs")
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")), marks, classes).select("cls", F.col("shingles").alias("value"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             near = []
             for x, y in zip(b.column("x"), b.column("y")):
                 x, y = (np.frombuffer(s.as_py(), np.uint64) for s in (x, y))
-                both = np.intersect1d(x, y, assume_unique=True).size if 100 * min(len(x), len(y)) >= SHARE * max(len(x), len(y)) else 0
-                near.append(100 * both >= SHARE * (len(x) + len(y) - both))
+                near.append(bool(are_near(np.intersect1d(x, y, assume_unique=True).size, len(x), len(y))))
             keep = pa.array(near, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
@@ -146,25 +165,29 @@ def confirmed(pairs: DataFrame, marks: DataFrame, classes: DataFrame) -> DataFra
     return stage(both.mapInArrow(run, "a long, b long"), "links")
 
 
-def star_links(lists: DataFrame, marks: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links of each class with the centre that it agrees with most."""
-    met = lists.where("cls <> centre").groupBy(F.col("cls").alias("a"), F.col("centre").alias("b")).agg(F.max("n").alias("n"))
-    near = counted(met.select("a", "b", part_of_pair().alias("part")), classes)
-    best = near.groupBy("a").agg(F.max_by(F.struct("b", "part"), F.struct("agree", "b")).alias("c")).select("a", "c.*")
-    return confirmed(stage(best, "pairs"), marks, classes)
-
+def whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted rows in tables of whole lists."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column("list").to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))  # lists before it are whole
+        if cut or held and held[-1].column("list")[-1].as_py() != key[0]:
+            yield pa.concat_tables([*held, pa.Table.from_batches([batch.slice(0, cut)])]).combine_chunks()
+            held = []
+        held.append(pa.Table.from_batches([batch.slice(cut)]))
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
 
-def part_of_pair():
-    return F.pmod(F.xxhash64("a", "b"), F.ceil(F.col("n") / PART)).cast("int")
 
-
-def pairs_of_lists(key: np.ndarray, sig: np.ndarray, cls: np.ndarray, label: np.ndarray, side: np.ndarray, cross: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (a, b) of all pairs across labels with NEED agreements, the first of them at their list's place.
+def with_partner(t: dict[str, np.ndarray], sig: np.ndarray) -> np.ndarray:
+    """Which rows have a partner of another label with NEED agreements, the first of them at their list's place.
 
     Rows of a list stand together. A list with cross is of two parts, whose own pairs are not asked.
     """
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    alive = np.arange(len(key))
+    key, label, side, cross, place = (t[n] for n in ("list", "label", "side", "cross", "place"))
+    met, alive = np.zeros(len(key), bool), np.arange(len(key))
     for offset in range(1, len(key)):
         alive = alive[alive + offset < len(key)]
         alive = alive[key[alive] == key[alive + offset]]
@@ -177,61 +200,92 @@ def pairs_of_lists(key: np.ndarray, sig: np.ndarray, cls: np.ndarray, label: np.
             same = sig[a, at : at + STEP] == sig[a + offset, at : at + STEP]
             left -= STEP
             go = agree + same.sum(1) + left >= NEED
-            first = at + np.argmax(same, 1)
-            go &= (agree > 0) | ~same.any(1) | (first == place[a])  # an earlier agreement has the pair in its own list
+            go &= (agree > 0) | ~same.any(1) | (at + np.argmax(same, 1) == place[a])  # an earlier agreement has the pair in its own list
             agree = (agree + same.sum(1))[go]
             a = a[go]
-        found.append((a, a + offset))
-    a, b = (np.concatenate(x) for x in zip(*found))
-    return cls[a], cls[b]
-
-
-def crossing_pairs(lists: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b, part) of all pairs of different components with NEED agreements or more."""
-    own = Window.partitionBy("key")
-    labelled = lists.select("key", "place", "cls", "n").join(roots, lists["cls"] == roots["node"], "left").select("key", "place", "cls", "n", F.coalesce("root", "cls").alias("label"))
-    mixed = labelled.withColumn("low", F.min("label").over(own)).withColumn("high", F.max("label").over(own)).where("low < high")
-    parts = F.ceil(F.col("n") / PART).cast("int")
-    cut = mixed.withColumn("parts", parts).withColumn("side", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+        met[a] = met[a + offset] = True
+    return met
+
+
+def confirmed(t: dict[str, np.ndarray], sig: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest, as rows (a, b), of the near pairs across labels of one list."""
+    label, side, cross, place = (t[n] for n in ("label", "side", "cross", "place"))
+    size = np.array([len(s) for s in sets], np.int64)
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    stop = np.cumsum(size)
+    mark = np.zeros(int(code.max()) + 1, bool)
+    parent: dict[int, int] = {}
+    links = []
+    for x in range(len(sets) - 1):
+        y = np.arange(x + 1, len(sets))
+        keep = (label[y] != label[x]) & are_near(np.minimum(size[y], size[x]), size[y], size[x])
+        y = y[keep & (side[y] != side[x])] if cross[x] else y[keep]
+        same = sig[y] == sig[x]
+        y = y[(same.sum(1) >= NEED) & (np.argmax(same, 1) == place[x])]
+        if not len(y):
+            continue
+        own = slice(stop[x] - size[x], stop[x])
+        mark[code[own]] = True
+        if 8 * len(y) > len(sets) - x:
+            both = np.add.reduceat(mark[code[stop[x] :]].astype(np.int64), (stop - size)[x + 1 :] - stop[x])[y - x - 1]
+        else:
+            both = np.array([np.count_nonzero(mark[code[stop[i] - size[i] : stop[i]]]) for i in y.tolist()])
+        mark[code[own]] = False
+        for i in y[are_near(both, size[y], size[x])].tolist():
+            a, b = find(parent, int(label[x])), find(parent, int(label[i]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                links.append((x, i))
+    return links
+
+
+ROW = "list long, place int, cls long, label long, side int, cross boolean"
+COLUMNS = [f.split()[0] for f in ROW.split(", ")]
+
+
+def arrays(t: pa.Table) -> dict[str, np.ndarray]:
+    return {n: t.column(n).combine_chunks().to_numpy(zero_copy_only=False) for n in COLUMNS}
+
+
+def crossing_links(lists: DataFrame, roots: DataFrame, marks: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) that join all near pairs of different components."""
+    labelled = lists.select("key", "place", "cls", "parts").join(roots, lists["cls"] == roots["node"], "left").select("key", "place", "cls", "parts", F.coalesce("root", "cls").alias("label"))
+    labelled = stage(labelled, "labels")
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    cut = labelled.join(mixed, "key").withColumn("side", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = met.select("key", "place", "cls", "label", "n", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-    whole = dealt.join(classes.select("cls", "sig"), "cls").select(F.xxhash64("key", "i", "j").alias("key"), "place", "cls", "label", "n", "side", (F.col("i") < F.col("j")).alias("cross"), "sig")
-    names = ["key", "place", "cls", "label", "n", "side", "cross", "sig"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-
-        def out(t: pa.Table) -> pa.RecordBatch:
-            t = t.combine_chunks()
-            one = {n: t.column(n).combine_chunks() for n in names}
-            rows = {n: one[n].to_numpy(zero_copy_only=False) for n in names[:-1]}
-            a, b = pairs_of_lists(rows["key"], matrix(one["sig"]), np.arange(t.num_rows), rows["label"], rows["side"], rows["cross"], rows["place"])
-            return pa.RecordBatch.from_arrays([pa.array(rows["cls"][a]), pa.array(rows["cls"][b]), pa.array(rows["n"][a])], names=["a", "b", "n"])
-
-        for batch in batches:
-            key = batch.column("key").to_numpy()
-            cut = int(np.searchsorted(key, key[-1]))  # lists before it are whole
-            if cut or held and held[-1].column("key")[-1].as_py() != key[0]:
-                yield out(pa.concat_tables([*held, pa.Table.from_batches([batch.slice(0, cut)])]))
-                held = []
-            held.append(pa.Table.from_batches([batch.slice(cut)]))
-        if held:
-            yield out(pa.concat_tables(held))
-
-    found = whole.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, n long")
-    pairs = found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("n").alias("n"))
-    return stage(pairs.select("a", "b", part_of_pair().alias("part")), "pairs")
+    i, j = F.least("side", "other"), F.greatest("side", "other")
+    dealt = met.select(F.xxhash64("key", i, j).alias("list"), "place", "cls", "label", "side", (i < j).alias("cross"))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_lists(batches):
+            some = with_partner(arrays(t), matrix(t.column("sig").combine_chunks()))
+            yield from t.select(COLUMNS).filter(pa.array(some)).combine_chunks().to_batches()
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_lists(batches):
+            own, sig = arrays(t), matrix(t.column("sig").combine_chunks())
+            edge = [0, *(np.nonzero(own["list"][1:] != own["list"][:-1])[0] + 1).tolist(), t.num_rows]
+            found = []
+            for s, e in zip(edge, edge[1:]):
+                sets = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("shingles").slice(s, e - s)]
+                found += [(own["cls"][s + a], own["cls"][s + b]) for a, b in confirmed({n: c[s:e] for n, c in own.items()}, sig[s:e], sets)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    by_list = lambda rows: rows.repartition("list").sortWithinPartitions("list")
+    partners = stage(by_list(dealt.join(classes.select("cls", "sig"), "cls")).mapInArrow(look, ROW), "partners")
+    sets = sets_of(partners.select("cls"), marks, classes)
+    return stage(by_list(partners.join(sets, "cls")).mapInArrow(confirm, "a long, b long"), "links")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; component_id is the smallest id reachable."""
     marks = marked(pick(df, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")))
-    found = marks.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.min("sig").alias("sig"))
-    classes = stage(found, "classes")
+    least = [F.min(c).alias(n) for c, n in (("doc_id", "rep"), ("row", "row"), ("n_shingles", "size"), ("sig", "sig"))]
+    classes = stage(marks.where("n_shingles > 0").groupBy("cls").agg(*least), "classes")
     lists = shared_lists(classes)
-    stars = star_links(lists, marks, classes)
-    roots = components(stars)
-    rest = confirmed(crossing_pairs(lists, roots, classes), marks, classes)
+    roots = stage(components(star_links(lists, marks, classes)), "roots")
+    rest = crossing_links(lists, roots, marks, classes)
     joined = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(rest))
     rooted = classes.join(joined, classes["cls"] == joined["node"], "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
