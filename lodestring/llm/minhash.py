@@ -47,7 +47,7 @@ PLACES, NEED = 64, 40
 PREFIX = PLACES - NEED + 1
 STEP = 16
 PART, PART_SHINGLES = 1024, 1 << 21  # classes of a posting list in one part, and shingles of these
-BROADCAST_ROWS = 1 << 22  # numbers of rows that may be copied to every executor: 32 MB
+BROADCAST_CLASSES = 1 << 22  # numbers of classes that may be copied to every executor: 32 MB
 FACTOR = mix(np.arange(1, PLACES + 1, dtype=np.uint64), 0x12C) | np.uint64(1)
 FLIP = mix(np.arange(1, PLACES + 1, dtype=np.uint64), 0x12D)
 
@@ -63,7 +63,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def marked(df: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, cls, sig, shingles, row) of rows (doc_id, text); a class is 0 where there are no shingles."""
+    """(doc_id, n_shingles, cls, sig) of rows (doc_id, text); a class is 0 where there are no shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -73,11 +73,10 @@ def marked(df: DataFrame) -> DataFrame:
                 sig = [None] * len(sets)
                 for i, row in zip(some, signatures([sets[i] for i in some]) if some else ()):
                     sig[i] = row.tobytes()
-                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), pa.array(sig, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["doc_id", "n_shingles", "cls", "sig", "shingles"])
+                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), pa.array(sig, pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["doc_id", "n_shingles", "cls", "sig"])
 
-    rows = df.mapInArrow(run, "doc_id long, n_shingles long, cls long, sig binary, shingles binary")
-    return stage(rows.withColumn("row", F.monotonically_increasing_id()), "marks")
+    return stage(df.mapInArrow(run, "doc_id long, n_shingles long, cls long, sig binary"), "marks")
 
 
 def posted(classes: DataFrame) -> DataFrame:
@@ -103,7 +102,7 @@ def shared_lists(classes: DataFrame) -> DataFrame:
     rows = posted(classes)
     parts = F.greatest(F.ceil(F.count("*") / PART), F.ceil(F.sum("size") / PART_SHINGLES)).cast("int")
     keys = rows.groupBy("key").agg(F.count("*").alias("n"), parts.alias("parts"), F.min_by("cls", F.xxhash64("cls", "key")).alias("centre"))
-    return stage(rows.join(keys.where("n > 1").drop("n"), "key").drop("size"), "postings")
+    return stage(rows.join(keys.where("n > 1").drop("n").hint("merge"), "key").drop("size"), "postings")
 
 
 def with_end(pairs: DataFrame, end: str, what: DataFrame, name: str) -> DataFrame:
@@ -131,26 +130,32 @@ def counted(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, part int, agree long")
 
 
-def sets_of(cls: DataFrame, marks: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cls, sig, shingles) of some classes (cls)."""
-    rows = stage(classes.join(cls.distinct(), "cls", "left_semi").select("cls", "row", "sig"), "rows")
-    wanted = marks.select("row", "shingles")
-    if rows.count() <= BROADCAST_ROWS:
-        wanted = wanted.join(F.broadcast(rows.select("row")), "row", "left_semi")  # so few rows of marks are shuffled
-    return stage(wanted.join(rows.hint("shuffle_merge"), "row").select("cls", "sig", "shingles"), "sets")
+def sets_of(cls: DataFrame, docs: DataFrame) -> DataFrame:
+    """(cls, shingles) of some classes (cls), computed again: all sets together are larger than the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices_by_bytes(whole, 0, 1 << 18):
+                sets = {class_of(s): s.tobytes() for s in shingle_sets(b.column(0).to_pylist())}
+                yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array(list(sets.values()), pa.binary())], names=["cls", "shingles"])
+
+    wanted = stage(cls.distinct(), "wanted")
+    few = wanted.count() <= BROADCAST_CLASSES
+    found = docs.select("text").mapInArrow(run, "cls long, shingles binary").join(F.broadcast(wanted) if few else wanted, "cls", "left_semi")
+    return stage(found.groupBy("cls").agg(F.min("shingles").alias("shingles")), "sets")
 
 
 def are_near(both, x, y):
     return 100 * both >= SHARE * (x + y - both)
 
 
-def star_links(lists: DataFrame, marks: DataFrame, classes: DataFrame) -> DataFrame:
+def star_links(lists: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Links of each class with the centre that it agrees with most."""
     met = lists.where("cls <> centre").groupBy(F.col("cls").alias("a"), F.col("centre").alias("b")).agg(F.max("parts").alias("parts"))
     near = counted(met.select("a", "b", F.pmod(F.xxhash64("a", "b"), "parts").cast("int").alias("part")), classes)
     best = near.groupBy("a").agg(F.max_by(F.struct("b", "part"), F.struct("agree", "b")).alias("c")).select("a", "c.*")
     pairs = stage(best, "pairs")
-    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")), marks, classes).select("cls", F.col("shingles").alias("value"))
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")), docs).withColumnRenamed("shingles", "value")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -247,7 +252,7 @@ def arrays(t: pa.Table) -> dict[str, np.ndarray]:
     return {n: t.column(n).combine_chunks().to_numpy(zero_copy_only=False) for n in COLUMNS}
 
 
-def crossing_links(lists: DataFrame, roots: DataFrame, marks: DataFrame, classes: DataFrame) -> DataFrame:
+def crossing_links(lists: DataFrame, roots: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b) that join all near pairs of different components."""
     labelled = lists.select("key", "place", "cls", "parts").join(roots, lists["cls"] == roots["node"], "left").select("key", "place", "cls", "parts", F.coalesce("root", "cls").alias("label"))
     labelled = stage(labelled, "labels")
@@ -273,19 +278,20 @@ def crossing_links(lists: DataFrame, roots: DataFrame, marks: DataFrame, classes
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     by_list = lambda rows: rows.repartition("list").sortWithinPartitions("list")
-    partners = stage(by_list(dealt.join(classes.select("cls", "sig"), "cls")).mapInArrow(look, ROW), "partners")
-    sets = sets_of(partners.select("cls"), marks, classes)
-    return stage(by_list(partners.join(sets, "cls")).mapInArrow(confirm, "a long, b long"), "links")
+    partners = stage(by_list(dealt.join(classes.select("cls", "sig").hint("merge"), "cls")).mapInArrow(look, ROW), "partners")
+    sets = sets_of(partners.select("cls"), docs)
+    return stage(by_list(partners.join(sets, "cls").join(classes.select("cls", "sig"), "cls")).mapInArrow(confirm, "a long, b long"), "links")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; component_id is the smallest id reachable."""
-    marks = marked(pick(df, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")))
-    least = [F.min(c).alias(n) for c, n in (("doc_id", "rep"), ("row", "row"), ("n_shingles", "size"), ("sig", "sig"))]
+    docs = pick(df, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    marks = marked(docs)
+    least = [F.min(c).alias(n) for c, n in (("doc_id", "rep"), ("n_shingles", "size"), ("sig", "sig"))]
     classes = stage(marks.where("n_shingles > 0").groupBy("cls").agg(*least), "classes")
     lists = shared_lists(classes)
-    roots = stage(components(star_links(lists, marks, classes)), "roots")
-    rest = crossing_links(lists, roots, marks, classes)
+    roots = stage(components(star_links(lists, docs, classes)), "roots")
+    rest = crossing_links(lists, roots, docs, classes)
     joined = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(rest))
     rooted = classes.join(joined, classes["cls"] == joined["node"], "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
