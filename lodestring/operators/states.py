@@ -64,39 +64,66 @@ def largest_successor(edges: DataFrame, sizes: DataFrame) -> DataFrame:
     return sized.withColumn("r", first).where("r = 1").select("state", F.col("target").alias("successor"), "n")
 
 
+def chain_ends(edges: DataFrame) -> DataFrame:
+    """(state, end) of the states whose only large successor has as many rows: what they offer is what the end of the chain offers.
+
+    Pointers are doubled, so a chain takes as many rounds as the logarithm of its length.
+    """
+    only = edges.groupBy("state", "n").agg(F.count("*").alias("c"), F.max("target").alias("end"), F.max("target_n").alias("end_n"))
+    ends = checkpointed(edges.sparkSession, only.where("c = 1 AND end_n = n").select("state", "end"))
+    while True:
+        ahead = ends.select(F.col("state").alias("end"), F.col("end").alias("further"))
+        ends = checkpointed(edges.sparkSession, ends.join(ahead, "end", "left").select("state", F.coalesce("further", "end").alias("end"), F.col("further").isNotNull().alias("moved")))
+        if ends.where("moved").isEmpty():
+            return ends.drop("moved")
+
+
 def choose_bases(edges: DataFrame, sizes: DataFrame, threshold: int) -> DataFrame:
     """(state, base, n, n_local, has_graph): how each state is stored.
 
     Under threshold rows: a plain list. Otherwise the base is, of what the successors offer,
     the one with most rows. A state without one is stored whole; so is one whose difference
     is larger than the base, and it becomes what it offers itself. Sizes alone decide, as a
-    base's rows are always among the state's. Longer states come first, a length at a time,
-    on rows of a few bytes.
+    base's rows are always among the state's.
+
+    Chains of states with the same rows take over what their end offers, so rounds are left for
+    the branches alone: in each, the states whose successors are all decided, on rows of a few
+    bytes.
     """
     spark = sizes.sparkSession
-    sizes = checkpointed(spark, sizes.select("state", "n", F.length("state").alias("len")))
-    edges = checkpointed(spark, edges.select("state", "target").distinct())
-    lens = [r[0] for r in sizes.select("len").distinct().orderBy(F.desc("len")).collect()]
-    done = None
-    for length in lens:
-        level = sizes.where(F.col("len") == length)
-        small = level.where(F.col("n") < threshold).select("state", F.lit(None).cast("string").alias("base"), "n", F.col("n").alias("n_local"), F.lit(False).alias("has_graph"), F.lit(None).cast("string").alias("offer"), F.lit(None).cast("long").alias("offer_n"))
-        big = level.where(F.col("n") >= threshold)
-        if done is None:
-            best = big.select("state", F.lit(None).cast("string").alias("base"), F.lit(None).cast("long").alias("base_n"))
-        else:
-            options = edges.join(done.where("offer IS NOT NULL").select(F.col("state").alias("target"), "offer", "offer_n"), "target")
-            first = F.row_number().over(Window.partitionBy("state").orderBy(F.desc("offer_n"), "offer"))
-            best = options.withColumn("r", first).where("r = 1").select("state", F.col("offer").alias("base"), F.col("offer_n").alias("base_n"))
-        chosen = big.join(best, "state", "left").select("state", "n", "base", "base_n") if done is not None else best.join(big, "state").select("state", "n", "base", "base_n")
-        whole = F.col("base").isNull() | (F.col("n") - F.col("base_n") > F.col("base_n"))
-        local = F.when(whole, F.col("n")).otherwise(F.col("n") - F.col("base_n"))
-        stored = chosen.select("state", F.when(~whole, F.col("base")).alias("base"), "n", local.alias("n_local"), (whole | (local >= threshold)).alias("has_graph"), F.when(whole, F.col("state")).otherwise(F.col("base")).alias("offer"), F.when(whole, F.col("n")).otherwise(F.col("base_n")).alias("offer_n"))
-        written = checkpointed(spark, small.unionAll(stored))
-        done = written if done is None else done.unionAll(written)
+    sizes = checkpointed(spark, sizes.select("state", "n"))
+    small = sizes.where(F.col("n") < threshold).select("state", F.lit(None).cast("string").alias("base"), "n", F.col("n").alias("n_local"), F.lit(False).alias("has_graph"))
+    large = sizes.where(F.col("n") >= threshold)
+    ahead = large.select(F.col("state").alias("target"), F.col("n").alias("target_n"))
+    edges = checkpointed(spark, edges.select("state", "target").distinct().join(large, "state").join(ahead, "target"))
+    ends = chain_ends(edges)
+    to = ends.select(F.col("state").alias("target"), "end")
+    ways = edges.join(ends, "state", "left_anti").join(to, "target", "left").select("state", F.coalesce("end", "target").alias("target"))
+    ways = checkpointed(spark, ways.distinct())
+    needed = ways.groupBy("state").agg(F.count("*").alias("needed"))
+    nodes = checkpointed(spark, large.join(ends, "state", "left_anti").join(needed, "state", "left").select("state", "n", F.coalesce("needed", F.lit(0)).alias("needed")))
+    best = "best struct<less: bigint, offer: string>"
+    met = spark.createDataFrame([], f"state string, got long, {best}, turn int")
+    ready, done, turn = nodes.where("needed = 0").select("state", "n", F.lit(None).cast(best.split(" ", 1)[1]).alias("best")), None, 0
+    while True:
+        base_n = -F.col("best.less")
+        whole = F.col("best").isNull() | (F.col("n") - base_n > base_n)
+        now = ready.select("state", "n", F.when(~whole, F.col("best.offer")).alias("base"), F.when(whole, F.col("state")).otherwise(F.col("best.offer")).alias("offer"), F.when(whole, F.col("n")).otherwise(base_n).alias("offer_n"))
+        now = checkpointed(spark, now)
+        if now.isEmpty():
+            break
+        done = now if done is None else done.unionAll(now)
+        turn += 1
+        offers = now.select(F.col("state").alias("target"), F.struct((-F.col("offer_n")).alias("less"), "offer").alias("best"))
+        told = ways.join(offers, "target").groupBy("state").agg(F.count("*").alias("got"), F.min("best").alias("best")).withColumn("turn", F.lit(turn))
+        met = checkpointed(spark, met.unionAll(told).groupBy("state").agg(F.sum("got").alias("got"), F.min("best").alias("best"), F.max("turn").alias("turn")))
+        ready = nodes.join(met.where(F.col("turn") == turn), "state").where("got = needed").select("state", "n", "best")
     if done is None:
-        return spark.createDataFrame([], "state string, base string, n long, n_local long, has_graph boolean")
-    return done.select("state", "base", "n", "n_local", "has_graph")
+        return small
+    by_chain = ends.join(done.select(F.col("state").alias("end"), "offer", "offer_n"), "end").join(large, "state").select("state", "n", F.col("offer").alias("base"), "offer", "offer_n")
+    local = F.when(F.col("base").isNull(), F.col("n")).otherwise(F.col("n") - F.col("offer_n"))
+    stored = done.unionByName(by_chain).select("state", "base", "n", local.alias("n_local"), (F.col("base").isNull() | (local >= threshold)).alias("has_graph"))
+    return checkpointed(spark, small.unionAll(stored))
 
 
 class StateIndex:
