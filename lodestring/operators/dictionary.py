@@ -37,10 +37,11 @@ class SubstringDictionary:
     def save(self, path: str) -> None:
         self.base.write.mode("overwrite").parquet(f"{path}/base")
         self.entries.repartitionByRange("g").sortWithinPartitions("g", "id").write.mode("overwrite").parquet(f"{path}/entries")
+        self.base.sparkSession.createDataFrame([(str(self.max_length),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/max_length")
 
     @staticmethod
     def load(spark, path: str) -> SubstringDictionary:
-        return SubstringDictionary(spark.read.parquet(f"{path}/base"), spark.read.parquet(f"{path}/entries"))
+        return SubstringDictionary(spark.read.parquet(f"{path}/base"), spark.read.parquet(f"{path}/entries"), int(spark.read.text(f"{path}/max_length").first()[0]))
 
     def size_report(self) -> DataFrame:
         return self.entries.agg(F.countDistinct("g").alias("substrings"), F.count("*").alias("ids"))

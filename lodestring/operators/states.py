@@ -8,6 +8,8 @@ as a base state and the rows that the base lacks.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,14 +23,28 @@ def occurrences(base: DataFrame) -> DataFrame:
     return base.select("id", F.explode(all_substrings(F.col("s"))).alias("x")).select("x.g", "id", "x.end")
 
 
-def members(base: DataFrame) -> DataFrame:
-    """(g, state): the class of every distinct substring; a state is its longest member."""
+def place_hashes(base: DataFrame) -> DataFrame:
+    """(g, h1, h2, h3, n): of every distinct substring, hashes of its set of places, that add up over disjoint rows."""
     # places are distinct, so their number with two sums that don't depend on order stands for the set; all are added up before the shuffle
     one, two = F.xxhash64("id", "end"), F.xxhash64("end", "id")
     low = F.sum(two.bitwiseAND(F.lit((1 << 31) - 1)))
-    keyed = occurrences(base).groupBy("g").agg(F.bit_xor(one).alias("h1"), F.bit_xor(two).alias("h2"), low.alias("h3"), F.count("*").alias("n"))
+    return occurrences(base).groupBy("g").agg(F.bit_xor(one).alias("h1"), F.bit_xor(two).alias("h2"), low.alias("h3"), F.count("*").alias("n"))
+
+
+def merged_hashes(parts: DataFrame) -> DataFrame:
+    """place_hashes() of all rows from those of disjoint ones."""
+    return parts.groupBy("g").agg(F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2"), F.sum("h3").alias("h3"), F.sum("n").alias("n"))
+
+
+def classified(hashes: DataFrame) -> DataFrame:
+    """place_hashes() with the class of every substring; a state is its longest member."""
     longest = F.max_by("g", F.length("g")).over(Window.partitionBy("h1", "h2", "h3", "n"))
-    return keyed.select("g", longest.alias("state"))
+    return hashes.select("g", longest.alias("state"), "h1", "h2", "h3", "n")
+
+
+def members(base: DataFrame) -> DataFrame:
+    """(g, state): the class of every distinct substring; a state is its longest member."""
+    return classified(place_hashes(base)).select("g", "state")
 
 
 def states(base: DataFrame) -> DataFrame:
@@ -127,28 +143,58 @@ def choose_bases(edges: DataFrame, sizes: DataFrame, threshold: int) -> DataFram
 
 
 class StateIndex:
-    """States with their rows, stored whole (mode full) or as differences (mode delta)."""
+    """States with their rows, stored whole (mode full) or as differences (mode delta).
+
+    substates keeps the hashes of every substring's places, so that rows can be appended
+    without the strings that are there already.
+    """
 
-    def __init__(self, base: DataFrame, substates: DataFrame, layout: DataFrame, local: DataFrame):
-        self.base, self.substates, self.layout, self.local = base, substates, layout, local
+    def __init__(self, base: DataFrame, substates: DataFrame, layout: DataFrame, local: DataFrame, mode: str = "delta", threshold: int = 200):
+        self.base, self.substates, self.layout, self.local, self.mode, self.threshold = base, substates, layout, local, mode, threshold
 
     @staticmethod
     def build(base: DataFrame, mode: str = "delta", threshold: int = 200) -> StateIndex:
-        m = checkpointed(base.sparkSession, members(base))
-        rows = checkpointed(base.sparkSession, state_rows(base, m))
+        m = checkpointed(base.sparkSession, classified(place_hashes(base)))
+        return StateIndex.laid_out(base, m, state_rows(base, m), mode, threshold)
+
+    @staticmethod
+    def laid_out(base: DataFrame, m: DataFrame, rows: DataFrame, mode: str, threshold: int) -> StateIndex:
+        """The index of classified substrings and the rows (state, id) of their states."""
+        rows = checkpointed(base.sparkSession, rows)
         sizes = rows.groupBy("state").agg(F.count("*").alias("n"))
         if mode == "full":
             layout = sizes.select("state", F.lit(None).cast("string").alias("base"), "n", F.col("n").alias("n_local"), F.lit(True).alias("has_graph"))
-            return StateIndex(base, m, layout, rows)
+            return StateIndex(base, m, layout, rows, mode, threshold)
         if mode != "delta":
             raise ValueError("mode is full or delta")
         layout = choose_bases(transitions(base, m), sizes, threshold)
         of_base = layout.where("base IS NOT NULL").select("state", "base").join(rows.select(F.col("state").alias("base"), "id"), "base").select("state", "id")
-        return StateIndex(base, m, layout, rows.join(of_base, ["state", "id"], "left_anti"))
-
-    def append(self, new: DataFrame, mode: str = "delta", threshold: int = 200) -> StateIndex:
-        """The index of all rows, equal to a rebuild."""
-        return StateIndex.build(self.base.unionByName(new), mode, threshold)
+        return StateIndex(base, m, layout, rows.join(of_base, ["state", "id"], "left_anti"), mode, threshold)
+
+    def append(self, new: DataFrame, mode: str | None = None, threshold: int | None = None) -> StateIndex:
+        """The index of all rows, equal to a rebuild; strings that are there already aren't read again.
+
+        The new rows' hashes are added to those of the same substrings. A substring that the new
+        rows don't hold keeps its class, as any that they hold now have other places. The others
+        are classified by their new hashes, and a state among them has the new rows that hold it
+        and the rows of its former class. No state ever goes.
+        """
+        spark = self.base.sparkSession
+        new = new.select("id", "s", "v")
+        held = self.substates.join(checkpointed(spark, occurrences(new).select("g").distinct()), "g", "left_semi")
+        added = place_hashes(new)
+        touched = checkpointed(spark, classified(merged_hashes(held.drop("state").unionByName(added))))
+        kept = self.substates.join(touched.select("g"), "g", "left_anti")
+        m = checkpointed(spark, kept.unionByName(touched))
+        named = touched.select("state").distinct()
+        former = named.join(self.substates.select(F.col("g").alias("state"), F.col("state").alias("was")), "state")
+        every = self.rows_of(self.layout.select("state").withColumn("own", F.col("state"))).select(F.col("own").alias("was"), "id")
+        every = checkpointed(spark, every)
+        again = former.join(every, "was").select("state", "id")
+        rest = every.withColumnRenamed("was", "state").join(named, "state", "left_anti")
+        fresh = state_rows(new, named)
+        rows = rest.unionByName(again).unionByName(fresh)
+        return StateIndex.laid_out(self.base.unionByName(new), m, rows, mode or self.mode, threshold or self.threshold)
 
     def rows_of(self, wanted: DataFrame) -> DataFrame:
         """(…, id) of wanted (…, state): the local rows and those of the base."""
@@ -157,7 +203,7 @@ class StateIndex:
         return own.unionByName(bases.join(self.local, "state"))
 
     def search(self, queries: DataFrame) -> DataFrame:
-        named = queries.where("p <> ''").join(self.substates.withColumnRenamed("g", "p"), "p").select("qid", "qv", "k", "state")
+        named = queries.where("p <> ''").join(self.substates.select(F.col("g").alias("p"), "state"), "p").select("qid", "qv", "k", "state")
         hits = self.rows_of(named).join(self.base.select("id", "v"), "id").select("qid", "k", "id", l2(F.col("v"), F.col("qv")).alias("dist"))
         found = top_k(hits, F.col("k"), largest_k(queries))
         empty = queries.where("p = ''")
@@ -177,7 +223,10 @@ class StateIndex:
     def save(self, path: str) -> None:
         for name in ("base", "substates", "layout", "local"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        meta = json.dumps({"mode": self.mode, "threshold": self.threshold})
+        self.base.sparkSession.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
     @staticmethod
     def load(spark, path: str) -> StateIndex:
-        return StateIndex(*[spark.read.parquet(f"{path}/{n}") for n in ("base", "substates", "layout", "local")])
+        meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+        return StateIndex(*[spark.read.parquet(f"{path}/{n}") for n in ("base", "substates", "layout", "local")], meta["mode"], meta["threshold"])
