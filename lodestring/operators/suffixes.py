@@ -382,7 +382,7 @@ class SuffixIndex:
 
     def search(self, queries: DataFrame) -> DataFrame:
         """(qid, rank, id, dist); the empty pattern stands for all rows."""
-        rows = self.hits(queries).join(self.base, "id").join(queries, "qid").where((F.length("p") <= START) | F.contains("s", "p"))
+        rows = self.hits(queries).join(self.base.hint("merge"), "id").join(queries, "qid").where((F.length("p") <= START) | F.contains("s", "p"))
         found = top_k(rows.select("qid", "k", "id", l2(F.col("v"), F.col("qv")).alias("dist")), F.col("k"), largest_k(queries))
         empty = queries.where("p = ''")
         return found if empty.isEmpty() else found.unionAll(exact_topk_batch(self.base, empty))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import clean_email_body, escape_like, escape_wildcard, keep_letters, sanitize_name
 from .operators import approximate, evaluate, generate, postings, search, states, suffixes
+from .operators.cells import CellIndex, postfilter_by_bounds
 from .operators.dictionary import SubstringDictionary
 from .operators.graph import NeighbourGraph, graph_topk as search_graph
 from .operators.states import StateIndex
@@ -200,6 +201,28 @@ def postfilter_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.postfilter_topk(*prepared(spark, sf_dir), ef=100)
 
 
+@query(with_sql(BASE, asked_sql(), NEAR, select="SELECT qid, rank, id, dist FROM (SELECT qid, k, id, dist, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM near WHERE near_rank <= 100 AND contains(s, p)) WHERE rank <= k"))
+def bounded_postfilter_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows; cells open in order of a lower bound until 100 rows are certain."""
+    base, asked = prepared(spark, sf_dir)
+    return postfilter_by_bounds(CellIndex.build(base), asked, ef=100)
+
+
+CELLS = (
+    "centres AS MATERIALIZED (SELECT row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR)), id) - 1 AS cell, v AS center FROM base QUALIFY cell < 16)",
+    f"filed AS MATERIALIZED (SELECT id, s, v, cell FROM (SELECT id, s, v, cell, row_number() OVER (PARTITION BY id ORDER BY {DIST.format('v', 'center')}, cell) AS n FROM base, centres) WHERE n = 1)",
+    "counts AS (SELECT qid, cell, count(*) AS matching FROM filed JOIN queries ON contains(s, p) GROUP BY qid, cell)",
+    f"visited AS (SELECT qid, cell FROM (SELECT qid, cell, k, coalesce(sum(coalesce(matching, 0)) OVER (PARTITION BY qid ORDER BY away, cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT qid, k, cell, {DIST.format('center', 'qv')} AS away FROM queries, centres) LEFT JOIN counts USING (qid, cell)) WHERE before < greatest(20, k))",
+)
+
+
+@query(with_sql(BASE, asked_sql(), *CELLS, topk_sql("contains(s, p) AND (qid, cell) IN (SELECT (qid, cell) FROM visited)", "filed")))
+def budget_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filtered search that visits cells until 20 candidates with the pattern are met."""
+    base, asked = prepared(spark, sf_dir)
+    return CellIndex.build(base).within_budget(asked, num_candidates=20)
+
+
 SWEEP = f"points AS (SELECT unnest({EFS}) AS ef_search), found AS (SELECT * FROM (SELECT ef_search, qid, k, id, row_number() OVER (PARTITION BY ef_search, qid ORDER BY dist, id) AS rank FROM near JOIN points ON near_rank <= greatest(ef_search, k) WHERE contains(s, p)) WHERE rank <= k), sizes AS (SELECT qid, count(*) AS n FROM topk GROUP BY qid), sweep AS (SELECT ef_search, avg(coalesce(hit, 0) / n) AS recall FROM sizes CROSS JOIN points LEFT JOIN (SELECT f.ef_search, f.qid, count(*) AS hit FROM found f JOIN topk t ON f.qid = t.qid AND f.id = t.id GROUP BY ALL) USING (ef_search, qid) GROUP BY ef_search)"
 
 

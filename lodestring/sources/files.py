@@ -1,26 +1,28 @@
-"""Text and fvecs files: line i is row i."""
+"""Text files: line i is row i."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import checkpointed
+
+BROADCAST_SPLITS = 1 << 18  # of files, whose first ids may be copied to every executor
+
 
 def in_order(rows: DataFrame) -> DataFrame:
     """rows of files with ids from 0, in order of path and place.
 
     rows have the columns path and start of the split that each came from. A count for each
-    split gives the first id of the next, so nothing is sorted and no row leaves its task.
+    split gives the first id of the next, so nothing is sorted, and no row leaves its task unless
+    there are more than BROADCAST_SPLITS.
     """
     marked = rows.withColumn("at", F.monotonically_increasing_id())
     splits = marked.groupBy("path", "start").agg(F.count("*").alias("n"), F.min("at").alias("first"))  # a row a split
     earlier = Window.orderBy("path", "start").rowsBetween(Window.unboundedPreceding, -1)
     base = splits.select("path", "start", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
-    return marked.join(base, ["path", "start"]).withColumn("id", F.col("at") + F.col("shift")).drop("at", "shift", "path", "start")
+    base = checkpointed(rows.sparkSession, base)
+    return marked.join(F.broadcast(base) if base.count() <= BROADCAST_SPLITS else base, ["path", "start"]).withColumn("id", F.col("at") + F.col("shift")).drop("at", "shift", "path", "start")
 
 
 def text_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -74,33 +76,3 @@ def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     """(qid, ids): ids apart by spaces, nearest first; a blank line is a query without match."""
     words = F.filter(F.split("value", r"\s+"), lambda x: x != "")
     return read_lines(spark, path).select(F.col("id").alias("qid"), words.cast("array<bigint>").alias("ids"))
-
-
-def read_fvecs(spark: SparkSession, path: str) -> DataFrame:
-    """(id, v) of binary records [int32 dimension][dimension x float32]; ids count through the files in order of path.
-
-    A file is read by one task, and Spark reads binary files up to 2 GB: larger sets come in several files.
-    """
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                if not content:
-                    raise ValueError("empty fvecs file")
-                dim = int(np.frombuffer(content, "<i4", 1)[0])
-                if dim <= 0 or len(content) % (4 + 4 * dim):
-                    raise ValueError("fvecs size doesn't fit its dimension")
-                rows = np.frombuffer(content, "<i4").reshape(-1, dim + 1)
-                if (rows[:, 0] != dim).any():
-                    raise ValueError("fvecs records of several dimensions")
-                values = np.ascontiguousarray(rows[:, 1:]).view("<f4")
-                for start in range(0, len(values), 4096):
-                    part = values[start : start + 4096]
-                    yield pd.DataFrame({"path": path, "own": np.arange(start, start + len(part)), "v": list(part)})
-
-    files = spark.read.format("binaryFile").load(path)
-    rows = files.select("path", "content").mapInPandas(parse, "path string, own long, v array<float>")
-    sizes = rows.groupBy("path").agg(F.count("*").alias("n"))  # a row a file
-    earlier = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    first = sizes.select("path", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
-    return rows.join(first, "path").select((F.col("own") + F.col("first")).alias("id"), "v")
