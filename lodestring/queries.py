@@ -297,9 +297,20 @@ def full_index_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return StateIndex.build(checkpointed(spark, part_strings(spark, sf_dir)), "full").size_report()
 
 
-@query()
+# every state decides again each turn, from what its successors offered the turn before; after as many turns as the longest has letters nothing changes
+CHOICE = (
+    "sizes AS (SELECT state, count(*) AS n FROM state_rows GROUP BY state)",
+    "large AS MATERIALIZED (SELECT state, n FROM sizes WHERE n >= 20)",
+    "ways AS MATERIALIZED (SELECT DISTINCT e.state, target FROM edges e JOIN large a ON a.state = e.state JOIN large b ON b.state = target)",
+    "turns AS (SELECT 0 AS turn, state, n, CAST(NULL AS VARCHAR) AS base, CAST(NULL AS VARCHAR) AS offer, CAST(NULL AS BIGINT) AS offer_n FROM large UNION ALL "
+    "SELECT turn + 1, state, n, CASE WHEN n <= 2 * best_n THEN best END, CASE WHEN n <= 2 * best_n THEN best ELSE state END, CASE WHEN n <= 2 * best_n THEN best_n ELSE n END FROM "
+    "(SELECT i.turn, i.state, i.n, b.best, b.best_n FROM turns i LEFT JOIN (SELECT w.state, arg_min(offer, (-offer_n, offer)) AS best, max(offer_n) AS best_n FROM ways w JOIN turns t ON t.state = target WHERE offer IS NOT NULL GROUP BY w.state) b ON b.state = i.state) WHERE turn <= (SELECT max(length(state)) FROM large))",
+)
+
+
+@query(with_sql(PART_STRINGS, SUBS, MEMBERS, STATE_ROWS, EDGES, *CHOICE, select="SELECT state, base, n, n - coalesce(offer_n, 0) * (base IS NOT NULL)::INT AS n_local, base IS NULL OR n - offer_n >= 20 AS has_graph FROM turns WHERE turn = (SELECT max(turn) FROM turns) UNION ALL SELECT state, NULL, n, n, false FROM sizes WHERE n < 20").replace("WITH base", "WITH RECURSIVE base", 1))
 def smart_index_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How each state is stored; the choice runs by descending length, which SQL can't express plainly."""
+    """How each state is stored."""
     return StateIndex.build(checkpointed(spark, part_strings(spark, sf_dir)), threshold=20).layout
 
 
