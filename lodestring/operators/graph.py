@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import l2
-from ..plans.storage import checkpointed
-from .search import bounded, largest_k, top_k
+from ..plans.storage import checkpointed, rewritten
+from .search import BROADCAST_BYTES, bounded, largest_k, top_k
 
 EDGE = "a long, b long, dist double"
 CHAINS = 2
@@ -163,7 +163,7 @@ class NeighbourGraph:
         rows = checkpointed(spark, base.where("v IS NOT NULL").select("id", "v"))
         edges = checkpointed(spark, nearest_edges(in_runs(rows, degree, tables, seed), degree))
         for _ in range(rounds):
-            edges = checkpointed(spark, nearest_edges(edges.unionAll(improved(rows, edges, degree)), degree))
+            edges = rewritten(spark, nearest_edges(edges.unionAll(improved(rows, edges, degree)), degree), edges)
         entries = checkpointed(spark, rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample))
         links = both_ways(edges, degree)
         for c in range(CHAINS):
@@ -190,14 +190,14 @@ class NeighbourGraph:
         while True:
             ranked = seen.withColumn("place", F.row_number().over(by)).withColumn("turn", F.sum((~F.col("opened")).cast("int")).over(by))
             now = ~F.col("opened") & (F.col("place") <= ef) & (F.col("turn") <= width)
-            marked = checkpointed(spark, ranked.select("qid", "id", "dist", "opened", now.alias("now")))
+            marked = rewritten(spark, ranked.select("qid", "id", "dist", "opened", now.alias("now")), seen)
             front = marked.where("now").select("qid", F.col("id").alias("a"))
             if front.isEmpty():
                 return marked.drop("now")
             reached = front.join(self.edges, "a").select("qid", F.col("b").alias("id")).distinct()
             new = reached.join(marked.select("qid", "id"), ["qid", "id"], "left_anti")
             scored = new.join(self.rows, "id").join(asked, "qid").select("qid", "id", near, F.lit(False).alias("opened"))
-            seen = checkpointed(spark, marked.select("qid", "id", "dist", (F.col("opened") | F.col("now")).alias("opened")).unionAll(scored))
+            seen = rewritten(spark, marked.select("qid", "id", "dist", (F.col("opened") | F.col("now")).alias("opened")).unionAll(scored), marked)
 
     def nearest(self, queries: DataFrame, ef: int) -> DataFrame:
         """(qid, rank, id, dist): about the ef nearest rows of each query."""
@@ -207,7 +207,10 @@ class NeighbourGraph:
 def graph_topk(graph: NeighbourGraph, base: DataFrame, queries: DataFrame, ef: int = 64) -> DataFrame:
     """Rank by the graph, filter after: of each query's max(ef, k) nearest rows that the search finds, those with the pattern."""
     most = largest_k(queries)
-    near = graph.nearest(queries.where("k > 0"), max(ef, most, 1))
+    depth = max(ef, most, 1)
+    near = checkpointed(base.sparkSession, graph.nearest(queries.where("k > 0"), depth))
     asked = queries.select("qid", "p", "k")
-    hits = near.join(asked, "qid").where(F.col("rank") <= F.greatest(F.lit(ef), F.col("k"))).join(base.select("id", "s"), "id").where(F.contains("s", "p"))
+    ranked = near.join(asked, "qid").where(F.col("rank") <= F.greatest(F.lit(ef), F.col("k")))
+    ranked = F.broadcast(ranked) if near.count() <= BROADCAST_BYTES // 64 else ranked  # then strings stay where they are
+    hits = base.select("id", "s").join(ranked, "id").where(F.contains("s", "p"))
     return top_k(hits.select("qid", "k", "id", "dist"), F.col("k"), most)

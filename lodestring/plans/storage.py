@@ -16,6 +16,15 @@ def checkpointed(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def rewritten(spark: SparkSession, df: DataFrame, *old: DataFrame) -> DataFrame:
+    """checkpointed(df), and the tables that it was made from, which nothing else reads, are removed."""
+    new = checkpointed(spark, df)
+    for table in old:
+        for path in {x.rsplit("/", 1)[0] for x in table.inputFiles()}:
+            remove(spark, path)
+    return new
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Where that is unset a local session gets one of this machine; a cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
