@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import l2
+from ..functions import grams, l2
 from ..operators.postings import gram_frequencies, gram_rows, pattern_keys, rarest
 from ..operators.search import bounded, exact_topk_batch, largest_k, postfilter_topk, top_k
 from ..sources.files import check_dimension
@@ -21,8 +21,8 @@ class GramIndex:
     n_max letters as key, and are verified on the string.
     """
 
-    def __init__(self, base: DataFrame, postings: DataFrame, n_max: int, dim: int):
-        self.base, self.postings, self.n_max, self.dim = base, postings, n_max, dim
+    def __init__(self, base: DataFrame, postings: DataFrame, n_max: int, dim: int, stored: bool = False):
+        self.base, self.postings, self.n_max, self.dim, self.stored = base, postings, n_max, dim, stored
 
     @staticmethod
     def build(base: DataFrame, n_max: int = 4) -> GramIndex:
@@ -36,7 +36,7 @@ class GramIndex:
             rows = rows.where(F.size("v") == self.dim)
         else:
             check_dimension(rows, expected=self.dim)
-        return GramIndex(self.base.unionByName(rows), self.postings.unionByName(gram_rows(rows, self.n_max)), self.n_max, self.dim)
+        return GramIndex(self.base.unionByName(rows), self.postings.unionByName(gram_rows(rows, self.n_max)), self.n_max, self.dim, self.stored)
 
     def save(self, path: str) -> None:
         """base, postings and meta; postings are dealt and sorted by substring, so a lookup prunes row groups."""
@@ -60,7 +60,7 @@ class GramIndex:
     @staticmethod
     def load(spark: SparkSession, path: str) -> GramIndex:
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-        return GramIndex(spark.read.parquet(f"{path}/base"), spark.read.parquet(f"{path}/postings"), meta["n_max"], meta["dim"])
+        return GramIndex(spark.read.parquet(f"{path}/base"), spark.read.parquet(f"{path}/postings"), meta["n_max"], meta["dim"], stored=True)
 
     def compact(self, path: str) -> GramIndex:
         """A copy of a saved index at another path, its appended files merged and sorted, posting rows once."""
@@ -91,10 +91,22 @@ class GramIndex:
         """
         keys = pattern_keys(queries, self.n_max)
         needed = keys.select("g").distinct()
-        needed = F.broadcast(needed) if bounded(queries) else needed
-        hits = checkpointed(self.base.sparkSession, self.postings.join(needed, "g").select("g", "id").distinct())
+        small = bounded(queries)
+        if small and not self.stored:
+            found = self.rows_with(needed)
+        else:
+            found = self.postings.join(F.broadcast(needed) if small else needed, "g").select("g", "id").distinct()
+        hits = checkpointed(self.base.sparkSession, found)
         return hits, rarest(keys, gram_frequencies(hits))
 
+    def rows_with(self, needed: DataFrame) -> DataFrame:
+        """The posting rows of a bounded number of substrings, from the strings: of a row's substrings the others go before there are rows of them."""
+        listed = needed.agg(F.collect_set("g").alias("needed"))  # one row
+        lengths = [r[0] for r in needed.select(F.length("g")).distinct().collect()] or [1]  # at most n_max
+        own = F.flatten(F.array(*[grams(F.col("s"), n) for n in sorted(lengths)]))
+        kept = F.array_intersect(own, F.col("needed"))  # each once
+        return self.base.join(F.broadcast(listed)).select(F.explode(kept).alias("g"), "id")
+
     def verified(self, hits: DataFrame, keys: DataFrame, queries: DataFrame) -> DataFrame:
         """(qid, k, id, dist) of the rows under each query's key that contain its pattern."""
         found = hits.join(keys.select("qid", "g"), "g").select("qid", "id").join(self.base, "id").join(queries, "qid")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestring.operators import approximate, evaluate, search, states
+from lodestring.operators import approximate, evaluate, postings, search, states
 from lodestring.operators.dictionary import SubstringDictionary
 from lodestring.operators.states import StateIndex
 from lodestring.plans.index import GramIndex
@@ -109,3 +109,21 @@ def test_recall_of_approximate_searches(spark, sf_dir):
     print("recall", some, probed, whole)
     assert some >= 0.9 and probed >= 0.8 and whole == 1.0
     base.unpersist()
+
+
+def test_counted_grams(spark):
+    base = spark.createDataFrame([(0, "banana"), (1, "anb"), (2, "é漢é漢"), (3, ""), (4, None), (5, "banana")], "id long, s string").repartition(3)
+    for n in (1, 2, 3):
+        want = postings.gram_frequencies(postings.gram_rows(base.where("s <> ''"), n))
+        assert sorted(map(tuple, postings.counted_grams(base, n).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_searches_of_unsaved_and_saved_indexes_agree(spark, tmp_path):
+    base = spark.createDataFrame([(i, s, [float(i)]) for i, s in enumerate(["banana", "ananas", "nab", "xyz", "aé漢"])], "id long, s string, v array<double>")
+    asked = spark.createDataFrame([(q, p, [0.0], 3) for q, p in enumerate(["a", "an", "ana", "anan", "é漢", "zz", "xyzx"])], "qid long, p string, qv array<double>, k int")
+    index = GramIndex.build(base, 3)
+    index.save(str(tmp_path / "g"))
+    stored = GramIndex.load(spark, str(tmp_path / "g"))
+    for strategy in ("prefilter", "auto"):
+        got = [sorted(map(tuple, i.search(asked, strategy).collect())) for i in (index, stored, index.append(base.limit(0)))]
+        assert got[0] == got[1] == got[2] == sorted(map(tuple, search.exact_topk_batch(base, asked).collect()))
