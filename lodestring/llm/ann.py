@@ -18,7 +18,8 @@ ids first. Settings(visits=entries, rerank=block_rows) is the exact way.
 Cases: vectors that are null, zero, of another dimension than the sample's commonest, or hold
 null or non-finite components take no part; a null id takes no part; repeated rows are
 candidates each on their own, but rows with the query's own id are not; a query id in several
-rows is asked with its least vector; an empty table, or one
+rows is asked with the least of its vectors that take part; products are of the table's own floats
+or doubles; ties of a product go to the smaller id; an empty table, or one
 without queries, gives no rows.
 """
 
@@ -53,11 +54,18 @@ class Settings:
 def usable(vectors: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, matrix) of the vectors that take part."""
     at = [i for i, v in enumerate(vectors) if v is not None and len(v) == dim and None not in v]
-    x = np.array([vectors[i] for i in at], np.float32).reshape(len(at), dim)
+    x = np.array([vectors[i] for i in at], np.float64).reshape(len(at), dim)
     good = np.isfinite(x).all(1) & (x != 0).any(1)
     return np.array(at, np.int64)[good], x[good]
 
 
+def takes_part(vector: str, dim: int):
+    """usable(), as a condition."""
+    x = F.col(vector)
+    bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))))
+    return (F.size(x) == dim) & ~bad & F.exists(x, lambda v: v != 0)
+
+
 def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     norm = np.linalg.norm(x.astype(np.float64), axis=1)
     return (x / norm[:, None]).astype(np.float32), norm
@@ -159,7 +167,7 @@ def visits_needed(x: np.ndarray, books: np.ndarray, k: int, s: Settings, queries
     return int(np.sort(visited)[min(len(visited) - 1, int(np.ceil(s.share * len(visited))))]) + 1
 
 
-def coded_rows(df: DataFrame, dim: int, books, beam: int) -> DataFrame:
+def coded_rows(df: DataFrame, dim: int, books, beam: int, kind: str) -> DataFrame:
     """(vec_id, cell, x, code, norm) of the rows that take part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,12 +176,12 @@ def coded_rows(df: DataFrame, dim: int, books, beam: int) -> DataFrame:
             u, norm = unit(x) if len(x) else (x, np.zeros(0))
             code = encode(u, books.value, beam)
             cell = code[:, 0].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(cell), pa.array([r.tobytes() for r in x.astype("<f4")], pa.binary()), pa.array([r.tobytes() for r in code], pa.binary()), pa.array(norm)], names=["vec_id", "cell", "x", "code", "norm"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(cell), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary()), pa.array([r.tobytes() for r in code], pa.binary()), pa.array(norm)], names=["vec_id", "cell", "x", "code", "norm"])
 
     return df.mapInArrow(run, "vec_id long, cell int, x binary, code binary, norm double")
 
 
-def visiting_rows(df: DataFrame, dim: int, books, visits: int) -> DataFrame:
+def visiting_rows(df: DataFrame, dim: int, books, visits: int, kind: str) -> DataFrame:
     """(vec_id, cell, x) of the queries that take part, a row for each cell that they visit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,13 +191,13 @@ def visiting_rows(df: DataFrame, dim: int, books, visits: int) -> DataFrame:
                 at, x = usable(part.column(1).to_pylist(), dim)
                 cell = cells_of(x, books.value[0], visits).astype(np.int32) if len(x) else np.zeros((0, visits), np.int32)
                 rows = np.repeat(np.arange(len(at)), cell.shape[1])
-                packed = pa.array([r.tobytes() for r in x.astype("<f4")], pa.binary())
+                packed = pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at[rows])), pa.array(cell.ravel()), packed.take(pa.array(rows))], names=["vec_id", "cell", "x"])
 
     return df.mapInArrow(run, "vec_id long, cell int, x binary")
 
 
-def packed_by_cell(df: DataFrame, rows: int, dim: int, most: int | None = None) -> DataFrame:
+def packed_by_cell(df: DataFrame, rows: int, dim: int, kind: str, most: int | None = None) -> DataFrame:
     """Blocks of at most so many rows of one cell and part, which stand together in df; most: of copies of one vector."""
     names = [c for c in df.columns if c not in ("cell", "part")]
 
@@ -201,7 +209,7 @@ def packed_by_cell(df: DataFrame, rows: int, dim: int, most: int | None = None)
             held.clear()
             ids = table.column("vec_id").to_numpy()
             columns = {n: b"".join(table.column(n).to_pylist()) for n in names if n in ("x", "code")}
-            x = np.frombuffer(columns["x"], "<f4").reshape(len(ids), dim)
+            x = np.frombuffer(columns["x"], kind).reshape(len(ids), dim)
             at = np.argsort(ids, kind="stable") if most is None else few_copies(x, ids, most)
             out = {"ids": ids[at].astype("<i8").tobytes(), "x": x[at].tobytes()}
             if "code" in names:
@@ -237,6 +245,7 @@ def search(df: DataFrame, k: int = 20, every: int = 20, s: Settings = Settings()
     sample = [r.v for r in vectors.select("vec_id", "v").orderBy(order, "vec_id").limit(s.sample).select("v").collect()]  # bounded
     sizes = Counter(len(v) for v in sample if v)
     dim = max(sizes, key=lambda d: (sizes[d], d), default=0)
+    kind = "<f8" if "double" in vectors.schema["v"].dataType.simpleString() else "<f4"  # as precise as the table
     _, x = usable(sample, dim) if dim else (None, np.zeros((0, 1), np.float32))
     spark = df.sparkSession
     if not len(x):
@@ -244,14 +253,14 @@ def search(df: DataFrame, k: int = 20, every: int = 20, s: Settings = Settings()
     trained = train(unit(x)[0], s)
     visits = min(s.visits or visits_needed(x, trained, k, s), s.entries)
     books = spark.sparkContext.broadcast(trained)  # codebooks x entries x dimension numbers
-    coded = stage(coded_rows(vectors, dim, books, s.beam), "ann-coded")
+    coded = stage(coded_rows(vectors, dim, books, s.beam, kind), "ann-coded")
     parts = coded.groupBy("cell").agg(F.ceil(F.count("*") / s.block_rows).alias("parts"))  # a row a cell
     dealt = coded.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("vec_id", "x", F.spark_partition_id()), F.col("parts"))).drop("parts")
-    blocks = stage(packed_by_cell(dealt, s.block_rows, dim, k + 1), "ann-index")
-    asked = vectors.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    visiting = stage(visiting_rows(asked, dim, books, visits), "ann-visits")
+    blocks = stage(packed_by_cell(dealt, s.block_rows, dim, kind, k + 1), "ann-index")
+    asked = vectors.where((F.col("vec_id") % every == 0) & takes_part("v", dim)).groupBy("vec_id").agg(F.min("v").alias("v"))
+    visiting = stage(visiting_rows(asked, dim, books, visits, kind), "ann-visits")
     spread = max(1, visiting.count() // (s.block_queries * s.entries))
-    packs = packed_by_cell(visiting.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(spread))), s.block_queries, dim)
+    packs = packed_by_cell(visiting.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(spread))), s.block_queries, dim, kind)
     copied = packs.drop("part").withColumnsRenamed({"ids": "q_ids", "x": "qx"}).join(F.broadcast(parts), "cell").select("cell", "q_ids", "qx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +268,7 @@ def search(df: DataFrame, k: int = 20, every: int = 20, s: Settings = Settings()
             for r in range(batch.num_rows):
                 get = lambda name, kind: np.frombuffer(batch.column(name)[r].as_py(), kind)  # noqa: B023, E731
                 ids, q_ids = get("ids", "<i8"), get("q_ids", "<i8")
-                found = list(best_of_block(get("qx", "<f4").reshape(-1, dim), q_ids, ids, get("x", "<f4").reshape(-1, dim), get("code", "u1").reshape(len(ids), -1), get("norm", "<f8"), books.value, k, max(s.rerank, k + 1)))
+                found = list(best_of_block(get("qx", kind).reshape(-1, dim), q_ids, ids, get("x", kind).reshape(-1, dim), get("code", "u1").reshape(len(ids), -1), get("norm", "<f8"), books.value, k, max(s.rerank, k + 1)))
                 cols = list(zip(*found, strict=True)) if found else [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 

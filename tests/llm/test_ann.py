@@ -64,3 +64,10 @@ def test_recall_on_the_tables_and_the_exact_way(spark):
         share = sum(len(set(got[q]) & set(w)) for q, w in want.items()) / sum(map(len, want.values()))
         print("recall", share)
         assert share >= least and all(len(got[q]) == len(w) for q, w in want.items())
+
+
+def test_least_usable_query_and_double_precision(spark):
+    rows = spark.createDataFrame([(0, [0.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    assert [(r.query_id, r.vec_id, r.score) for r in ann.search(rows).orderBy("rank").collect()] == [(0, 1, 1.0), (0, 2, 0.0)]
+    exact = spark.createDataFrame([(0, [0.1, 0.7]), (1, [0.2, 2.0]), (2, [1e39, 0.0])], "vec_id long, embedding array<double>")
+    assert {(r.vec_id, r.score) for r in ann.search(exact).collect()} == {(1, 0.1 * 0.2 + 0.7 * 2.0), (2, 0.1 * 1e39)}
