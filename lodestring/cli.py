@@ -37,16 +37,21 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--write-ground-truth")
     p.add_argument("--set-min-build-threshold", type=int, default=200)
     p.add_argument("--insert-percentage", type=int, default=0)
+    p.add_argument("--growth-folder", help="builds the index over 10 to 100 percent of the rows there, and writes growth.csv with sizes and times")
     return p
 
 
+def index_kind(args: argparse.Namespace) -> type:
+    return {"dictionary": SubstringDictionary, "full": StateIndex, "delta": StateIndex}.get(args.mode, GramIndex)
+
+
+def build_index(args: argparse.Namespace, base: DataFrame):
+    kind = index_kind(args)
+    return kind.build(base, args.mode, args.set_min_build_threshold) if kind is StateIndex else kind.build(base)
+
+
 def open_index(spark: SparkSession, args: argparse.Namespace, base: DataFrame):
-    kind = {"dictionary": SubstringDictionary, "full": StateIndex, "delta": StateIndex}.get(args.mode, GramIndex)
-    if args.load_index:
-        return kind.load(spark, args.load_index)
-    if kind is StateIndex:
-        return StateIndex.build(base, args.mode, args.set_min_build_threshold)
-    return kind.build(base)
+    return index_kind(args).load(spark, args.load_index) if args.load_index else build_index(args, base)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> list[dict]:
@@ -76,6 +81,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
         log.info("%s ef=%d: recall %s, %.0f us a query (exact %.0f)", args.mode, ef, recall, us, exact_us)
     if args.statistics_file:
         write_statistics(spark.createDataFrame(points, "ef_search int, time_us double, recall double, exact double"), args.statistics_file)
+    if args.growth_folder:
+        report = evaluate.growth(corpus, {args.mode: lambda rows: build_index(args, rows)}, args.growth_folder)
+        report.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{args.growth_folder}/growth.csv")
     index.size_report().show()
     return points
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..plans.storage import checkpointed, stored_bytes
+
 
 def recall(results: DataFrame, truth: DataFrame) -> DataFrame:
     """(recall): over queries with any true row, the mean share of it that was found; null without such queries."""
@@ -52,3 +54,23 @@ def clip_curve(points: list[tuple[float, float]], least: float) -> list[tuple[fl
     kept = [p for p in points if p[0] >= least]
     half = len(points) // 2
     return kept if len(kept) >= half or not kept else sorted(points)[-half:]
+
+
+def growth(base: DataFrame, kinds: dict[str, Callable[[DataFrame], object]], folder: str, percents: tuple[int, ...] = (10, 25, 50, 75, 100)) -> DataFrame:
+    """(index, percent, rows, string_chars, build_us, bytes): size and build time of indexes over growing shares of the rows.
+
+    kinds gives a builder a name; what it builds must have save(path). Rows and letters are
+    observed while the share is written, so no pass is made for them. A share holds the rows
+    whose id's hash is below it, so each holds those of the smaller ones.
+    """
+    spark, out = base.sparkSession, []
+    for percent in percents:
+        seen = Observation()
+        share = base.where(F.pmod(F.xxhash64("id"), F.lit(100)) < percent).observe(seen, F.count("*").alias("rows"), F.coalesce(F.sum(F.length("s")), F.lit(0)).alias("chars"))
+        rows = checkpointed(spark, share)
+        for name, build in kinds.items():
+            path = f"{folder}/{name}-{percent}"
+            begun = time.perf_counter()
+            build(rows).save(path)
+            out.append((name, percent, seen.get["rows"], seen.get["chars"], (time.perf_counter() - begun) * 1e6, stored_bytes(spark, path)))
+    return spark.createDataFrame(out, "index string, percent int, rows long, string_chars long, build_us double, bytes long")

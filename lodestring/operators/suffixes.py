@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import l2
-from ..plans.storage import checkpointed
+from ..plans.storage import checkpointed, rewritten
 from .search import bounded, exact_topk_batch, largest_k, top_k
 
 START = 16  # letters that the first sort compares
@@ -59,12 +59,13 @@ def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.cumprod((x == y) & (x > 0), axis=1).sum(1)
 
 
-def run_starts(rows: DataFrame, outer: list[str], inner: list[str]) -> DataFrame:
+def run_starts(rows: DataFrame, outer: list[str], inner: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows in the order of outer and inner, with the global position of the first row equal in outer, and in both.
 
     Also: place, the row's own position; alone, whether no other row equals it in both;
     shared, the letters that a run of `head` shares with the run before; before_sid and
-    before_end, the row before, whatever its run.
+    before_end, the row before, whatever its run. The second result is the table that they
+    are read from, which can go when they are written.
     """
     spark, keys = rows.sparkSession, [*outer, *inner]
     dealt = rows.repartitionByRange(*keys, "sid", "end").sortWithinPartitions(*keys, "sid", "end").withColumn("part", F.spark_partition_id())
@@ -131,9 +132,9 @@ def run_starts(rows: DataFrame, outer: list[str], inner: list[str]) -> DataFrame
     ends = staged.groupBy("part").agg(F.count("*").alias("n"), *[f(F.struct(*[F.col(k) for k in keys], "sid", "end"), "at").alias(a) for f, a in ((F.min_by, "lo"), (F.max_by, "hi"))], F.max("outer_at").alias("outer_last"), F.max("inner_at").alias("inner_last"), F.max_by("shared", "at").alias("shared_last"))
     edges = joined_edges(ends.orderBy("part").collect(), outer, inner)  # a row a task
     about = spark.createDataFrame(edges, "part int, offset long, outer_from long, inner_from long, met boolean, meets boolean, inner_last long, shared_from long, sid_from long, end_from long")
-    rows = staged.join(F.broadcast(about), "part")
+    rows = staged.join(F.broadcast(about), "part")  # a row a task
     first, opens = F.col("at") == 0, F.col("inner_at") == 0
-    return rows.select(
+    found = rows.select(
         *[n for n in names if n != "part"],
         (F.col("offset") + F.col("at")).alias("place"),
         F.when(F.col("outer_at") == 0, F.col("outer_from")).otherwise(F.col("offset") + F.col("outer_at")).alias("outer_start"),
@@ -143,6 +144,7 @@ def run_starts(rows: DataFrame, outer: list[str], inner: list[str]) -> DataFrame
         F.when(first, F.col("sid_from")).otherwise(F.col("before_sid")).alias("before_sid"),
         F.when(first, F.col("end_from")).otherwise(F.col("before_end")).alias("before_end"),
     )
+    return found, staged
 
 
 def joined_edges(ends: list, outer: list[str], inner: list[str]) -> list[tuple]:
@@ -176,18 +178,18 @@ def suffix_ranks(strings: DataFrame) -> DataFrame:
     less that number if they differ in their first START letters, else h, and it is h to 2h - 1.
     """
     spark = strings.sparkSession
-    sorted_heads = run_starts(places(strings), [], ["head"])
+    sorted_heads, staged = run_starts(places(strings), [], ["head"])
     rows = sorted_heads.select("sid", "end", "bucket", "copies", F.col("inner_start").alias("r"), (-1 - F.col("shared")).cast("int").alias("parted"), (F.col("alone") | (F.length("head") < START)).alias("done"))
-    rows = checkpointed(spark, rows)
+    rows = rewritten(spark, rows, staged)
     done, active, h = rows.where("done"), rows.where("NOT done"), START
     while not active.isEmpty():
         every = done.unionAll(active).join(active.select("sid").distinct(), "sid", "left_semi")
         before = F.lag("r", h).over(Window.partitionBy("sid").orderBy("end"))
         left = every.withColumn("r2", F.coalesce(before, F.lit(-1))).where("NOT done").drop("done")
-        found = run_starts(left, ["r"], ["r2"])
+        found, staged = run_starts(left, ["r"], ["r2"])
         r = F.col("r") + F.col("inner_start") - F.col("outer_start")
         ranked = found.select("sid", "end", "bucket", "copies", r.alias("r"), F.when(r != F.col("r"), F.lit(h)).otherwise(F.col("parted")).alias("parted"), (F.col("alone") | (F.col("r2") < 0)).alias("done"))
-        ranked = checkpointed(spark, ranked)
+        ranked = rewritten(spark, ranked, staged)
         done, active, h = done.unionAll(ranked.where("done")), ranked.where("NOT done"), 2 * h
     return done.drop("done")
 
@@ -195,13 +197,13 @@ def suffix_ranks(strings: DataFrame) -> DataFrame:
 def suffix_array(strings: DataFrame) -> DataFrame:
     """(i, sid, end, bucket, copies, lcp): the array, with the letters that row i shares with row i - 1."""
     spark = strings.sparkSession
-    ordered = run_starts(suffix_ranks(strings), ["r"], ["sid"]).withColumn("r_start", F.col("outer_start"))
-    tied = F.col("place") > F.col("r_start")
+    ordered, staged = run_starts(suffix_ranks(strings), ["r"], ["sid"])
+    tied = F.col("place") > F.col("outer_start")
     near = F.when(tied, F.col("end")).when(F.col("parted") < 0, -1 - F.col("parted"))
     line = Window.partitionBy("sid").orderBy("end")
     # a run goes from a place to the one before it in the string, its predecessor likewise
     far = near.isNull()
-    rows = checkpointed(spark, ordered.select(F.col("place").alias("i"), "sid", "end", "bucket", "copies", "parted", "before_sid", "before_end", near.cast("int").alias("near"), far.alias("far")))
+    rows = rewritten(spark, ordered.select(F.col("place").alias("i"), "sid", "end", "bucket", "copies", "parted", "before_sid", "before_end", near.cast("int").alias("near"), far.alias("far")), staged)
     after = [F.lead(c).over(line) for c in ("before_sid", "before_end", "far")]
     follows = F.coalesce(after[2] & (after[0] == F.col("before_sid")) & (after[1] == F.col("before_end") + 1), F.lit(False))
     marked = rows.withColumn("opens", F.col("far") & ~follows)

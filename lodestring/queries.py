@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import clean_email_body, escape_like, escape_wildcard, keep_letters, sanitize_name
-from .operators import approximate, evaluate, generate, postings, search, states, suffixes
+from .operators import approximate, evaluate, generate, patterns, postings, search, states, suffixes
 from .operators.cells import CellIndex, postfilter_by_bounds
 from .operators.dictionary import SubstringDictionary
 from .operators.graph import NeighbourGraph, graph_topk as search_graph
@@ -131,6 +131,12 @@ def exact_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.exact_topk_batch(*prepared(spark, sf_dir))
 
 
+@query(BATCH_SQL)
+def pattern_set_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All patterns in one pass over the strings."""
+    return patterns.topk_by_patterns(*prepared(spark, sf_dir))
+
+
 @query(with_sql(BASE, asked_sql(k="id % 7"), topk_sql()))
 def variable_k_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, asked = prepared(spark, sf_dir)
