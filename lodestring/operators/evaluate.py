@@ -57,7 +57,7 @@ def clip_curve(points: list[tuple[float, float]], least: float) -> list[tuple[fl
 
 
 def growth(base: DataFrame, kinds: dict[str, Callable[[DataFrame], object]], folder: str, percents: tuple[int, ...] = (10, 25, 50, 75, 100)) -> DataFrame:
-    """(index, percent, rows, string_chars, build_us, bytes): size and build time of indexes over growing shares of the rows.
+    """(kind, percent, rows, string_chars, build_us, bytes): size and build time of indexes over growing shares of the rows.
 
     kinds gives a builder a name; what it builds must have save(path). Rows and letters are
     observed while the share is written, so no pass is made for them. A share holds the rows
@@ -73,4 +73,4 @@ def growth(base: DataFrame, kinds: dict[str, Callable[[DataFrame], object]], fol
             begun = time.perf_counter()
             build(rows).save(path)
             out.append((name, percent, seen.get["rows"], seen.get["chars"], (time.perf_counter() - begun) * 1e6, stored_bytes(spark, path)))
-    return spark.createDataFrame(out, "index string, percent int, rows long, string_chars long, build_us double, bytes long")
+    return spark.createDataFrame(out, "kind string, percent int, rows long, string_chars long, build_us double, bytes long")

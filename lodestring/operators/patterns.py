@@ -53,18 +53,47 @@ def best_of(q: np.ndarray, dist: np.ndarray, ids: np.ndarray, k: np.ndarray) ->
     return order[np.arange(len(own)) - np.searchsorted(own, own) < k[own]]
 
 
-def matching_hits(base: DataFrame, asked: Asked) -> DataFrame:
-    """(qid, k, id, dist): for each query and task, the k nearest rows that contain the pattern."""
-    shipped = base.sparkSession.sparkContext.broadcast(asked)
+def matching_counts(rows: DataFrame, asked: Asked) -> DataFrame:
+    """(qid, cell, matching): how many rows (s, cell) of each cell contain each query's pattern."""
+    shipped = rows.sparkSession.sparkContext.broadcast(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = shipped.value
         patterns = PatternSet(asked.patterns)
+        total: np.ndarray = np.zeros((len(asked), 0), np.int64)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                b = whole.slice(start, 512)
+                own, row = patterns.matching(b.column("s").to_pylist())
+                cell = b.column("cell").to_numpy()[row]
+                if len(cell) and cell.max() >= total.shape[1]:
+                    total = np.pad(total, ((0, 0), (0, int(cell.max()) + 1 - total.shape[1])))
+                np.add.at(total, (own, cell), 1)
+        q, cell = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(asked.qids[q]), pa.array(cell.astype(np.int32)), pa.array(total[q, cell])], names=["qid", "cell", "matching"])
+
+    return rows.select("s", "cell").mapInArrow(run, "qid long, cell int, matching long").groupBy("qid", "cell").agg(F.sum("matching").alias("matching"))
+
+
+def matching_hits(base: DataFrame, asked: Asked, opened: np.ndarray | None = None) -> DataFrame:
+    """(qid, k, id, dist): for each query and task, the k nearest rows that contain the pattern.
+
+    opened, with a line a query, tells which cells count for it; base has the cell of each row then.
+    """
+    shipped = base.sparkSession.sparkContext.broadcast((asked, opened))
+    names = ["id", "s", "v", *(["cell"] if opened is not None else [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, opened = shipped.value
+        patterns = PatternSet(asked.patterns)
         q, dist, ids = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 rows = whole.slice(start, 512)
                 own, row = patterns.matching(rows.column("s").to_pylist())
+                if opened is not None:
+                    kept = opened[own, rows.column("cell").to_numpy()[row]]
+                    own, row = own[kept], row[kept]
                 x = np.array(rows.column("v").to_pylist(), np.float64).reshape(rows.num_rows, -1)
                 if len(own) and x.shape[1] != asked.vectors.shape[1]:
                     raise ValueError(f"vectors of {x.shape[1]} and {asked.vectors.shape[1]} dimensions")
@@ -79,7 +108,7 @@ def matching_hits(base: DataFrame, asked: Asked) -> DataFrame:
         if len(q):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (asked.qids[q], asked.k[q], ids, dist)], names=["qid", "k", "id", "dist"])
 
-    return base.where("v IS NOT NULL").select("id", "s", "v").mapInArrow(run, "qid long, k long, id long, dist double")
+    return base.where("v IS NOT NULL").select(*names).mapInArrow(run, "qid long, k long, id long, dist double")
 
 
 def topk_by_patterns(base: DataFrame, queries: DataFrame) -> DataFrame:
