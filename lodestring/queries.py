@@ -334,43 +334,14 @@ def full_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- states of long strings ---------------------------------------------------------------
 
-LEVELS = 14  # prefix ranks by 16 letters, 32, 64 and so on; the last tells strings of 262,144 letters apart
-
-
-def suffix_sql(*more: str, select: str) -> str:
-    """suffix: (i, sid, e, lcp, after) of all places of distinct strings in reversed order; p0, p1, ...: ranks by 16, 32, ... letters."""
-    rank = "p{1} AS MATERIALIZED (SELECT sid, e, rank() OVER (ORDER BY r, r2) AS r FROM (SELECT sid, e, r, coalesce(lag(r, {2}) OVER (PARTITION BY sid ORDER BY e), -1) AS r2 FROM p{0}))"
-    step = "t{0} AS MATERIALIZED (SELECT i, t.sid, t.e, psid, pe, n + CASE WHEN a.r = b.r THEN {2} ELSE 0 END AS n FROM t{1} t LEFT JOIN p{0} a ON a.sid = t.sid AND a.e = t.e - n LEFT JOIN p{0} b ON b.sid = psid AND b.e = pe - n)"
-    parts = [
-        "strs AS (SELECT min(id) AS sid, s FROM base GROUP BY s)",
-        "p0 AS MATERIALIZED (SELECT sid, e, head, rank() OVER (ORDER BY head) AS r FROM (SELECT sid, e, reverse(substring(s, greatest(e - 15, 1), least(e, 16))) AS head FROM (SELECT sid, s, unnest(range(1, length(s) + 1)) AS e FROM strs)))",
-        *[rank.format(k, k + 1, 16 << k) for k in range(LEVELS)],
-        f"ordered AS MATERIALIZED (SELECT row_number() OVER w AS i, sid, e, r, lag(r) OVER w AS pr, lag(sid) OVER w AS psid, lag(e) OVER w AS pe FROM p{LEVELS} WINDOW w AS (ORDER BY r, sid))",
-        f"t{LEVELS} AS (SELECT i, sid, e, psid, pe, 0 AS n FROM ordered WHERE pr < r)",
-        *[step.format(k, k + 1, 16 << k) for k in reversed(range(LEVELS))],
-        "split AS (SELECT i, n + coalesce(len(list_filter(range(1, 17), lambda j: j <= least(length(a.head), length(b.head)) AND left(a.head, j) = left(b.head, j))), 0) AS lcp FROM t0 LEFT JOIN p0 a ON a.sid = t0.sid AND a.e = t0.e - n LEFT JOIN p0 b ON b.sid = psid AND b.e = pe - n)",
-        "suffix AS MATERIALIZED (SELECT i, sid, e, lcp, coalesce(lead(lcp) OVER (ORDER BY i), 0) AS after FROM (SELECT i, sid, e, CASE WHEN pr = r THEN e ELSE coalesce(lcp, 0) END AS lcp FROM ordered LEFT JOIN split USING (i)))",
-    ]
-    return with_sql(STRINGS, *parts, *more, select=select)
-
-
-INNER = " UNION ALL ".join([
-    "SELECT DISTINCT lcp AS len, left(head, lcp) AS x, 0 AS y FROM suffix JOIN p0 USING (sid, e) WHERE lcp BETWEEN 1 AND 15",
-    *[f"SELECT DISTINCT lcp, CAST(a.r AS VARCHAR), b.r FROM suffix t JOIN p{k} a ON a.sid = t.sid AND a.e = t.e JOIN p{k} b ON b.sid = t.sid AND b.e = t.e - (lcp - {16 << k}) WHERE lcp >= {16 << k} AND lcp < {32 << k}" for k in range(LEVELS)],
-])
-LENGTHS = (
-    f"sizes AS (SELECT len, count(*) AS states FROM (SELECT len FROM ({INNER}) UNION ALL SELECT e FROM suffix WHERE e > greatest(lcp, after)) GROUP BY len)",
-    "steps AS (SELECT len, sum(sum(d)) OVER (ORDER BY len) AS substrings FROM (SELECT lcp + 1 AS len, 1 AS d FROM suffix UNION ALL SELECT e + 1, -1 FROM suffix) GROUP BY len)",
-)
-
-
 def document_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     strings, _ = suffixes.distinct_strings(checkpointed(spark, document_strings(spark, sf_dir)))
     return suffixes.suffix_array(checkpointed(spark, strings))
 
 
-@query(suffix_sql(*LENGTHS, select="SELECT CAST(sizes.len AS INT) AS len, states, CAST(substrings AS BIGINT) AS substrings FROM sizes ASOF JOIN steps ON sizes.len >= steps.len"))
+@query()
 def document_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States and distinct substrings of all documents by length; SQL takes minutes for the array at sf0.01."""
     array = document_array(spark, sf_dir)
     return suffixes.state_lengths(array, *suffixes.suffix_states(array)).select("len", "states", "substrings")
 
