@@ -71,3 +71,21 @@ def test_least_usable_query_and_double_precision(spark):
     assert [(r.query_id, r.vec_id, r.score) for r in ann.search(rows).orderBy("rank").collect()] == [(0, 1, 1.0), (0, 2, 0.0)]
     exact = spark.createDataFrame([(0, [0.1, 0.7]), (1, [0.2, 2.0]), (2, [1e39, 0.0])], "vec_id long, embedding array<double>")
     assert {(r.vec_id, r.score) for r in ann.search(exact).collect()} == {(1, 0.1 * 0.2 + 0.7 * 2.0), (2, 0.1 * 1e39)}
+
+
+def test_exact_on_rows_unlike_the_sample_s_average(spark):
+    r = np.random.default_rng(1)
+    apart = r.normal(size=(9000, 16)) * 0.1 + 1
+    apart[::20] = -r.normal(size=(450, 16))  # queries unlike the rows
+    tight = r.normal(size=(6, 16))[np.arange(3000) % 6] + 1e-3 * r.normal(size=(3000, 16))  # groups that codes don't tell apart
+    norms = r.normal(size=(3000, 16)) * np.exp(1.5 * r.normal(size=(3000, 1)))
+    for x in (apart, tight, norms, norms[:60] * 1e-30):
+        x = x.astype(np.float32)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+        got, x64 = {}, x.astype(np.float64)
+        for row in ann.search(df).orderBy("query_id", "rank").collect():
+            got.setdefault(row.query_id, []).append((row.vec_id, row.score))
+        for q in range(0, len(x), 20):
+            exact = (x64 * x64[q]).sum(1)
+            exact[q] = -np.inf
+            assert got[q] == [(i, exact[i]) for i in np.lexsort((np.arange(len(x)), -exact))[:20].tolist()]
