@@ -1,7 +1,7 @@
 """Many patterns in one pass: an automaton of all patterns reads every string once.
 
-The join of exact_topk_batch() looks for each pattern in each string, so its time grows with
-their product. Here the patterns of a portion of queries are one automaton, built once a task;
+A join that looks for each pattern in each string takes time that grows with their product.
+Here the patterns of a portion of queries are one automaton, built once a task;
 a string's letters are read once, whatever the number of patterns, and only rows and queries
 that match get a distance.
 """
