@@ -7,9 +7,10 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import grams, l2
+from ..functions import grams
+from ..operators.keyed import rows_of_keys, topk_by_keys
 from ..operators.postings import gram_frequencies, gram_rows, pattern_keys, rarest
-from ..operators.search import bounded, exact_topk_batch, largest_k, postfilter_topk, top_k
+from ..operators.search import bounded, exact_topk_batch, largest_k, postfilter_topk
 from ..sources.files import check_dimension
 from .storage import checkpointed, remove, stored_bytes
 
@@ -85,33 +86,40 @@ class GramIndex:
         return data.join(F.broadcast(keys))  # a row each
 
     def find(self, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(posting rows of all keys of the queries, (qid, g, df) with each query's rarest key).
+        """((id, v, keys) of the rows that hold keys of the queries, (qid, g, df) with each query's rarest key).
 
-        The posting rows are read once and written, so that counting and lookup share them.
+        keys are those that a row holds, each once; s stands beside them if a pattern is longer than a key. The
+        table is written once, so that counting and lookup share it; a row's keys stay together, as they meet the
+        queries there.
         """
         keys = pattern_keys(queries, self.n_max)
-        needed = keys.select("g").distinct()
-        small = bounded(queries)
-        if small and not self.stored:
-            found = self.rows_with(needed)
+        needed = checkpointed(self.base.sparkSession, keys.select("g").distinct())
+        longer = not queries.where(F.length("p") > self.n_max).isEmpty()
+        base = self.base if longer else self.base.select("id", "v")
+        if bounded(queries) and not self.stored:
+            found = self.rows_with(needed, ["id", "v", *(["s"] if longer else [])])
         else:
-            found = self.postings.join(F.broadcast(needed) if small else needed, "g").select("g", "id").distinct()
-        hits = checkpointed(self.base.sparkSession, found)
-        return hits, rarest(keys, gram_frequencies(hits))
+            found = rows_of_keys(self.postings.select("g", "id"), needed, base, bounded(queries))
+        rows = checkpointed(self.base.sparkSession, found)
+        return rows, rarest(keys, gram_frequencies(rows.select("id", F.explode("keys").alias("g"))))
 
-    def rows_with(self, needed: DataFrame) -> DataFrame:
-        """The posting rows of a bounded number of substrings, from the strings: of a row's substrings the others go before there are rows of them."""
+    def rows_with(self, needed: DataFrame, names: list[str]) -> DataFrame:
+        """The rows that hold some of a bounded number of substrings, from the strings: of a row's substrings the others go before there are rows of them."""
         listed = needed.agg(F.collect_set("g").alias("needed"))  # one row
-        lengths = [r[0] for r in needed.select(F.length("g")).distinct().collect()] or [1]  # at most n_max
+        lengths = [r[0] for r in needed.select(F.length("g")).distinct().collect()]  # at most n_max
+        if not lengths:
+            return self.base.select(*names, F.array().cast("array<string>").alias("keys")).limit(0)
         own = F.flatten(F.array(*[grams(F.col("s"), n) for n in sorted(lengths)]))
         kept = F.array_intersect(own, F.col("needed"))  # each once
-        return self.base.join(F.broadcast(listed)).select(F.explode(kept).alias("g"), "id")
+        return self.base.join(F.broadcast(listed)).select(*names, kept.alias("keys")).where(F.size("keys") > 0)
 
-    def verified(self, hits: DataFrame, keys: DataFrame, queries: DataFrame) -> DataFrame:
-        """(qid, k, id, dist) of the rows under each query's key that contain its pattern."""
-        found = hits.join(keys.select("qid", "g"), "g").select("qid", "id").join(self.base, "id").join(queries, "qid")
-        kept = found.where((F.length("p") <= self.n_max) | F.contains("s", "p"))
-        return kept.select("qid", "k", "id", l2(F.col("v"), F.col("qv")).alias("dist"))
+    def by_key(self, rows: DataFrame, keys: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+        """(qid, rank, id, dist) of the rows under each query's key that contain its pattern.
+
+        Queries are shipped to the rows and meet them under their keys there: pairs are no rows of a join, and
+        neither vectors nor strings are shuffled.
+        """
+        return topk_by_keys(rows, queries.join(keys.select("qid", "g"), "qid"), most, self.n_max)
 
     def search(self, queries: DataFrame, strategy: str = "auto", ef: int = 0, scan_share: float = 0.2) -> DataFrame:
         """(qid, rank, id, dist) by a strategy: auto, exact, prefilter or postfilter.
@@ -125,14 +133,15 @@ class GramIndex:
             return postfilter_topk(self.base, queries, ef)
         most = largest_k(queries)
         if strategy == "prefilter":
-            found = top_k(self.verified(*self.find(queries), queries), F.col("k"), most)
             empty = queries.where("p = ''")
+            if queries.where("p <> ''").isEmpty():
+                return exact_topk_batch(self.base, empty)
+            found = self.by_key(*self.find(queries), queries, most)
             return found if empty.isEmpty() else found.unionAll(exact_topk_batch(self.base, empty))
         if strategy != "auto":
             raise ValueError(f"no strategy {strategy}")
         n = self.base.count()
-        hits, keys = self.find(queries)
+        rows, keys = self.find(queries)
         rare, common = keys.where(F.col("df") <= scan_share * n), keys.where(F.col("df") > scan_share * n)
         wide = queries.join(common, "qid", "left_semi").unionAll(queries.where("p = ''"))
-        by_key = top_k(self.verified(hits, rare, queries), F.col("k"), most)
-        return by_key.unionAll(exact_topk_batch(self.base, wide))
+        return self.by_key(rows, rare, queries, most).unionAll(exact_topk_batch(self.base, wide))
