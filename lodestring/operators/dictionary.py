@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import all_substrings, l2
-from .search import exact_topk_batch, largest_k, top_k
+from ..functions import all_substrings
+from ..plans.storage import checkpointed
+from .keyed import rows_of_keys, topk_by_keys
+from .search import bounded, exact_topk_batch, largest_k
 
 
 def substrings(base: DataFrame, max_length: int = 512) -> DataFrame:
@@ -48,8 +50,9 @@ class SubstringDictionary:
 
     def search(self, queries: DataFrame) -> DataFrame:
         """(qid, rank, id, dist); the empty pattern stands for all rows."""
-        keyed = queries.where("p <> ''").join(self.entries.withColumnRenamed("g", "p"), "p")
-        hits = keyed.join(self.base.select("id", "v"), "id").select("qid", "k", "id", l2(F.col("v"), F.col("qv")).alias("dist"))
-        found = top_k(hits, F.col("k"), largest_k(queries))
+        keyed = queries.where("p <> ''").withColumn("g", F.col("p"))
+        needed = checkpointed(self.base.sparkSession, keyed.select("g").distinct())
+        rows = rows_of_keys(self.entries, needed, self.base.select("id", "v"), bounded(queries))
+        found = topk_by_keys(rows, keyed, largest_k(queries))
         empty = queries.where("p = ''")
         return found if empty.isEmpty() else found.unionAll(exact_topk_batch(self.base, empty))
