@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import l2
-from .search import RESULT, Asked, largest_k, portions_of, top_k
+from .search import RESULT, Asked, largest_k, nearest_hits, portions_of, top_k
 
 
 def lsh_topk(base: DataFrame, queries: DataFrame, bucket: float | None = None, tables: int = 8, radius: float = float("inf"), seed: int = 11, sample: int = 1000) -> DataFrame:
@@ -45,63 +45,37 @@ def lsh_topk(base: DataFrame, queries: DataFrame, bucket: float | None = None, t
 
 
 class AskedByBucket(Asked):
-    """Queries with their buckets: of each table the queries in order of bucket."""
+    """Queries with their buckets, a line a table."""
 
     def fill(self, rows: list) -> None:
         super().fill(rows)
-        keys = np.array([r.keys for r in rows], np.float64).reshape(len(rows), -1).T
-        self.order = np.argsort(keys, axis=1, kind="stable")
-        self.keys = np.take_along_axis(keys, self.order, 1)
-
-    def met(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, row) of all that share a bucket, each once, in this order; keys has a line a row."""
-        found = []
-        for order, own, other in zip(self.order, self.keys, keys.T):
-            first, last = np.searchsorted(own, other), np.searchsorted(own, other, "right")
-            n = last - first
-            at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            found.append(order[at] * len(keys) + np.repeat(np.arange(len(keys)), n))
-        return np.divmod(np.unique(np.concatenate(found)), len(keys))
+        self.keys = np.array([r.keys for r in rows], np.float64).reshape(len(rows), -1).T
 
 
 def hits_by_bucket(filed: DataFrame, asked: AskedByBucket, radius: float) -> DataFrame:
-    """(qid, k, id, dist): for each query and task, the k nearest rows that share a bucket and contain the pattern."""
-    shipped = filed.sparkSession.sparkContext.broadcast(asked)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = shipped.value
-        hits = [(np.zeros(0), np.zeros(0, np.int64))] * len(asked)
-        for whole in batches:
-            for start in range(0, whole.num_rows, 2048):
-                rows = whole.slice(start, 2048)
-                strings, ids = rows.column("s").to_pylist(), rows.column("id").to_numpy()
-                x = np.array(rows.column("v").to_pylist(), np.float64).reshape(rows.num_rows, -1)
-                q, row = asked.met(np.array(rows.column("keys").to_pylist(), np.float64))
-                dist = np.zeros(len(q))
-                for d in range(x.shape[1]):  # dimension by dimension, so they equal the expression l2
-                    dist += np.square(x[row, d] - asked.vectors[q, d])
-                dist = np.sqrt(dist)
-                edge = np.searchsorted(q, np.arange(len(asked) + 1))
-                for i in np.unique(q).tolist():
-                    own = slice(edge[i], edge[i + 1])
-                    near, at, k, p = dist[own], row[own], int(asked.k[i]), asked.patterns[i]
-                    limit = hits[i][0][-1] if len(hits[i][0]) == k else np.inf
-                    found = []
-                    for j in np.lexsort((ids[at], near)).tolist():
-                        if len(found) == k or near[j] > limit or not near[j] < radius:
-                            break
-                        if strings[at[j]] is not None and p in strings[at[j]]:
-                            found.append(j)
-                    if found:
-                        d, n = np.concatenate([hits[i][0], near[found]]), np.concatenate([hits[i][1], ids[at[found]]])
-                        order = np.lexsort((n, d))[:k]
-                        hits[i] = d[order], n[order]
-        size = np.array([len(d) for d, _ in hits], np.int64)
-        if size.any():
-            columns = np.repeat(asked.qids, size), np.repeat(asked.k, size), np.concatenate([n for _, n in hits]), np.concatenate([d for d, _ in hits])
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["qid", "k", "id", "dist"])
-
-    return filed.mapInArrow(run, "qid long, k long, id long, dist double")
+    """(qid, k, id, dist): for each query and task, the k nearest rows that share a bucket and contain the pattern.
+
+    Buckets are compared for a block of rows and queries at a time, so a task holds no list of all its pairs.
+    """
+    shipped = filed.sparkSession.sparkContext.broadcast(asked.keys)
+
+    def allowed() -> Callable:
+        keys = shipped.value
+
+        def met(rows: pa.RecordBatch) -> Callable:
+            own = np.array(rows.column("keys").to_pylist(), np.float64).reshape(rows.num_rows, len(keys)).T
+
+            def of(part: slice) -> np.ndarray:
+                out = np.zeros((part.stop - part.start, rows.num_rows), bool)
+                for q, r in zip(keys[:, part], own):
+                    out |= q[:, None] == r
+                return out
+
+            return of
+
+        return met
+
+    return nearest_hits(filed, asked, ("keys",), allowed, radius=radius)
 
 
 class InvertedFile:
