@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import clean_email_body, escape_like, escape_wildcard, keep_letters, sanitize_name
-from .operators import approximate, evaluate, generate, patterns, postings, search, states, suffixes
+from .operators import approximate, evaluate, generate, patterns, postings, search, states, suffix_blocks, suffixes
 from .operators.cells import CellIndex, postfilter_by_bounds
 from .operators.dictionary import SubstringDictionary
 from .operators.graph import NeighbourGraph, graph_topk as search_graph
@@ -334,24 +334,21 @@ def full_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- states of long strings ---------------------------------------------------------------
 
-def document_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+def document_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     strings, _ = suffixes.distinct_strings(checkpointed(spark, document_strings(spark, sf_dir)))
-    return suffixes.suffix_array(checkpointed(spark, strings))
+    return suffix_blocks.state_counts(checkpointed(spark, strings))
 
 
 @query()
 def document_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """States and distinct substrings of all documents by length; SQL takes minutes for the array at sf0.01."""
-    array = document_array(spark, sf_dir)
-    return suffixes.state_lengths(array, *suffixes.suffix_states(array)).select("len", "states", "substrings")
+    return document_counts(spark, sf_dir).where("states > 0").select("len", "states", "substrings")
 
 
 @query()
 def document_total_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of all states of all documents; SQL has no plain way to count rows by interval."""
-    array = document_array(spark, sf_dir)
-    lengths = suffixes.state_lengths(array, *suffixes.suffix_states(array))
-    return lengths.agg(F.sum("states").alias("states"), F.sum("occurrences").alias("occurrences"), F.sum("ids").alias("total_ids"))
+    return document_counts(spark, sf_dir).agg(F.sum("states").alias("states"), F.sum("occurrences").alias("occurrences"), F.sum("ids").alias("total_ids"))
 
 
 @query(with_sql(BASE, asked_sql(length=24), topk_sql()))
