@@ -9,9 +9,9 @@ a bounded length on both sides, so hubs don't grow.
 Each row also gets the rows beside it in CHAINS random orders: groups that lie far apart would
 have no way between them otherwise.
 
-Search: a query starts from the nearest of a bounded sample. The rows seen so far, with their
-distances, are a table; in each round, the nearest of each query's `ef` nearest that aren't
-opened yet bring their neighbours, which are scored once. It ends when all of a query's ef
+Search: a query starts from the nearest of a bounded sample. Its `ef` nearest rows so far, with
+their distances, are in a table; in each round, the nearest of these that aren't opened yet bring
+their neighbours, which are scored unless they are there. It ends when all of a query's ef
 nearest are opened. A wider ef scores more rows and finds more.
 
 Null vectors take no part; rows and queries have one row an id; vectors are of one dimension.
@@ -20,6 +20,7 @@ Null vectors take no part; rows and queries have one row an id; vectors are of o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -178,30 +179,50 @@ class NeighbourGraph:
     def load(spark, path: str) -> NeighbourGraph:
         return NeighbourGraph(*[spark.read.parquet(f"{path}/{n}") for n in ("rows", "edges", "entries")])
 
-    def explore(self, queries: DataFrame, ef: int) -> DataFrame:
-        """(qid, id, dist, opened) of all rows that a search of each query scored; its ef nearest are all opened."""
+    def walk(self, queries: DataFrame, ef: int, log: tuple[list, list] | None = None) -> DataFrame:
+        """(qid, id, dist) of each query's ef nearest rows that a search finds; log gets the rows scored and the rows opened, by round.
+
+        Only the ef nearest go from round to round: what is farther can't come back, and may be scored again.
+        """
         spark = self.rows.sparkSession
         asked = checkpointed(spark, queries.where("qv IS NOT NULL").select("qid", "qv"))
         asked = F.broadcast(asked) if bounded(queries) else asked
         near = l2(F.col("v"), F.col("qv")).alias("dist")
         by = Window.partitionBy("qid").orderBy("dist", "id")
-        seen = checkpointed(spark, asked.join(F.broadcast(self.entries)).select("qid", "id", near, F.lit(False).alias("opened")))  # entries are a bounded sample
         width = max(4, ef // 4)  # rows opened a round
+        scored, pool = asked.join(F.broadcast(self.entries)).select("qid", "id", near), None  # entries are a bounded sample
         while True:
-            ranked = seen.withColumn("place", F.row_number().over(by)).withColumn("turn", F.sum((~F.col("opened")).cast("int")).over(by))
-            now = ~F.col("opened") & (F.col("place") <= ef) & (F.col("turn") <= width)
-            marked = rewritten(spark, ranked.select("qid", "id", "dist", "opened", now.alias("now")), seen)
-            front = marked.where("now").select("qid", F.col("id").alias("a"))
+            if log:
+                scored = checkpointed(spark, scored)
+                log[0].append(scored)
+            met = scored.withColumn("opened", F.lit(False))
+            met = met if pool is None else pool.select("qid", "id", "dist", (F.col("opened") | F.col("now")).alias("opened")).unionAll(met)
+            best = met.withColumn("place", F.row_number().over(by)).where(F.col("place") <= ef)
+            turn = F.sum((~F.col("opened")).cast("int")).over(by)
+            marked = best.select("qid", "id", "dist", "opened", (~F.col("opened") & (turn <= width)).alias("now"))
+            pool = rewritten(spark, marked, *[] if pool is None else [pool])
+            front = pool.where("now").select("qid", F.col("id").alias("a"))
             if front.isEmpty():
-                return marked.drop("now")
+                return pool.select("qid", "id", "dist")
+            if log:
+                log[1].append(checkpointed(spark, front.withColumnRenamed("a", "id")))
             reached = front.join(self.edges, "a").select("qid", F.col("b").alias("id")).distinct()
-            new = reached.join(marked.select("qid", "id"), ["qid", "id"], "left_anti")
-            scored = new.join(self.rows, "id").join(asked, "qid").select("qid", "id", near, F.lit(False).alias("opened"))
-            seen = rewritten(spark, marked.select("qid", "id", "dist", (F.col("opened") | F.col("now")).alias("opened")).unionAll(scored), marked)
+            new = reached.join(pool.select("qid", "id"), ["qid", "id"], "left_anti")
+            scored = new.join(self.rows, "id").join(asked, "qid").select("qid", "id", near)
+
+    def explore(self, queries: DataFrame, ef: int) -> DataFrame:
+        """(qid, id, dist, opened) of all rows that a search of each query scored; its ef nearest are all opened."""
+        log = [], []
+        self.walk(queries, ef, log)
+        scored, opened = (reduce(DataFrame.unionAll, x) if x else None for x in log)
+        scored = scored.dropDuplicates(["qid", "id"])
+        if opened is None:
+            return scored.withColumn("opened", F.lit(False))
+        return scored.join(opened.withColumn("opened", F.lit(True)), ["qid", "id"], "left").select("qid", "id", "dist", F.coalesce("opened", F.lit(False)).alias("opened"))
 
     def nearest(self, queries: DataFrame, ef: int) -> DataFrame:
         """(qid, rank, id, dist): about the ef nearest rows of each query."""
-        return top_k(self.explore(queries, ef).select("qid", "id", "dist"), ef, ef)
+        return top_k(self.walk(queries, ef), ef, ef)
 
 
 def graph_topk(graph: NeighbourGraph, base: DataFrame, queries: DataFrame, ef: int = 64) -> DataFrame:

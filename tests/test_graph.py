@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestring.operators import search
+from lodestring.operators import graph, search
 from lodestring.operators.graph import NeighbourGraph, graph_topk
 
 
@@ -65,3 +65,16 @@ def test_few_rows(spark):
         asked = spark.createDataFrame([(7, "a", [0.0, 0.0], 2)], "qid long, p string, qv array<double>, k int")
         got = graph_topk(NeighbourGraph.build(base, rounds=1), base, asked)
         assert [(t.rank, t.id) for t in got.orderBy("rank").collect()] == [(1, 0), (2, 1)][:n]
+
+
+def test_rounds_keep_the_nearest_alone(spark, clustered, monkeypatch):
+    # all rows scored so far were written in every round
+    _, built, x = clustered
+    asked = spark.createDataFrame([(i, "", x[i].tolist(), 5) for i in range(0, 2500, 50)], "qid long, p string, qv array<double>, k int")
+    written, write = [], graph.rewritten
+    monkeypatch.setattr(graph, "rewritten", lambda s, df, *old: written.append((new := write(s, df, *old)).count()) or new)
+    found = {(r.qid, r.id) for r in built.nearest(asked, 20).collect()}
+    assert len(written) > 2 and max(written) == 50 * 20
+    seen = built.explore(asked, 20)
+    assert {(r.qid, r.id) for r in search.top_k(seen.where("opened").select("qid", "id", "dist"), 20, 20).collect()} == found
+    assert {(r.qid, r.id) for r in search.top_k(seen.select("qid", "id", "dist"), 20, 20).collect()} == found
