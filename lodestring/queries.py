@@ -15,7 +15,7 @@ from .operators.dictionary import SubstringDictionary
 from .operators.graph import NeighbourGraph, graph_topk as search_graph
 from .operators.states import StateIndex
 from .plans.index import GramIndex
-from .plans.storage import checkpointed, shared_dir
+from .plans.storage import checkpointed, rewritten, shared_dir
 from .sources.sinks import result_lists
 from .sources.tables import corpus, default_queries, document_strings, part_corpus, part_strings, read
 from .streaming.ingest import append_stream
@@ -335,8 +335,8 @@ def full_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- states of long strings ---------------------------------------------------------------
 
 def document_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    strings, _ = suffixes.distinct_strings(checkpointed(spark, document_strings(spark, sf_dir)))
-    return suffix_blocks.state_counts(checkpointed(spark, strings))
+    every = checkpointed(spark, document_strings(spark, sf_dir))
+    return suffix_blocks.state_counts(rewritten(spark, suffixes.distinct_strings(every)[0], every), spent=True)
 
 
 @query()
