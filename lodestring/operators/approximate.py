@@ -12,8 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import l2
-from .search import RESULT, Asked, largest_k, nearest_hits, portions_of, top_k
+from .search import RESULT, Asked, by_distance, largest_k, nearest_hits, portions_of, top_k
 
 
 def lsh_topk(base: DataFrame, queries: DataFrame, bucket: float | None = None, tables: int = 8, radius: float = float("inf"), seed: int = 11, sample: int = 1000) -> DataFrame:
@@ -88,14 +87,49 @@ class InvertedFile:
     def build(base: DataFrame, n_cells: int = 16, sample: int = 100_000, seed: int = 11) -> InvertedFile:
         """Centroids are fitted on at most `sample` rows; every row is filed."""
         x = base.where("v IS NOT NULL").withColumn("features", array_to_vector("v"))
-        some = x.orderBy(F.xxhash64("id")).limit(sample)
+        some = x.select("id", "features").orderBy(F.xxhash64("id")).limit(sample)
         model = KMeans(k=n_cells, seed=seed, maxIter=10).fit(some)
         rows = [(i, [float(z) for z in c]) for i, c in enumerate(model.clusterCenters())]
         cells = model.transform(x).withColumnRenamed("prediction", "cell").drop("features")
         return InvertedFile(cells, base.sparkSession.createDataFrame(rows, "cell int, center array<double>"))
 
     def search(self, queries: DataFrame, n_probe: int = 4) -> DataFrame:
-        first = F.row_number().over(Window.partitionBy("qid").orderBy("far", "cell"))
-        probes = queries.join(F.broadcast(self.centroids)).withColumn("far", l2(F.col("qv"), F.col("center"))).withColumn("r", first).where(F.col("r") <= n_probe)  # as many centroids as cells
-        hits = self.cells.join(probes.select("qid", "p", "k", "qv", "cell"), "cell").where(F.contains("s", "p"))
-        return top_k(hits.select("qid", "k", "id", l2(F.col("v"), F.col("qv")).alias("dist")), F.col("k"), largest_k(queries))
+        """Queries are shipped to the rows, in portions: neither pairs nor strings are shuffled, only each task's k nearest hits of a query."""
+        centroids = self.centroids.orderBy("cell").collect()  # as many as cells
+        out = self.cells.sparkSession.createDataFrame([], RESULT)
+        most = largest_k(queries)
+        for portion in portions_of(queries, 32 * most + 9 * len(centroids)):
+            shipped = AskedByCell(portion, centroids, n_probe)
+            if len(shipped):
+                out = out.unionAll(top_k(hits_by_cell(self.cells, shipped), F.col("k"), most))
+        return out
+
+
+class AskedByCell(Asked):
+    """Queries with the cells that they probe: probes[query, cell]."""
+
+    def __init__(self, queries: DataFrame, centroids: list, n_probe: int):
+        super().__init__(queries)
+        self.probes = np.zeros((len(self), 1 + max([r.cell for r in centroids], default=-1)), bool)
+        far = np.zeros((len(self), len(centroids)))
+        for j, r in enumerate(centroids if len(self) else ()):
+            for d, c in enumerate(r.center):  # from left to right, as l2
+                far[:, j] += np.square(self.vectors[:, d] - c)
+        near = np.argsort(by_distance(np.sqrt(far)), axis=1, kind="stable")[:, : max(0, n_probe)]
+        np.put_along_axis(self.probes, np.array([r.cell for r in centroids], np.int64)[near], True, axis=1)
+
+
+def hits_by_cell(cells: DataFrame, asked: AskedByCell) -> DataFrame:
+    """(qid, k, id, dist): for each query and task, the k nearest rows of the probed cells that contain the pattern."""
+    shipped = cells.sparkSession.sparkContext.broadcast(asked.probes)
+
+    def allowed() -> Callable:
+        probes = shipped.value
+
+        def met(rows: pa.RecordBatch) -> Callable:
+            own = rows.column("cell").to_numpy()
+            return lambda part: probes[part][:, own]
+
+        return met
+
+    return nearest_hits(cells, asked, ("cell",), allowed)
